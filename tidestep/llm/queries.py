@@ -6,10 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidestep.llm import bpe
+from tidestep.llm import bpe, licenses, line_dedup, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licenses": licenses.op1_licenses,
+    "op4_topk": topk.op4_topk,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
     "op8_bpe": bpe.op8_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_licenses": licenses.OP1_SQL,
+    "op4_topk": topk.OP4_SQL,
+    "op5_line_dedup": line_dedup.OP5_SQL,
+}
