@@ -28,7 +28,7 @@ def documents(spark, tmp_path, texts):
 @pytest.mark.parametrize("copies", [0, 1, 12])
 def test_texts_on_edges(spark, tmp_path, copies):
     d = documents(spark, tmp_path, EDGE * copies)
-    for name in ("op1_licenses", "op5_line_dedup"):
+    for name in ("op1_licenses", "op3_substring_dedup", "op5_line_dedup"):
         assert compare(spark, name, queries.QUERIES[name], queries.ORACLE_SQL[name], d) == copies * len(EDGE)
 
 

@@ -7,8 +7,11 @@ import sys
 import tempfile
 import uuid
 
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The white space of the line and word contracts, [\x20\x09-\x0D].
 SPACE = " \t\n\x0b\x0c\r"
@@ -53,3 +56,32 @@ def ascii_lower(col):
     return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(
         F.translate(col, UPPER, UPPER.lower())
     )
+
+
+def with_text_columns(docs: DataFrame, text: str, make, added: list[tuple[str, str]], most: int = 4 << 20) -> DataFrame:
+    """``docs`` with the columns ``added`` (names and SQL types) that ``make`` gives for some of its texts.
+
+    ``make`` takes a string array of about ``most`` bytes at once (one text, if that is
+    longer) and returns one Arrow array for each added column. All other columns pass
+    through Arrow as they are; nothing is shuffled. Added names must be new.
+    """
+    if clash := {a.lower() for a, _ in added} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"columns there already: {sorted(clash)}")
+    kept, names = docs.schema, [*docs.columns, *(a for a, _ in added)]
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1)
+            sizes = pyarrow.compute.fill_null(pyarrow.compute.binary_length(texts), 0).to_pylist()
+            start = size = 0
+            for stop in range(1, len(sizes) + 1):
+                size += sizes[stop - 1]
+                if size < most and stop < len(sizes):
+                    continue
+                made = make(texts.slice(start, stop - start))
+                own = batch.slice(start, stop - start)
+                yield pa.record_batch([*own.columns[:-1], *made], names=names)
+                start, size = stop, 0
+
+    out = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in kept), *(T.StructField(a, T.DataType.fromDDL(k), True) for a, k in added)])
+    return docs.select(*(F.col(f"`{c}`") for c in docs.columns), F.col(f"`{text}`").cast("string").alias("_text_in")).mapInArrow(run, out)
