@@ -180,14 +180,18 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
     return src.mapInArrow(run, f"key {kind}, ids array<int>, decoded string").withColumnRenamed("key", key)
 
 
-def op8_bpe(spark, sf_dir: str) -> DataFrame:
-    """Contract of query 8 over the whole of ``documents``."""
-    import public_tokenizers
-
-    out = encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    return out.select(
-        "doc_id",
+def digests(encoded: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Number of tokens and the digests of ids and decoded text."""
+    return encoded.select(
+        key,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+def op8_bpe(spark, sf_dir: str) -> DataFrame:
+    """Contract of query 8 over the whole of ``documents``."""
+    import public_tokenizers
+
+    return digests(encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidestep.llm.common import table
+from tidestep.llm.common import table, with_text_columns
 
 # Families of ISO 639-1 codes. A code that is not here is a family of its own.
 FAMILIES = {
@@ -149,24 +149,22 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     return LanguageModel.fit(x, [v for v, _ in got])
 
 
-def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``lang_pred`` and ``score`` for each row."""
+def identify(docs: DataFrame, model: LanguageModel, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of ``docs``, and the predicted language and its score for each row."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                xs = [features(t.as_py()) if model.langs else None for t in part.column(1)]
+    def make(texts: pa.Array) -> list[pa.Array]:
+        langs, scores = ["und"] * len(texts), np.zeros(len(texts))
+        if model.langs:
+            for at in range(0, len(texts), 512):
+                xs = [features(t.as_py()) for t in texts.slice(at, 512)]
                 live = [i for i, x in enumerate(xs) if x is not None]
-                langs, scores = ["und"] * len(xs), np.zeros(len(xs))
                 if live:
-                    found, scores[live] = model.predict(np.array([xs[i] for i in live]))
-                    for i, v in zip(live, found, strict=True):
-                        langs[i] = v
-                yield pa.record_batch([part.column(0), pa.array(langs, pa.string()), pa.array(scores)], names=["key", "lang_pred", "score"])
+                    found, sure = model.predict(np.array([xs[i] for i in live]))
+                    for i, v, c in zip(live, found, sure.tolist(), strict=True):
+                        langs[at + i], scores[at + i] = v, c
+        return [pa.array(langs, pa.string()), pa.array(scores)]
 
-    src = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return src.mapInArrow(run, f"key {dict(src.dtypes)['key']}, lang_pred string, score double").withColumnRenamed("key", key)
+    return with_text_columns(docs, text, make, [(names[0], "string"), (names[1], "double")])
 
 
 def held_out(key: str = "doc_id"):
@@ -177,5 +175,5 @@ def op7_langid(spark, sf_dir: str) -> DataFrame:
     """Contract of query 7 over the whole of ``documents``."""
     docs = table(spark, sf_dir, "documents")
     model = train(docs.where(~held_out()))
-    out = identify(docs, model)
+    out = identify(docs.select("doc_id", "text"), model)
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
