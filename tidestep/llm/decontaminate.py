@@ -126,12 +126,11 @@ def _blocks(texts: pa.Array, find) -> Blocks:
     return Blocks(term[live], (first[own] + nth // BLOCK)[live], np.repeat(np.arange(len(texts)), n_blocks))
 
 
-def _by_block(term: np.ndarray, block: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
-    """Sum of the weight rows of the terms of each block."""
-    out = np.zeros((n, weights.shape[1]), np.float32)
-    if len(term):
-        fresh = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1])))
-        out[block[fresh]] = np.add.reduceat(weights[term], fresh, axis=0)
+def _by_group(group: np.ndarray, row: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    """For each of ``n`` groups, the sum of its rows of ``weights``."""
+    out = np.empty((n, weights.shape[1]), np.float32)
+    for k, column in enumerate(np.ascontiguousarray(weights.T)):
+        out[:, k] = np.bincount(group, column[row], n)
     return out
 
 
@@ -148,6 +147,12 @@ class LeakModel:
     latent: np.ndarray | None = None  # (terms, rank), weighted by inverse document frequency
     targets: np.ndarray | None = None  # unit latent vectors of the pieces
 
+    def postings(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each term, where its pieces begin in the second array, which has the pieces."""
+        pairs = np.unique(np.concatenate([p.astype(np.int64) * len(self.pieces) + i for i, p in enumerate(self.pieces)]))
+        terms = pairs // len(self.pieces)
+        return np.searchsorted(terms, np.arange(len(self.vocabulary) + 1)), pairs % len(self.pieces)
+
 
 def _hashes(text: str) -> np.ndarray:
     raw = np.frombuffer(text.encode(), np.uint8)
@@ -198,10 +203,8 @@ def _sketch(docs: DataFrame, text: str, vocabulary: np.ndarray, idf: np.ndarray,
                 term, block = b.term[use], b.block[use]
                 if not len(term):
                     continue
-                y = _by_block(term, block, scaled, len(b.text_of))
-                order = np.argsort(term, kind="stable")
-                fresh = np.flatnonzero(np.concatenate(([True], np.diff(term[order]) != 0)))
-                out[term[order][fresh]] += np.add.reduceat(y[block[order]], fresh, axis=0) * idf[term[order][fresh], None]
+                y = _by_group(block, term, scaled, len(b.text_of))
+                out[: len(idf)] += _by_group(term, block, y, len(idf)) * idf[:, None]
         blobs = [x.tobytes() for x in out.reshape(parts, per, width)]
         yield pa.record_batch([pa.array(range(parts), pa.int32()), pa.array(blobs, pa.binary())], names=["part", "z"])
 
@@ -234,7 +237,7 @@ def randomised_svd(z: np.ndarray, s: np.ndarray, rank: int) -> np.ndarray:
     return v[:, : min(rank, int((sv > 1e-9).sum()))]
 
 
-def train(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", rank: int = 64, max_share: float = 0.05, piece: int = 48) -> LeakModel:
+def train(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", rank: int = 128, max_share: float = 0.01, piece: int = 48) -> LeakModel:
     """Statistics of the whole corpus and its latent space for the items of ``benchmark``.
 
     Terms in more than ``max_share`` of all blocks are stop words, except in items that
@@ -299,27 +302,32 @@ def find_leaks(m: LeakModel, texts: pa.Array, find, least_cosine: float, least_c
     n = len(b.text_of)
     if not len(term):
         return out
-    half = _by_block(term, block, m.latent, n)
+    half = _by_group(block, term, m.latent, n)
     whole = half.copy()
     same = b.text_of[1:] == b.text_of[:-1]
     whole[:-1][same] += half[1:][same]
     sizes = np.linalg.norm(whole, axis=1)
-    live = np.flatnonzero(sizes > 0)
     begin = np.searchsorted(block, np.arange(n + 2))
     lens = np.array([len(p) for p in m.pieces])
-    sets = [np.unique(p) for p in m.pieces]
-    for at in range(0, len(live), 8192):
-        part = live[at : at + 8192]
-        cosine = (whole[part] / sizes[part, None]) @ m.targets.T
-        held = begin[np.minimum(part + 2, n)] - begin[part]
-        # A passage with too few words of the vocabulary to reach the common share is no candidate.
-        row, col = np.nonzero((cosine >= least_cosine) & (held[:, None] >= np.minimum(least_common, least_with_answer) * lens))
+    count, at_piece = m.postings()
+    joined = np.append(same, False)
+    rows = max(64, (1 << 22) // len(lens))
+    for at in range(0, n, rows):
+        stop = min(n, at + rows)
+        # Words of each piece in each block; the next block belongs to the last passage.
+        a, b_ = begin[at], begin[min(stop + 1, n)]
+        per = count[term[a:b_] + 1] - count[term[a:b_]]
+        own = np.repeat(block[a:b_] - at, per)
+        first = np.cumsum(per) - per
+        piece = at_piece[np.arange(len(own)) - np.repeat(first, per) + np.repeat(count[term[a:b_]], per)]
+        held = np.bincount(own * len(lens) + piece, minlength=(stop - at + 1) * len(lens)).reshape(-1, len(lens))
+        shared = held[: stop - at] + held[1 : stop - at + 1] * joined[at:stop, None]
+        cosine = (whole[at:stop] / np.maximum(sizes[at:stop, None], 1e-12)) @ m.targets.T
+        # A passage with too few words of a piece to reach the common share is no candidate.
+        row, col = np.nonzero((cosine >= least_cosine) & (shared >= np.maximum(1, least_with_answer * lens)))
         for i, p in zip(row.tolist(), col.tolist(), strict=True):
-            k = int(part[i])
-            stop = k + 2 if k + 1 < n and b.text_of[k + 1] == b.text_of[k] else k + 1
-            passage = term[begin[k] : begin[stop]]
-            if not len(m.pieces[p]) or np.isin(passage, sets[p]).sum() < least_with_answer * lens[p]:
-                continue
+            k = at + i
+            passage = term[begin[k] : begin[k + 2 if joined[k] else k + 1]]
             share = common_subsequence(m.pieces[p].tolist(), passage.tolist()) / lens[p]
             if share < least_with_answer:
                 continue
@@ -330,7 +338,7 @@ def find_leaks(m: LeakModel, texts: pa.Array, find, least_cosine: float, least_c
     return out
 
 
-def leaks(docs: DataFrame, model: LeakModel, text: str = "text", name: str = "leaks", least_cosine: float = 0.35, least_common: float = 0.7, least_with_answer: float = 0.5) -> DataFrame:
+def leaks(docs: DataFrame, model: LeakModel, text: str = "text", name: str = "leaks", least_cosine: float = 0.1, least_common: float = 0.7, least_with_answer: float = 0.5) -> DataFrame:
     """All columns of ``docs`` and, in ``name``, the items found in each row: item, cosine, common (share of the item's content words), answer."""
     kind = "array<struct<item:int,cosine:double,common:double,answer:boolean>>"
 
