@@ -58,7 +58,7 @@ def ascii_lower(col):
     )
 
 
-def with_text_columns(docs: DataFrame, text: str, make, added: list[tuple[str, str]], most: int = 4 << 20) -> DataFrame:
+def with_text_columns(docs: DataFrame, text: str, make, added: list[tuple[str, str]], most: int = 1 << 20) -> DataFrame:
     """``docs`` with the columns ``added`` (names and SQL types) that ``make`` gives for some of its texts.
 
     ``make`` takes a string array of about ``most`` bytes at once (one text, if that is

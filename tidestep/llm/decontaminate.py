@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tidestep.llm.common import process_cache, table, with_text_columns
 
 BLOCK = 32
-_STEP = 1 << 22
+_STEP = 1 << 20
 
 
 def _tables() -> dict:
