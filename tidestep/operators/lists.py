@@ -34,8 +34,9 @@ def ranked(df: DataFrame, *keys: str | Column, name: str = "rank") -> DataFrame:
 
 def links(df: DataFrame, key: str, *order: str | Column) -> DataFrame:
     """``id``, ``prev``, ``next`` of the list in the order of the rows: each rank is joined to its neighbours'."""
-    r = ranked(df.select(F.col(key).alias("id"), *order), *order, name="place").select("id", "place")
-    r = kept(r, "places")
+    named = {f"_o{i}": F.col(o) if isinstance(o, str) else o for i, o in enumerate(order)}
+    rows = df.select(F.col(key).alias("id"), *(v.alias(n) for n, v in named.items()))
+    r = kept(ranked(rows, *named, name="place").select("id", "place"), "places")
     after = r.select((F.col("place") - 1).alias("place"), F.col("id").alias("next"))
     before = r.select((F.col("place") + 1).alias("place"), F.col("id").alias("prev"))
     return r.join(after, "place", "left").join(before, "place", "left").select("id", "prev", "next")

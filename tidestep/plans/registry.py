@@ -564,8 +564,7 @@ SQL_LINKS = "SELECT o_orderkey AS id, lag(o_orderkey) OVER w AS prev, lead(o_ord
 
 
 def order_list(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", cents("o_totalprice").alias("price"), c("o_orderkey").alias("key"))
-    return lists.links(o, "o_orderkey", "price", "key")
+    return lists.links(table(spark, d, "orders"), "o_orderkey", cents("o_totalprice"), "o_orderkey")
 
 
 @query(SQL_LINKS)
