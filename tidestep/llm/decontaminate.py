@@ -240,8 +240,8 @@ def randomised_svd(z: np.ndarray, s: np.ndarray, rank: int) -> np.ndarray:
 def train(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", rank: int = 128, max_share: float = 0.01, piece: int = 48) -> LeakModel:
     """Statistics of the whole corpus and its latent space for the items of ``benchmark``.
 
-    Terms in more than ``max_share`` of all blocks are stop words, except in items that
-    have little else. Items of more than ``piece`` words are searched in equal parts.
+    Terms in more than ``max_share`` of all blocks are stop words, except for the rarest
+    terms of items that have little else. Items of more than ``piece`` words are searched in equal parts.
     """
     rows = sorted(((r.i, r.t) for r in benchmark.select(F.col(item_key).alias("i"), F.col(item_text).cast("string").alias("t")).where("t IS NOT NULL").distinct().collect()), key=str)
     hashed = [(i, _hashes(t), _hashes(([x for x in re.split(r"(?<=[.!?])\s+|\n+", t.strip()) if re.search(r"\w", x)] or [""])[-1])) for i, t in rows]
@@ -254,8 +254,9 @@ def train(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: s
     m.content = counts <= max_share * n
     of = [np.searchsorted(vocabulary, h) for _, h, _ in hashed]
     for terms in of:  # little else: less than four terms that count, or a third of the words
-        if m.content[terms].sum() < max(4, len(terms) / 3):
-            m.content[terms] = True
+        enough = int(max(4, len(terms) / 3))
+        if m.content[terms].sum() < enough:
+            m.content[terms[np.argsort(counts[terms], kind="stable")[:enough]]] = True  # the rarest
     idf = np.where(m.content, np.log((n + 1) / (counts + 1)) + 1, 0).astype(np.float32)
     for k, terms in enumerate(of):
         answer = np.searchsorted(vocabulary, hashed[k][2])
