@@ -339,7 +339,7 @@ def find_leaks(m: LeakModel, texts: pa.Array, find, least_cosine: float, least_c
     return out
 
 
-def leaks(docs: DataFrame, model: LeakModel, text: str = "text", name: str = "leaks", least_cosine: float = 0.1, least_common: float = 0.7, least_with_answer: float = 0.5) -> DataFrame:
+def leaks(docs: DataFrame, model: LeakModel, text: str = "text", name: str = "leaks", least_cosine: float = 0.05, least_common: float = 0.7, least_with_answer: float = 0.5) -> DataFrame:
     """All columns of ``docs`` and, in ``name``, the items found in each row: item, cosine, common (share of the item's content words), answer."""
     kind = "array<struct<item:int,cosine:double,common:double,answer:boolean>>"
 
