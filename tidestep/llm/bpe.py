@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidestep.llm.common import process_cache, table
+from tidestep.llm.common import process_cache, small_batches, table
 
 # The byte-level pre-tokenizer's pattern with White_Space written out.
 _WS = r"\t-\r \x85\xa0  -     　"
@@ -175,6 +175,7 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
                 )
                 start, size = stop, 0
 
+    small_batches(docs.sparkSession)
     src = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = dict(src.dtypes)["key"]
     return src.mapInArrow(run, f"key {kind}, ids array<int>, decoded string").withColumnRenamed("key", key)

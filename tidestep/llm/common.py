@@ -18,7 +18,17 @@ SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+#: Bytes of the rows that a Python worker gets at once; with long texts, the default number of rows would be far more.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by their size, for the rest of the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -41,6 +51,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     running the earlier steps again. Schema and rows are unchanged.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -67,6 +78,7 @@ def with_text_columns(docs: DataFrame, text: str, make, added: list[tuple[str, s
     """
     if clash := {a.lower() for a, _ in added} & {c.lower() for c in docs.columns}:
         raise ValueError(f"columns there already: {sorted(clash)}")
+    small_batches(docs.sparkSession)
     kept, names = docs.schema, [*docs.columns, *(a for a, _ in added)]
 
     def run(batches):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidestep.llm.common import process_cache, stored, table
+from tidestep.llm.common import process_cache, small_batches, stored, table
 from tidestep.llm.components import components
 
 # The Golay code's generator polynomial, and the segments (first bit, bits).
@@ -67,6 +67,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words
             fps = [fingerprint(t.as_buffer().to_pybytes() if t.is_valid else b"", words) for t in batch.column(1)]
             yield pa.record_batch([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], names=["key", "fp"])
 
+    small_batches(docs.sparkSession)
     src = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     return src.mapInArrow(run, f"key {dict(src.dtypes)['key']}, fp long").withColumnRenamed("key", key)
 
