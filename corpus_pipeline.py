@@ -33,9 +33,13 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     row = F.struct(F.col("doc_id").alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
     groups = simhash.near_duplicates(docs.select(row.alias("row"), "text"), key="row")
     kept = groups.where(F.col("row").eqNullSafe(F.col("component_id"))).select("row.*").distinct()
-    own = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    out = own.join(kept, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("_h") == F.col("h")), "left_semi")
-    return out.dropDuplicates(["doc_id", "_h"]).select(*docs.columns)
+    # Keys without nulls: the rows are dealt and sorted once, for the join and for dropping repeated rows.
+    zero = F.lit(0).cast(dict(docs.dtypes)["doc_id"])
+    names = ["_none", "_id", "_hash"]
+    keys = lambda d, h: dict(zip(names, (d.isNull(), F.coalesce(d, zero), h), strict=True))
+    own = docs.withColumns(keys(F.col("doc_id"), F.xxhash64(F.coalesce("text", F.lit("")))))
+    kept = kept.withColumns(keys(F.col("d"), F.col("h"))).select(*names)
+    return own.join(kept, names, "left_semi").dropDuplicates(names).select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

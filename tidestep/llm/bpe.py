@@ -125,13 +125,17 @@ class ByteBpe:
             if ids is None:
                 ids = self.piece(p)
                 if len(p) < 64:
-                    if len(known) > 400_000:  # bounds a worker's memory; pieces are then encoded anew
-                        known.clear()
-                        self._fits.clear()
+                    if len(known) > 100_000 or len(self._fits) > 200_000:  # pieces are then encoded anew
+                        self.forget()
                     known[p] = ids
             out.append(ids)
         return [*chain.from_iterable(out)]
 
+    def forget(self) -> None:
+        """Empties the caches, which bounds a worker's memory."""
+        self._ids.clear()
+        self._fits.clear()
+
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
@@ -174,6 +178,7 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
                     names=["key", "ids", "decoded"],
                 )
                 start, size = stop, 0
+        bpe.forget()
 
     small_batches(docs.sparkSession)
     src = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
