@@ -1,14 +1,17 @@
 """Operator 10: near-duplicates by SimHash, with Golay-code keys for the candidates.
 
-A 64-bit fingerprint has three segments of 21, 21 and 22 bits. If two fingerprints
-differ in at most three bits, at least two of the segments differ in at most one bit
-each. Every 23-bit word is within three bits of exactly one word of the perfect
-(23, 12, 7) Golay code. The keys of a segment are the indices of the codewords to which
-the segment and its one-bit neighbours decode (six at most), so two segments one bit
-apart always have the codeword of either among the keys of the other. For each two
-segments the index side takes all keys of the first and the own codeword of the
-second, the probe side the other way round; a join of the two and a check of the
-differing bits give all links.
+A 64-bit fingerprint has four segments of 16 bits. If two fingerprints differ in at
+most three bits, some segment is equal in both and the one after it (the first after the
+last) differs in at most one bit: the segments that differ are at most three; if one of
+them differs in more than one bit there are at most two, and two or more equal ones, of
+which only one can stand before it. Every 23-bit word is within three bits of exactly
+one word of the perfect (23, 12, 7) Golay code. The keys of a segment are the indices of
+the codewords to which the segment and its one-bit neighbours decode, so of two segments
+at most one bit apart the codeword of one is always among the keys of the other. A key
+row holds an equal segment (16 bits) and a codeword of the next (12 bits): the index side
+takes all keys of that next segment, the probe side its own codeword alone. A join of the
+two and a check of the differing bits give all links. Each of the four tables has 2^28
+keys, so fingerprints that are not near rarely share one.
 
 Equal fingerprints are one node, so copies are never paired. Keys that many different
 fingerprints share are cut into blocks; each pair of blocks is compared in one place and
@@ -31,10 +34,9 @@ from pyspark.sql import functions as F
 from tidestep.llm.common import process_cache, small_batches, stored, table
 from tidestep.llm.components import components
 
-# The Golay code's generator polynomial, and the segments (first bit, bits).
+# The Golay code's generator polynomial, and the bits of each of the four segments.
 _GENERATOR = 0xC75
-_SEGMENTS = ((0, 21), (21, 21), (42, 22))
-_PAIRS = ((0, 1), (1, 2), (2, 0))
+_BITS = 16
 
 
 def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
@@ -109,30 +111,21 @@ def codeword(v: np.ndarray) -> np.ndarray:
     return (v ^ _leaders()[s]) >> 11
 
 
-def _segment_keys(fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each segment: its own codeword, the sorted keys (n, bits + 1), and which of them are first of their value."""
-    out = []
-    for first, bits in _SEGMENTS:
-        v = ((fps.view(np.uint64) >> np.uint64(first)) & np.uint64((1 << bits) - 1)).astype(np.int64)
-        near = np.concatenate([v[:, None], v[:, None] ^ (1 << np.arange(bits))], axis=1)
-        keys = np.sort(codeword(near), axis=1)
-        fresh = np.ones(keys.shape, bool)
-        fresh[:, 1:] = keys[:, 1:] != keys[:, :-1]
-        out.append((codeword(v), keys, fresh))
-    return out
-
-
 def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``key``, ``fp`` and ``probe`` (which side of the join) of all key rows of some fingerprints."""
-    seg, out = _segment_keys(fps), ([], [], [])
-    for p, (i, j) in enumerate(_PAIRS):
-        for probe, many, one in ((False, i, j), (True, j, i)):
-            own, (_, keys, fresh) = seg[one][0], seg[many]
-            row, col = np.nonzero(fresh)
-            first, second = (keys[row, col], own[row]) if not probe else (own[row], keys[row, col])
-            out[0].append((p << 24) + (first << 12) + second)
-            out[1].append(fps[row])
-            out[2].append(np.full(len(row), probe))
+    parts = [((fps.view(np.uint64) >> np.uint64(_BITS * i)) & np.uint64((1 << _BITS) - 1)).astype(np.int64) for i in range(4)]
+    out = ([], [], [])
+    for i, equal in enumerate(parts):
+        after = parts[(i + 1) % 4]
+        near = codeword(np.concatenate([after[:, None], after[:, None] ^ (1 << np.arange(_BITS))], axis=1))
+        keys = np.sort(near, axis=1)
+        fresh = np.ones(keys.shape, bool)
+        fresh[:, 1:] = keys[:, 1:] != keys[:, :-1]
+        row, col = np.nonzero(fresh)
+        first = (i << 28) + (equal << 12)
+        out[0].extend((first[row] + keys[row, col], first + near[:, 0]))
+        out[1].extend((fps[row], fps))
+        out[2].extend((np.zeros(len(row), bool), np.ones(len(fps), bool)))
     return tuple(np.concatenate(x) for x in out)
 
 
