@@ -73,6 +73,23 @@ def test_paraphrases_and_clean_documents(spark):
     assert len(want & got) >= 0.95 * len(want) and len(got - want) <= 2
 
 
+def test_every_verbatim_item_at_every_offset(spark):
+    r, word, items, docs = corpus(5)
+    # Words that the latent space gives no weight: they occur in none of the documents that it comes from.
+    rare = lambda n: " ".join(f"q{r.randrange(10**6)}x" for _ in range(n)) + "."
+    known = len(docs)
+    items = items[:3] + [rare(n) for n in (15, 20, 30, 48)]
+    want = set()
+    for offset in range(64):
+        for k in range(3, len(items)):
+            want.add((len(docs), k))
+            docs.append(" ".join([word() for _ in range(offset)] + [items[k]] + [word() for _ in range(70)]))
+    df = spark.createDataFrame([*enumerate(docs)], "doc_id long, text string").repartition(4)
+    model = d.train(df.where(f"doc_id < {known}"), spark.createDataFrame([*enumerate(items)], "item_id long, text string"))
+    got = {(x.doc_id, model.items[y.item]) for x in d.leaks(df, model).collect() for y in x.leaks}
+    assert want <= got
+
+
 def test_edges(spark, tmp_path):
     item = "alpha beta gamma delta epsilon zeta eta theta. Iota kappa lambda."
     rows = [(0, None), (1, ""), (2, "!!"), (3, item), (4, item), (5, "word " * 400000 + item), (None, item), (6, "alpha " * 90)]

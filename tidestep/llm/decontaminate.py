@@ -6,8 +6,8 @@ blocks of all documents. A randomised SVD of the blocks is distributed: each tas
 multiplies its rows with a random sketch and back, the products are summed by parts of
 the vocabulary, and the small factor is solved on the driver (vocabulary times rank
 numbers, whatever the size of the corpus). Every pair of adjacent blocks is a passage;
-its cosine to each item in the latent space gives the candidates. They are verified by
-the longest common subsequence of content words, so paraphrases with changed or
+its cosine to each item in the latent space gives the candidates, and so does, by itself,
+the number of words that it shares with one. They are verified by the longest common subsequence of content words, so paraphrases with changed or
 inserted words are found, and by the answer: the last sentence of the item, found word
 by word.
 
@@ -324,8 +324,9 @@ def find_leaks(m: LeakModel, texts: pa.Array, find, least_cosine: float, least_c
         held = np.bincount(own * len(lens) + piece, minlength=(stop - at + 1) * len(lens)).reshape(-1, len(lens))
         shared = held[: stop - at] + held[1 : stop - at + 1] * joined[at:stop, None]
         cosine = (whole[at:stop] / np.maximum(sizes[at:stop, None], 1e-12)) @ m.targets.T
-        # A passage with too few words of a piece to reach the common share is no candidate.
-        row, col = np.nonzero((cosine >= least_cosine) & (shared >= np.maximum(1, least_with_answer * lens)))
+        # A passage with too few words of a piece to reach the common share is no candidate; one with
+        # enough of them is, whatever the latent space says of it.
+        row, col = np.nonzero((shared >= np.maximum(1, least_with_answer * lens)) & ((cosine >= least_cosine) | (shared >= least_common * lens)))
         for i, p in zip(row.tolist(), col.tolist(), strict=True):
             k = at + i
             passage = term[begin[k] : begin[k + 2 if joined[k] else k + 1]]
