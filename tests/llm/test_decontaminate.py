@@ -90,6 +90,30 @@ def test_every_verbatim_item_at_every_offset(spark):
     assert want <= got
 
 
+def test_long_pieces_and_plain_answers(spark):
+    r, word, _, docs = corpus(6)
+    rare = lambda n: [f"q{r.randrange(10**6)}x" for _ in range(n)]
+    docs = [t + " " + " ".join(["so it was then"] * 20) for t in docs]  # stop words
+    items = [rare(48) for _ in range(6)] + [[*rare(12)[:-1], "end.", "So", "it", "was."] for _ in range(6)]
+    want = set()
+    for offset in range(32):
+        for k, w in enumerate(items):
+            if k < 3:  # 14 of 48 words changed, spread
+                w = [f"z{i}" if i % 7 in (2, 5) else x for i, x in enumerate(w)]
+            elif k < 6:  # a word in after each second one, and one in ten changed
+                w = [y for i, x in enumerate(w) for y in ([f"z{i}" if i % 10 == 4 else x] + [f"y{i}"] * (i % 2))]
+            else:  # six of its twelve content words and the answer
+                w = [*(f"z{i}" if i % 2 else x for i, x in enumerate(w[:-3])), *w[-3:]]
+            want.add((len(docs), k))
+            docs.append(" ".join([word() for _ in range(offset)] + w + [word() for _ in range(100)]))
+    df = spark.createDataFrame([*enumerate(docs)], "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    model = d.train(df, bench)
+    got = {(x.doc_id, model.items[y.item]) for x in d.leaks(df, model).collect() for y in x.leaks}
+    missed = [(i, k) for i, k in want - got]
+    assert not missed and not got - want
+
+
 def test_edges(spark, tmp_path):
     item = "alpha beta gamma delta epsilon zeta eta theta. Iota kappa lambda."
     rows = [(0, None), (1, ""), (2, "!!"), (3, item), (4, item), (5, "word " * 400000 + item), (None, item), (6, "alpha " * 90)]

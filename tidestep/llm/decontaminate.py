@@ -9,7 +9,8 @@ numbers, whatever the size of the corpus). Every pair of adjacent blocks is a pa
 its cosine to each item in the latent space gives the candidates, and so does, by itself,
 the number of words that it shares with one. They are verified by the longest common subsequence of content words, so paraphrases with changed or
 inserted words are found, and by the answer: the last sentence of the item, found word
-by word.
+by word (its content words, or all if it has none). Both look at the passage and the
+block on either side of it, so that long pieces are seen whole.
 
 Defined results: null and empty texts leak nothing, nor do items without a word. Items
 of the same words are matched each. Texts are read whole; words are runs of letters and
@@ -141,7 +142,7 @@ class LeakModel:
     vocabulary: np.ndarray  # sorted hashes
     content: np.ndarray  # which terms count
     pieces: list[np.ndarray]  # content terms of each piece, in order
-    answers: list[np.ndarray]  # content terms of the last sentence of each piece's item
+    answers: list[np.ndarray]  # content terms of the last sentence of each piece's item; all its terms if none is content
     item: list[int]  # number of each piece's item
     items: list  # ids
     latent: np.ndarray | None = None  # (terms, rank), weighted by inverse document frequency
@@ -262,7 +263,7 @@ def train(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: s
         answer = np.searchsorted(vocabulary, hashed[k][2])
         for part in np.array_split(terms, math.ceil(len(terms) / piece)):
             m.pieces.append(part[m.content[part]])
-            m.answers.append(answer[m.content[answer]])
+            m.answers.append(answer[m.content[answer]] if m.content[answer].any() else answer)
             m.item.append(k)
     width = min(rank + 8, len(vocabulary))
     v = randomised_svd(_sketch(docs, text, vocabulary, idf, width), _random(len(idf), width), rank)
@@ -303,6 +304,10 @@ def find_leaks(m: LeakModel, texts: pa.Array, find, least_cosine: float, least_c
     n = len(b.text_of)
     if not len(term):
         return out
+    begin_all = np.searchsorted(b.block, np.arange(n + 1))
+    # Blocks of the text around the passage that begins at each block: one before it, one after it.
+    low = np.maximum(np.arange(n) - 1, np.searchsorted(b.text_of, b.text_of))
+    high = np.minimum(np.arange(n) + 3, np.searchsorted(b.text_of, b.text_of, "right"))
     half = _by_group(block, term, m.latent, n)
     whole = half.copy()
     same = b.text_of[1:] == b.text_of[:-1]
@@ -311,29 +316,35 @@ def find_leaks(m: LeakModel, texts: pa.Array, find, least_cosine: float, least_c
     begin = np.searchsorted(block, np.arange(n + 2))
     lens = np.array([len(p) for p in m.pieces])
     count, at_piece = m.postings()
-    joined = np.append(same, False)
     rows = max(64, (1 << 22) // len(lens))
     for at in range(0, n, rows):
         stop = min(n, at + rows)
-        # Words of each piece in each block; the next block belongs to the last passage.
-        a, b_ = begin[at], begin[min(stop + 1, n)]
+        # Words of each piece in each block, with those around the first and the last passage.
+        left, right = low[at], high[stop - 1]
+        a, b_ = begin[left], begin[right]
         per = count[term[a:b_] + 1] - count[term[a:b_]]
-        own = np.repeat(block[a:b_] - at, per)
+        own = np.repeat(block[a:b_] - left, per)
         first = np.cumsum(per) - per
         piece = at_piece[np.arange(len(own)) - np.repeat(first, per) + np.repeat(count[term[a:b_]], per)]
-        held = np.bincount(own * len(lens) + piece, minlength=(stop - at + 1) * len(lens)).reshape(-1, len(lens))
-        shared = held[: stop - at] + held[1 : stop - at + 1] * joined[at:stop, None]
+        held = np.bincount(own * len(lens) + piece, minlength=(right - left) * len(lens)).reshape(-1, len(lens))
+        shared = np.zeros((stop - at, len(lens)), held.dtype)
+        for k in range(4):
+            block_of = low[at:stop] + k
+            inside = block_of < high[at:stop]
+            shared[inside] += held[block_of[inside] - left]
         cosine = (whole[at:stop] / np.maximum(sizes[at:stop, None], 1e-12)) @ m.targets.T
-        # A passage with too few words of a piece to reach the common share is no candidate; one with
-        # enough of them is, whatever the latent space says of it.
+        # A passage with too few words of a piece around it to reach the common share is no candidate;
+        # one with enough of them is, whatever the latent space says of it.
         row, col = np.nonzero((shared >= np.maximum(1, least_with_answer * lens)) & ((cosine >= least_cosine) | (shared >= least_common * lens)))
         for i, p in zip(row.tolist(), col.tolist(), strict=True):
             k = at + i
-            passage = term[begin[k] : begin[k + 2 if joined[k] else k + 1]]
+            passage = term[begin[low[k]] : begin[high[k]]]
             share = common_subsequence(m.pieces[p].tolist(), passage.tolist()) / lens[p]
             if share < least_with_answer:
                 continue
-            answer = _contains(m.answers[p], passage)
+            sought = m.answers[p]
+            plain = len(sought) > 0 and not m.content[sought[0]]
+            answer = _contains(sought, b.term[begin_all[low[k]] : begin_all[high[k]]] if plain else passage)
             if share >= least_common or answer:
                 mine, item = out[b.text_of[k]], m.item[p]
                 mine[item] = max(mine.get(item, (0.0, 0.0, False)), (share, float(cosine[i, p]), answer))
