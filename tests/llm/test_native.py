@@ -75,3 +75,43 @@ def test_topk_in_small_blocks(spark):
 def test_topk_without_vectors(spark, tmp_path):
     spark.createDataFrame([], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert topk.op4_topk(spark, str(tmp_path)).count() == 0
+
+
+# Licence lines as the documents and other texts write them, and the ids they state.
+LICENSE_LINES = {
+    "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+    "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+    "Released under the MIT License.": "MIT",
+    "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+    "Licensed under CC BY-SA 3.0": "CC-BY-SA-3.0",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.": "CC-BY-NC-ND-4.0",
+    "// SPDX-License-Identifier: BSD-2-Clause": "BSD-2-Clause",
+    "SPDX-License-Identifier: LGPL-2.1-or-later": "LGPL-2.1",
+    "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0",
+    "This software is released under the 3-clause BSD license.": "BSD-3-Clause",
+}
+
+
+def test_license_lines_of_a_fixture(spark, tmp_path):
+    texts = [f"Some words.\n{x}\nmore" for x in LICENSE_LINES]
+    got = {r.doc_id: r for r in licenses.op1_licenses(spark, documents(spark, tmp_path, texts)).collect()}
+    for i, spdx in enumerate(LICENSE_LINES.values()):
+        assert got[i].n_notices == 1 and got[i].notices.startswith(f"{spdx}-notice"), texts[i]
+
+
+def test_full_licenses(spark, tmp_path):
+    zlib = """Copyright (c) 2001 A B
+    This software is provided 'as-is', without any express or implied warranty. In no
+    event will the authors be held liable for any damages arising from the use of this software.
+    Permission is granted to anyone to use this software for any purpose, including commercial
+    applications, and to alter it and redistribute it freely, subject to the following restrictions:
+    1. The origin of this software must not be misrepresented; you must not claim that you wrote the
+       original software. If you use this software in a product, an acknowledgement in the product
+       documentation would be appreciated but is not required.
+    2. Altered source versions must be plainly marked as such, and must not be misrepresented as
+       being the original software.
+    3. This notice may not be removed or altered from any source distribution."""
+    ids = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "Unlicense"]
+    texts = [zlib, *("Copyright (c) 2020 X\n" + licenses.KNOWN[i].upper().replace("\n\n", "\n \n") for i in ids)]
+    got = {r.doc_id: r.license_id for r in licenses.op1_licenses(spark, documents(spark, tmp_path, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == ["Zlib", *ids]

@@ -13,6 +13,9 @@ the result.
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +88,62 @@ KNOWN = {
     "Proprietary-notice": "All rights are reserved and no license is granted.",
 }
 
+# Full texts in files of this package, by SPDX identifier.
+KNOWN |= {f.stem: f.read_text() for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+
+# Titles that stand above the text of a short licence.
+TITLES = {"MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"], "ISC": ["ISC License"], "0BSD": ["BSD Zero Clause License"], "BSD-2-Clause": ["BSD 2-Clause License"], "BSD-3-Clause": ["BSD 3-Clause License"], "Zlib": ["zlib License"]}
+KNOWN |= {f"{k}-titled-{i}": f"{t}\n\n{KNOWN[k]}" for k, titles in TITLES.items() for i, t in enumerate(titles, 1)}
+# The conditions of these are also written as a list without numbers.
+KNOWN |= {f"{k}-unnumbered": re.sub(r"(?m)^[1-3]\. ", "* ", KNOWN[k]) for k in ("BSD-2-Clause", "BSD-3-Clause")}
+
+
+def _names() -> dict[str, list[str]]:
+    """What notices call each licence, by SPDX identifier."""
+    out = {
+        "MIT": ["the MIT License"],
+        "ISC": ["the ISC License"],
+        "0BSD": ["the BSD Zero Clause License"],
+        "Zlib": ["the zlib License"],
+        "Unlicense": ["the Unlicense"],
+        "BSD-2-Clause": ["the BSD 2-Clause License", "the Simplified BSD License", "the 2-Clause BSD License"],
+        "BSD-3-Clause": ["the BSD 3-Clause License", "the New BSD License", "the 3-Clause BSD License"],
+        "Apache-2.0": ["the Apache License, Version 2.0", "the Apache License 2.0", "the Apache 2.0 License"],
+        "MPL-2.0": ["the Mozilla Public License, v. 2.0", "the Mozilla Public License, version 2.0", "the Mozilla Public License 2.0"],
+        "CC0-1.0": ["CC0", "CC0 1.0 Universal"],
+        "EPL-2.0": ["the Eclipse Public License 2.0", "the Eclipse Public License, version 2.0"],
+        "BSL-1.0": ["the Boost Software License, Version 1.0", "the Boost Software License 1.0"],
+        "Artistic-2.0": ["the Artistic License 2.0"],
+    }
+    for prefix, name, short, versions in (("GPL", "GNU General Public License", "GPL", ("2.0", "3.0")), ("LGPL", "GNU Lesser General Public License", "LGPL", ("2.1", "3.0")), ("AGPL", "GNU Affero General Public License", "AGPL", ("3.0",))):
+        for v in versions:
+            n = v.removesuffix(".0")
+            out[f"{prefix}-{v}"] = [f"the {name}, version {n}", f"the {name} version {n}", f"the {name} v{n}", f"the {name} v{v}", f"the {short}v{n}", f"{short}v{n}", f"the GNU {short} v{n}"]
+    full = {"BY": "Attribution", "SA": "ShareAlike", "NC": "NonCommercial", "ND": "NoDerivatives"}
+    for kind in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
+        for v, law in (("1.0", "Generic"), ("2.0", "Generic"), ("2.5", "Generic"), ("3.0", "Unported"), ("4.0", "International")):
+            name = "-".join(full[x] for x in kind.split("-"))
+            out[f"CC-{kind}-{v}"] = [f"CC {kind} {v}", f"the CC {kind} {v} License", *(f"{a} Creative Commons {name} {v}{x} License" for a in ("a", "the") for x in (f" {law}", ""))]
+    return out
+
+
+FORMS = ["Licensed under {}.", "Released under {}.", "Distributed under {}.", "Available under {}.", "Published under {}."]
+FORMS += [f"This {x} is {y} under {{}}." for x in ("work", "software", "project", "file", "document", "text", "program", "code") for y in ("licensed", "released", "distributed")]
+
+
+def _notices() -> dict[str, str]:
+    """Each name in each form and the SPDX line, but for what is known by another id."""
+    seen, out = {*KNOWN.values()}, {}
+    for spdx, names in _names().items():
+        forms = [f"SPDX-License-Identifier: {spdx}", *(f.format(x) for x in dict.fromkeys([*names, spdx]) for f in FORMS)]
+        for suffix in ("only", "or-later") if "GPL" in spdx else ():
+            forms.append(f"SPDX-License-Identifier: {spdx}-{suffix}")
+        out |= {f"{spdx}-notice-{i}": t for i, t in enumerate(forms, 10) if t not in seen}
+    return out
+
+
+KNOWN |= _notices()
+
 
 def canonical_lines(text: Column) -> Column:
     """The canonical form of each line that has a word in it, as array<string>; words are two spaces apart."""
