@@ -18,3 +18,13 @@ def test_against_sql(spark, name):
 
 def test_each_has_sql():
     assert registry.QUERIES.keys() == registry.ORACLE_SQL.keys()
+
+
+def test_bulk_insertion_at_the_ends_and_before_one_node(spark):
+    from tidestep.operators import lists
+
+    nodes = spark.createDataFrame([(1, None, 2), (2, 1, 3), (3, 2, None)], "id long, prev long, next long")
+    new = spark.createDataFrame([(10, 1), (11, 1), (20, 2), (21, 2), (22, 2), (30, None), (31, None), (40, 99)], "id long, before long")
+    got = {r.id: (r.prev, r.next) for r in lists.insert_before(nodes, new).collect()}
+    order = [10, 11, 1, 20, 21, 22, 2, 3, 30, 31]
+    assert got == {x: (a, b) for a, x, b in zip([None, *order], order, [*order[1:], None])}

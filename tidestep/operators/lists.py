@@ -59,16 +59,21 @@ def list_rank(nodes: DataFrame) -> DataFrame:
     return state.join(F.broadcast(most)).select("id", (F.col("most") - F.col("dist")).alias("rank"))  # one row
 
 
-def insert_before(nodes: DataFrame, new: DataFrame) -> DataFrame:
-    """A list (id, prev, next) with single nodes ``new`` (id, before) inserted, at most one before each node."""
-    at = new.select(F.col("id").alias("new"), F.col("before"))
-    joined = nodes.join(at, nodes.id == at.before, "left")
-    kept_nodes = joined.select("id", F.coalesce("new", "prev").alias("prev"), "next")
-    follows = at.join(nodes.select(F.col("id").alias("before"), F.col("prev").alias("old_prev")), "before")
-    added = follows.select(F.col("new").alias("id"), F.col("old_prev").alias("prev"), F.col("before").alias("next"))
-    relinked = follows.where("old_prev IS NOT NULL").select(F.col("old_prev").alias("id"), F.col("new").alias("then"))
-    out = kept_nodes.join(relinked, "id", "left").select("id", "prev", F.coalesce("then", "next").alias("next"))
-    return out.unionByName(added)
+def insert_before(nodes: DataFrame, new: DataFrame, *order: str | Column) -> DataFrame:
+    """A list (id, prev, next) with the nodes ``new`` (id, before) inserted, any number before each node, in ``order`` (of ids if none is given).
+
+    A null ``before`` appends; nodes before one that is not in the list are left out.
+    """
+    place = Window.partitionBy("before").orderBy(*(order or ("id",)))
+    chain = new.select("id", "before", F.lag("id").over(place).alias("back"), F.lead("id").over(place).alias("then"))
+    chain = chain.join(nodes.select(F.col("id").alias("_at")), F.col("before") == F.col("_at"), "left").where("before IS NULL OR _at IS NOT NULL").drop("_at")
+    first = chain.where("back IS NULL").select(F.col("before").alias("_before"), F.col("id").alias("first"))
+    last = chain.where("then IS NULL").select(F.col("before").alias("_before"), F.col("id").alias("last"))
+    relinked = nodes.join(last, F.col("id") == F.col("_before"), "left").select("id", F.coalesce("last", "prev").alias("prev"), "next")
+    relinked = relinked.join(first, F.col("next").eqNullSafe(F.col("_before")), "left").select("id", "prev", F.coalesce("first", "next").alias("next"))
+    ends = nodes.select(F.col("id").alias("_prev"), F.col("next").alias("_next"))
+    added = chain.join(ends, F.col("back").isNull() & F.col("before").eqNullSafe(F.col("_next")), "left")
+    return relinked.unionByName(added.select("id", F.coalesce("back", "_prev").alias("prev"), F.coalesce("then", "before").alias("next")))
 
 
 def rebalanced(df: DataFrame, p: int, *order: str | Column) -> DataFrame:

@@ -587,6 +587,16 @@ def list_insert(spark, d):
     return lists.insert_before(nodes, nodes.where("id % 5 = 0").select((-1 - c("id")).alias("id"), c("id").alias("before")))
 
 
+@query(f"""WITH l AS ({SQL_LINKS}), n AS (SELECT id, 8 * row_number() OVER (ORDER BY CAST(round(o_totalprice * 100) AS BIGINT), o_orderkey) AS k FROM (SELECT o_orderkey AS id, o_totalprice, o_orderkey FROM orders)),
+a AS (SELECT id, k FROM n UNION ALL SELECT -1 - 4 * id - i.range, k - 4 + i.range FROM n, range(3) i WHERE id % 5 = 0 AND i.range <= id % 3)
+SELECT id, lag(id) OVER (ORDER BY k) AS prev, lead(id) OVER (ORDER BY k) AS next FROM a""")
+def list_insert_bulk(spark, d):
+    """One to three new nodes, in an order of their own, before every fifth key."""
+    nodes = order_list(spark, d)
+    new = nodes.where("id % 5 = 0").select(c("id").alias("before"), F.explode(F.sequence(F.lit(0).cast("long"), c("id") % 3)).alias("idx"))
+    return lists.insert_before(nodes, new.select((-1 - 4 * c("before") - c("idx")).alias("id"), "before", "idx"), "idx")
+
+
 @query("SELECT pid, (n + 8 - pid - 1) // 8 AS n FROM (SELECT count(*) AS n FROM orders), (SELECT CAST(range AS INTEGER) AS pid FROM range(8))")
 def rebalance_sizes(spark, d):
     o = table(spark, d, "orders").select((c("o_custkey") % 3).cast("int").alias("pid"), c("o_orderkey").alias("id"))
