@@ -28,3 +28,15 @@ def test_bulk_insertion_at_the_ends_and_before_one_node(spark):
     got = {r.id: (r.prev, r.next) for r in lists.insert_before(nodes, new).collect()}
     order = [10, 11, 1, 20, 21, 22, 2, 3, 30, 31]
     assert got == {x: (a, b) for a, x, b in zip([None, *order], order, [*order[1:], None])}
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="needs the test tables")
+def test_each_row_is_scattered_and_exchanged(spark):
+    c = spark.read.parquet(f"{SF}/customer.parquet").select("c_custkey")
+    block, most = (f(spark, SF) for f in (registry.QUERIES["scatter_whole"], registry.QUERIES["alltoall_whole"]))
+    size = c.agg({"c_custkey": "max"}).first()[0] // 8 + 1
+    # The root's own block, and the diagonal, stay where they are.
+    assert block.count() == c.where(f"c_custkey div {size} <> 4").count()
+    x = c.selectExpr("c_custkey % 8 AS pid", "c_custkey div 8 AS off")
+    size = x.agg({"off": "max"}).first()[0] // 8 + 1
+    assert most.count() == x.where(f"off div {size} <> pid").count()

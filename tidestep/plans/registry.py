@@ -250,6 +250,28 @@ def alltoall_transpose(spark, d):
     return collectives.alltoall(customers(spark, d), 4, P)
 
 
+def block_size(df: DataFrame) -> int:
+    """Size of the least equal blocks, one for each process, that hold all of an array."""
+    most = df.agg(F.max("off").alias("most")).first().most
+    return 1 if most is None else most // P + 1
+
+
+@query("""WITH s AS (SELECT max(c_custkey) // 8 + 1 AS size FROM customer)
+SELECT CAST(c_custkey // size AS INTEGER) AS pid, c_custkey % size AS off, CAST(round(c_acctbal * 100) AS BIGINT) AS val FROM customer, s WHERE c_custkey // size <> 4""")
+def scatter_whole(spark, d):
+    """As ``scatter``, in blocks that hold the whole of the array."""
+    root = table(spark, d, "customer").select(F.lit(4).alias("pid"), c("c_custkey").alias("off"), cents("c_acctbal").alias("val"))
+    return collectives.scatter(root, block_size(root), 4, P)
+
+
+@query(f"""WITH x AS ({SQL_CUSTOMER}), s AS (SELECT max(off) // 8 + 1 AS size FROM x)
+SELECT CAST(off // size AS INTEGER) AS pid, pid * size + off % size AS off, val FROM x, s WHERE off // size <> pid""")
+def alltoall_whole(spark, d):
+    """As ``alltoall_transpose``, in blocks that hold the whole of each array."""
+    own = customers(spark, d)
+    return collectives.alltoall(own, block_size(own), P)
+
+
 for _op, _sql in (("sum", "CAST(sum(val) AS BIGINT)"), ("min", "min(val)"), ("max", "max(val)"), ("xor", "bit_xor(val)")):
 
     def _reduce(spark, d, op=_op):
