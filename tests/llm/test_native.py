@@ -115,3 +115,11 @@ def test_full_licenses(spark, tmp_path):
     texts = [zlib, *("Copyright (c) 2020 X\n" + licenses.KNOWN[i].upper().replace("\n\n", "\n \n") for i in ids)]
     got = {r.doc_id: r.license_id for r in licenses.op1_licenses(spark, documents(spark, tmp_path, texts)).collect()}
     assert [got[i] for i in range(len(texts))] == ["Zlib", *ids]
+
+
+def test_passage_of_short_lines_keeps_one_copy(spark, tmp_path):
+    verse = "\n".join(f"five words of line {i}" for i in range(12))
+    texts = [f"own {i}\n{verse}\nend {i}" for i in range(3)]
+    d = documents(spark, tmp_path, texts)
+    assert compare(spark, "op3_all_lines", queries.QUERIES["op3_all_lines"], queries.ORACLE_SQL["op3_all_lines"], d) == 3
+    assert {r.doc_id: r.n_removed for r in queries.QUERIES["op3_all_lines"](spark, d).collect()} == {0: 0, 1: 12, 2: 12}

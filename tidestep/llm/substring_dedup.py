@@ -85,9 +85,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", unit: str =
     return done.drop("_in").withColumnRenamed("_kept", text)
 
 
-def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    """Repeated lines of eight words or more over the whole of ``documents``: what each document loses, with offsets."""
-    out = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+def _losses(out: DataFrame) -> DataFrame:
     spans = F.transform("_removed", lambda s: F.concat_ws("-", s["start"].cast("string"), s["stop"].cast("string")))
     return out.select(
         "doc_id",
@@ -98,6 +96,16 @@ def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """Repeated lines of eight words or more over the whole of ``documents``: what each document loses, with offsets."""
+    return _losses(dedup(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op3_all_lines(spark, sf_dir: str) -> DataFrame:
+    """As ``op3_substring_dedup``, for repeated lines of any number of words."""
+    return _losses(dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=1))
+
+
 OP3_SQL = r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -117,3 +125,5 @@ SELECT doc_id, count(*) AS n_units, count(*) FILTER (WHERE gone) AS n_removed,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM r GROUP BY doc_id
 """
+
+OP3_ALL_SQL = OP3_SQL.replace("len(string_split(key, ' ')) >= 8", "len(string_split(key, ' ')) >= 1")
