@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -14,10 +15,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: the session's ``spark.checkpoint.dir``.
+
+    Where that is unset, a session that runs in one process (master ``local`` or ``local[...]``)
+    gets a temporary folder; on a cluster it is an error, since no other folder is known to be shared.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
+        found = "file://" + os.path.join(tempfile.gettempdir(), "tidestep-shared")
+    return found.rstrip("/")
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the folder that all executors share and read again; this cuts the lineage of an iteration."""
-    found = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "tidestep-supersteps")
-    path = f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
