@@ -64,7 +64,7 @@ def test_library(spark):
     assert lib.tag_size == 4 and lib.slot("x") != 0
     assert {r.pid: (r.n, r.bytes) for r in lib.qsize().collect()} == {0: (3, 12), 1: (0, 0), 2: (0, 0)}
     assert {r.pid: r.status for r in lib.get_tag().collect()} == {0: 4, 1: -1, 2: -1}
-    assert sorted(r.payload for r in lib.moved(2).collect()) == ["ab"] * 3
+    assert sorted(r.payload for r in lib.moved(2).collect()) == [b"ab"] * 3  # bytes, as they are copied
     lib.get_from(lib.procs, F.lit(9), ((c("pid") + 1) % 3, "x", 0), (c("pid"), "z", 0))
     lib.put_to(lib.procs.where("pid = 0"), F.lit(1), (0, "z", 0), (0, "z", 0))
     lib.pop_reg("x")

@@ -40,3 +40,31 @@ def test_each_row_is_scattered_and_exchanged(spark):
     x = c.selectExpr("c_custkey % 8 AS pid", "c_custkey div 8 AS off")
     size = x.agg({"off": "max"}).first()[0] // 8 + 1
     assert most.count() == x.where(f"off div {size} <> pid").count()
+
+
+def test_ranking_rejects_cycles_and_pointers_to_nothing(spark):
+    from tidestep.operators import lists
+
+    make = lambda rows: spark.createDataFrame(rows, "id long, next long")
+    with pytest.raises(ValueError, match="not in the list"):
+        lists.list_rank(make([(1, 2), (2, 9), (3, None)]))
+    with pytest.raises(ValueError, match="cycle"):
+        lists.list_rank(make([(1, 2), (2, 1), (3, None)]))
+    assert [r.rank for r in lists.list_rank(make([(i, i + 1 if i < 12 else None) for i in range(13)])).orderBy("id").collect()] == [*range(13)]
+
+
+def test_bytes_are_cut_and_a_refused_message_leaves_room(spark):
+    from tidestep.operators import messages
+
+    q = spark.createDataFrame([(0, 1, 1, "t", "éé日本"), (0, 1, 2, "t", "x" * 90), (0, 1, 3, "t", "abc")], "src_pid int, dst_pid int, seq long, tag string, payload string")
+    q = messages.send(q, q.src_pid, q.dst_pid, q.seq, q.tag, q.payload)
+    assert {r.seq: (bytes(r.payload), r.length) for r in messages.moved(q, 5).collect()}[1] == ("éé日".encode()[:5], 10)
+    assert [(r.used, r.full) for r in messages.full_flags(q, 40).orderBy("seq").collect()] == [(19, False), (19, True), (31, False)]
+
+
+def test_machine_parameters_of_four_relations(spark):
+    from tidestep.operators import cost
+
+    t = spark.createDataFrame([(1, h, x) for h, x in ((0, 5.0), (1, 9.0), (2, 12.0), (4, 20.0), (4, 25.0))], "block long, h long, t double")
+    assert [tuple(r) for r in cost.machine_parameters(t).collect()] == [(1, 4.0, 6.0)]
+    assert cost.bsp_parameters(1.0, 10.0, 14.0, 54.0, 8.0, 4, 12) == {"t0": 1.0, "g": 1.0, "L": 6.0, "r": 8.0 / 48}

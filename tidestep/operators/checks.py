@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidestep.sources.tables import small
+
 MOST = (1 << 63) - 1
 
 
@@ -63,7 +65,7 @@ def unequal_counts(calls: DataFrame, procs: DataFrame) -> DataFrame:
     """Supersteps in which processes made different numbers of a collective call. ``calls``: step, pid."""
     steps = calls.select("step").distinct()
     n = calls.groupBy("step", "pid").agg(F.count(F.lit(1)).alias("n"))
-    every = steps.join(F.broadcast(procs.select("pid"))).join(n, ["step", "pid"], "left").select("step", F.coalesce("n", F.lit(0)).alias("n"))
+    every = steps.join(small(procs.select("pid"))).join(n, ["step", "pid"], "left").select("step", F.coalesce("n", F.lit(0)).alias("n"))
     return every.groupBy("step").agg(F.min("n").alias("least"), F.max("n").alias("most")).where("least <> most")
 
 

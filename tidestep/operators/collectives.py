@@ -1,7 +1,7 @@
 """Collective operations over ``(pid, off, val)``; each is a projection, a shuffle on the new owner or an aggregate.
 
 ``procs`` are the processes that take part. It is made of a stated number of processes
-and is the side that is broadcast where rows are copied to all of them.
+and is the side that is broadcast where rows are copied to all of them, if its size is bounded.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidestep.functions.reducers import reducer
+from tidestep.sources.tables import small
 
 
 def members(procs: DataFrame, lo: int, hi: int, stride: int) -> DataFrame:
@@ -19,12 +20,12 @@ def members(procs: DataFrame, lo: int, hi: int, stride: int) -> DataFrame:
 
 def ranked(df: DataFrame, group: DataFrame) -> DataFrame:
     """Rows of the members of a group, with ranks in place of pids."""
-    return df.join(F.broadcast(group), "pid").select(F.col("rank").alias("pid"), "off", "val")
+    return df.join(small(group), "pid").select(F.col("rank").alias("pid"), "off", "val")
 
 
 def everywhere(df: DataFrame, procs: DataFrame) -> DataFrame:
     """Each row once for each process, in ``pid``."""
-    return df.drop("pid").join(F.broadcast(procs.select("pid")))
+    return df.drop("pid").join(small(procs.select("pid")))
 
 
 def broadcast(df: DataFrame, procs: DataFrame, root: int) -> DataFrame:
@@ -37,9 +38,19 @@ def broadcast_tree(df: DataFrame, procs: DataFrame, root: int, p: int) -> DataFr
     hop = max(1, int(p**0.5))
     order = procs.select("pid", F.pmod(F.col("pid") - root, F.lit(p)).alias("d"))
     relays = order.where(F.col("d") % hop == 0).select(F.col("d").alias("relay"))
-    first = df.where(F.col("pid") == root).select("off", "val").join(F.broadcast(relays))
+    first = df.where(F.col("pid") == root).select("off", "val").join(small(relays))
     rest = order.where("d > 0").select("pid", (F.col("d") - F.col("d") % hop).alias("relay"))
-    return first.join(F.broadcast(rest), "relay").select("pid", "off", "val")
+    return first.join(small(rest), "relay").select("pid", "off", "val")
+
+
+def broadcast_striped(df: DataFrame, procs: DataFrame, root: int, size: int, p: int) -> DataFrame:
+    """As ``broadcast``, in two hops: each process takes one of p stripes of the root's ``size`` elements, then all hand theirs on (``via``).
+
+    The stripes are an exchange of their own, so one large array does not leave from one task.
+    """
+    chunk = -(-size // p) or 1
+    stripes = df.where(F.col("pid") == root).select(F.expr(f"off div {chunk}").cast("int").alias("via"), "off", "val").repartition("via")
+    return stripes.join(small(procs.where(F.col("pid") != root).select("pid"))).select("pid", "via", "off", "val")
 
 
 def gather(df: DataFrame, size: int, root: int) -> DataFrame:
@@ -56,7 +67,7 @@ def scatter(df: DataFrame, size: int, root: int, p: int) -> DataFrame:
 def allgather(df: DataFrame, procs: DataFrame, size: int, exclude_self: bool = False) -> DataFrame:
     """All blocks on every process."""
     own = df.select(F.col("pid").alias("src"), (F.col("pid") * F.lit(size).cast("long") + F.col("off")).alias("off"), "val")
-    out = own.join(F.broadcast(procs.select("pid")))
+    out = own.join(small(procs.select("pid")))
     return (out.where("pid <> src") if exclude_self else out).select("pid", "off", "val")
 
 
@@ -65,7 +76,7 @@ def allgatherv(df: DataFrame, procs: DataFrame) -> DataFrame:
     n = df.groupBy("pid").agg(F.count(F.lit(1)).alias("n"))
     all_n = procs.select("pid").join(n, "pid", "left").select("pid", F.coalesce("n", F.lit(0)).alias("n"))
     start = all_n.select(F.col("pid").alias("src"), F.coalesce(F.sum("n").over(Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))  # a row for each process
-    moved = df.withColumnRenamed("pid", "src").join(F.broadcast(start), "src").select((F.col("start") + F.col("off")).alias("off"), "val")
+    moved = df.withColumnRenamed("pid", "src").join(small(start), "src").select((F.col("start") + F.col("off")).alias("off"), "val")
     return everywhere(moved, procs).select("pid", "off", "val")
 
 

@@ -32,6 +32,15 @@ def ranked(df: DataFrame, *keys: str | Column, name: str = "rank") -> DataFrame:
     return own.join(F.broadcast(before), "range").withColumn(name, (F.col("before") + F.col("_place") - 1).cast("long")).drop("range", "before", "_place")
 
 
+def placed(df: DataFrame, group: list[str], *keys: str | Column, name: str = "place") -> DataFrame:
+    """Place (from 1) of each row in its group by ``keys`` (a total order), however large a group is: its rank among all rows, less the rows of the groups before."""
+    rows = kept(ranked(df, *group, *keys, name="_rank"), "ranked")
+    first = rows.groupBy(*group).agg(F.min("_rank").alias("_first"))
+    own = [F.col(g).eqNullSafe(F.col(f"_of_{g}")) for g in group]
+    out = rows.join(first.withColumnsRenamed({g: f"_of_{g}" for g in group}), own)
+    return out.withColumn(name, F.col("_rank") - F.col("_first") + 1).drop("_rank", "_first", *(f"_of_{g}" for g in group))
+
+
 def links(df: DataFrame, key: str, *order: str | Column) -> DataFrame:
     """``id``, ``prev``, ``next`` of the list in the order of the rows: each rank is joined to its neighbours'."""
     named = {f"_o{i}": F.col(o) if isinstance(o, str) else o for i, o in enumerate(order)}
@@ -46,17 +55,26 @@ def list_rank(nodes: DataFrame) -> DataFrame:
     """``id`` and ``rank`` of each node of a list, by pointer doubling.
 
     Each round a node adds the distance of the node it points to and takes over its
-    pointer. Nodes that reach the end leave the rounds' moving side, and each round is
-    a table in the shared folder.
+    pointer. Only nodes that still move are written in a round, to a table in the shared
+    folder; those that have reached the end are read from the round in which they did.
+
+    A pointer to no node, and a cycle (which no end is reached from in log2 n rounds), is a ValueError.
     """
     # Distance to the end of the list; the rank is the largest distance less one's own.
-    state = kept(nodes.select("id", "next", F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("dist")), "list")
-    while not state.where("next IS NOT NULL").isEmpty():
-        at = state.select(F.col("id").alias("next"), F.col("next").alias("further"), F.col("dist").alias("more"))
-        moved = state.where("next IS NOT NULL").join(at, "next").select("id", F.col("further").alias("next"), (F.col("dist") + F.col("more")).alias("dist"))
-        state = kept(moved.unionByName(state.where("next IS NULL")), "list")
-    most = state.agg(F.max("dist").alias("most"))
-    return state.join(F.broadcast(most)).select("id", (F.col("most") - F.col("dist")).alias("rank"))  # one row
+    moving = kept(nodes.select("id", "next", F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("dist")), "list")
+    if not moving.where("next IS NOT NULL").join(moving.select(F.col("id").alias("_id")), F.col("next") == F.col("_id"), "left_anti").isEmpty():
+        raise ValueError("a node points to one that is not in the list")
+    done, left = moving.where("next IS NULL"), moving.count().bit_length() + 1
+    while not moving.where("next IS NOT NULL").isEmpty():
+        if not left:
+            raise ValueError("the list has a cycle")
+        left -= 1
+        moving = moving.where("next IS NOT NULL")
+        at = moving.unionByName(done).select(F.col("id").alias("next"), F.col("next").alias("further"), F.col("dist").alias("more"))
+        moving = kept(moving.join(at, "next").select("id", F.col("further").alias("next"), (F.col("dist") + F.col("more")).alias("dist")), "list")
+        done = done.unionByName(moving.where("next IS NULL"))
+    most = done.agg(F.max("dist").alias("most"))
+    return done.join(F.broadcast(most)).select("id", (F.col("most") - F.col("dist")).alias("rank"))  # one row
 
 
 def insert_before(nodes: DataFrame, new: DataFrame, *order: str | Column) -> DataFrame:
@@ -81,6 +99,17 @@ def rebalanced(df: DataFrame, p: int, *order: str | Column) -> DataFrame:
     return ranked(df, *order, name="place").withColumn("pid", (F.col("place") % p).cast("int")).drop("place")
 
 
+def relocated(nodes: DataFrame, p: int, *order: str | Column) -> DataFrame:
+    """A list (id, prev, next) rebalanced: ``id``, its new place ``pid``, ``idx``, and both links as places (null at the ends)."""
+    place = ranked(nodes, *order, name="place")
+    at = kept(place.select("id", "prev", "next", (F.col("place") % p).cast("int").alias("pid"), F.expr(f"place div {p}").alias("idx")), "places")
+    for side in ("prev", "next"):
+        to = at.select(F.col("id").alias(f"_{side}"), F.col("pid").alias(f"{side}_pid"), F.col("idx").alias(f"{side}_idx"))
+        place = at if side == "prev" else place
+        place = place.join(to, F.col(side) == F.col(f"_{side}"), "left")
+    return place.select("id", "pid", "idx", "prev_pid", "prev_idx", "next_pid", "next_idx")
+
+
 def random_list(spark, n: int, seed: int = 0) -> DataFrame:
     """The nodes 0 .. n - 1 as a list in a random order that the seed fixes."""
     keyed = spark.range(n).select("id", F.xxhash64(F.lit(seed), "id").alias("key"))

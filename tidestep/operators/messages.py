@@ -6,9 +6,14 @@ here it is by sender, and of one sender the last message first.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidestep.operators.lists import placed
+
 #: Bytes before each message that hold its length.
 HEADER = 8
 
@@ -18,16 +23,39 @@ def send(df: DataFrame, src, dst, seq, tag, payload) -> DataFrame:
 
 
 def full_flags(queue: DataFrame, capacity: int) -> DataFrame:
-    """Bytes used in the region of each (sender, receiver) after each message, and whether it is full: the message is refused."""
-    until = Window.partitionBy("src_pid", "dst_pid").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    need = F.sum(F.lit(HEADER) + F.coalesce(F.octet_length("tag"), F.lit(0)) + F.col("size")).over(until)
-    return queue.withColumn("used", need.cast("long")).withColumn("full", F.col("used") > capacity)
+    """``src_pid``, ``dst_pid``, ``seq``, ``used`` and ``full``: whether each message is refused, and the bytes used in its region after it.
+
+    Each (sender, receiver) has a region of ``capacity`` bytes. A message that does not fit is
+    refused and leaves the region as it was, so a later, smaller one may still fit. That depends
+    on each message before, so a task streams the messages of a pair in order and keeps one number.
+    """
+    need = F.lit(HEADER) + F.coalesce(F.octet_length("tag"), F.lit(0)) + F.col("size")
+    rows = queue.select("src_pid", "dst_pid", "seq", need.cast("long").alias("need")).repartition("src_pid", "dst_pid").sortWithinPartitions("src_pid", "dst_pid", "seq")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, used = None, 0
+        for batch in batches:
+            src, dst, seq, needs = (x.to_pylist() for x in batch.columns)
+            kept, full = [], []
+            for s, d, n in zip(src, dst, needs, strict=True):
+                if (s, d) != at:
+                    at, used = (s, d), 0
+                full.append(used + n > capacity)
+                used += 0 if full[-1] else n
+                kept.append(used)
+            yield pa.record_batch([*batch.columns[:3], pa.array(kept, pa.int64()), pa.array(full, pa.bool_())], names=["src_pid", "dst_pid", "seq", "used", "full"])
+
+    return rows.mapInArrow(fold, "src_pid int, dst_pid int, seq long, used long, full boolean")
 
 
 def delivered(queue: DataFrame) -> DataFrame:
     """``place`` of each message in the order of reading on its receiver."""
-    order = Window.partitionBy("dst_pid").orderBy("src_pid", F.desc("seq"))
-    return queue.withColumn("place", F.row_number().over(order))
+    return placed(queue, ["dst_pid"], "src_pid", F.desc("seq"))
+
+
+def remaining(queue: DataFrame, moves: DataFrame) -> DataFrame:
+    """The messages left after each process has moved or discarded ``n`` of its own (``moves``: pid, n), in the order of reading."""
+    return delivered(queue).join(moves.select(F.col("pid").alias("dst_pid"), "n"), "dst_pid", "left").where(F.col("place") > F.coalesce("n", F.lit(0))).drop("n", "place")
 
 
 def sync_all(queues: dict[str, DataFrame]) -> DataFrame:
@@ -53,8 +81,15 @@ def peeked(queue: DataFrame, procs: DataFrame) -> DataFrame:
 
 
 def moved(queue: DataFrame, most: int) -> DataFrame:
-    """Payloads cut to ``most`` characters, with the length before."""
-    return queue.select("src_pid", "dst_pid", "seq", F.substring("payload", 1, most).alias("payload"), F.char_length("payload").cast("long").alias("length"))
+    """Payloads as bytes cut to ``most`` of them, with the number of bytes before. ``remaining`` has what is left of the queue."""
+    raw = F.col("payload").cast("binary")
+    return queue.select("src_pid", "dst_pid", "seq", F.substring(raw, 1, most).alias("payload"), F.coalesce(F.octet_length(raw), F.lit(0)).cast("long").alias("length"))
+
+
+def hp_moved(queue: DataFrame, moves: DataFrame) -> DataFrame:
+    """Tag, payload and size of the messages that ``moves`` (pid, n) takes from the queue, in place: none is cut or copied."""
+    taken = delivered(queue).join(moves.select(F.col("pid").alias("dst_pid"), "n"), "dst_pid").where(F.col("place") <= F.col("n"))
+    return taken.select("dst_pid", "place", "src_pid", "seq", "tag", "payload", "size")
 
 
 def volume(log: DataFrame, kinds: list[str]) -> DataFrame:
@@ -63,10 +98,28 @@ def volume(log: DataFrame, kinds: list[str]) -> DataFrame:
     return log.groupBy("src_pid", "dst_pid").agg(*counts, F.sum("size").cast("long").alias("bytes"))
 
 
+#: The kinds of requests whose volumes a superstep exchanges.
+KINDS = ("put", "hpput", "get", "hpget", "send", "hpsend")
+
+
+def request_volume(log: DataFrame) -> DataFrame:
+    """For each (source, destination) the requests of the six kinds, the bytes of buffered gets and of sends, and the messages they make (a send makes two)."""
+    bytes_of = lambda *kinds: F.coalesce(F.sum(F.when(F.col("kind").isin(*kinds), F.col("size"))), F.lit(0)).cast("long")
+    counts = [F.count_if(F.col("kind") == k).alias(k) for k in KINDS]
+    out = log.groupBy("src_pid", "dst_pid").agg(*counts, bytes_of("get").alias("get_payload"), bytes_of("send", "hpsend").alias("send_payload"))
+    return out.withColumn("messages", sum((F.col(k) for k in KINDS[1:4]), F.col(KINDS[0])) + (F.col("send") + F.col("hpsend")) * 2)
+
+
 def demoted(messages: DataFrame, budget: int) -> DataFrame:
-    """Of the unbuffered messages of each process the ``budget`` largest stay unbuffered; the others are buffered."""
+    """``messages`` (src_pid, seq, size, ...) and ``buffered``: of the unbuffered messages of each process the ``budget`` largest stay so, by ``seq`` among equals.
+
+    Only those are ranked: each task keeps at most ``budget`` of a process before the exchange.
+    """
     order = Window.partitionBy("src_pid").orderBy(F.desc("size"), "seq")
-    return messages.withColumn("place", F.row_number().over(order)).withColumn("buffered", F.col("place") > budget)
+    largest = messages.select("src_pid", "seq", "size").withColumn("place", F.row_number().over(order)).where(F.col("place") <= budget)
+    largest = largest.select(F.col("src_pid").alias("_src"), F.col("seq").alias("_seq"))
+    joined = messages.join(largest, (F.col("src_pid") == F.col("_src")) & (F.col("seq") == F.col("_seq")), "left")
+    return joined.withColumn("buffered", F.col("_seq").isNull()).drop("_src", "_seq")
 
 
 def tag_sizes(settings: DataFrame) -> DataFrame:

@@ -368,14 +368,47 @@ def bsmp_get_tag(spark, d):
     return messages.peeked(queue(spark, d), procs_of(spark))
 
 
-@query(f"SELECT src_pid, dst_pid, seq, left(payload, 40) AS payload, length(payload) AS length FROM ({SQL_QUEUE})")
+@query(f"SELECT src_pid, dst_pid, seq, left(hex(encode(payload)), 80) AS bytes, coalesce(strlen(payload), 0) AS length FROM ({SQL_QUEUE})")
 def bsmp_truncate(spark, d):
-    return messages.moved(queue(spark, d), 40)
+    """Payloads cut to forty bytes, which may cut a character."""
+    return messages.moved(queue(spark, d), 40).select("src_pid", "dst_pid", "seq", F.hex("payload").alias("bytes"), "length")
 
 
-@query(f"SELECT seq, CAST(used AS BIGINT) AS used, used > 20000 AS \"full\" FROM (SELECT seq, sum(8 + coalesce(strlen(tag), 0) + size) OVER (PARTITION BY src_pid, dst_pid ORDER BY seq ROWS UNBOUNDED PRECEDING) AS used FROM ({SQL_QUEUE}))")
+SQL_MOVES = f"SELECT pid, 5 * pid AS n FROM ({SQL_PROCS})"
+SQL_PLACED = f"SELECT *, row_number() OVER (PARTITION BY dst_pid ORDER BY src_pid, seq DESC) AS place FROM ({SQL_QUEUE})"
+
+
+def moves(spark):
+    return procs_of(spark).select("pid", (c("pid") * 5).alias("n"))
+
+
+@query(f"SELECT q.dst_pid, q.seq FROM ({SQL_PLACED}) q JOIN ({SQL_MOVES}) m ON m.pid = q.dst_pid WHERE q.place > m.n")
+def bsmp_consumed(spark, d):
+    """What is left of the queue after process s has moved 5 s messages."""
+    return messages.remaining(queue(spark, d), moves(spark)).select("dst_pid", "seq")
+
+
+@query(f"SELECT q.dst_pid, q.place, q.seq, q.tag, strlen(q.payload) AS bytes FROM ({SQL_PLACED}) q JOIN ({SQL_MOVES}) m ON m.pid = q.dst_pid WHERE q.place <= m.n")
+def bsmp_hpmove(spark, d):
+    """The messages that those moves take."""
+    out = messages.hp_moved(queue(spark, d), moves(spark))
+    return out.select("dst_pid", c("place").cast("long").alias("place"), "seq", "tag", F.octet_length("payload").cast("long").alias("bytes"))
+
+
+@query(f"SELECT p.pid, count(q.seq) AS n, CAST(coalesce(sum(q.size), 0) AS BIGINT) AS bytes FROM ({SQL_MOVES}) p LEFT JOIN ({SQL_PLACED}) q ON q.dst_pid = p.pid AND q.place > p.n GROUP BY 1")
+def bsmp_qsize_after_moves(spark, d):
+    """Messages and bytes that still wait after those moves."""
+    return messages.queue_size(messages.remaining(queue(spark, d), moves(spark)), procs_of(spark))
+
+
+@query(f"""WITH RECURSIVE q AS (SELECT src_pid, dst_pid, seq, 8 + coalesce(strlen(tag), 0) + size AS need, row_number() OVER (PARTITION BY src_pid, dst_pid ORDER BY seq) AS nth FROM ({SQL_QUEUE})),
+f AS (SELECT src_pid, dst_pid, seq, nth, CASE WHEN need > 2000 THEN 0 ELSE need END AS used, need > 2000 AS "full" FROM q WHERE nth = 1
+  UNION ALL SELECT q.src_pid, q.dst_pid, q.seq, q.nth, CASE WHEN f.used + q.need > 2000 THEN f.used ELSE f.used + q.need END, f.used + q.need > 2000
+  FROM f JOIN q ON q.src_pid = f.src_pid AND q.dst_pid = f.dst_pid AND q.nth = f.nth + 1)
+SELECT seq, CAST(used AS BIGINT) AS used, "full" FROM f""")
 def bsmp_full_flags(spark, d):
-    return messages.full_flags(queue(spark, d), 20000).select("seq", "used", "full")
+    """Regions of 2,000 bytes: a refused message leaves room for a smaller one."""
+    return messages.full_flags(queue(spark, d), 2000).select("seq", "used", "full")
 
 
 @query(f"SELECT queue, dst_pid, count(*) AS n FROM (SELECT 'text' AS queue, dst_pid FROM ({SQL_QUEUE}) UNION ALL SELECT 'turn', src_pid FROM ({SQL_QUEUE})) GROUP BY 1, 2")
@@ -398,11 +431,24 @@ def comm_volume_matrix(spark, d):
     return messages.volume(log(spark, d), ["click", "view", "purchase"])
 
 
-@query(f"SELECT seq, place, place > 10 AS buffered FROM (SELECT seq, row_number() OVER (PARTITION BY src_pid, dst_pid ORDER BY size DESC, seq) AS place FROM ({SQL_LOG}))")
+_KINDS = "['" + "', '".join(messages.KINDS) + "']"
+SQL_REQUESTS = f"SELECT CAST(event_id % 8 AS INTEGER) AS src_pid, CAST(user_id % 8 AS INTEGER) AS dst_pid, list_extract({_KINDS}, CAST(event_id % 6 AS INTEGER) + 1) AS kind, 1 + event_id % 100 AS size FROM events"
+
+
+@query(f"""SELECT *, put + hpput + get + hpget + 2 * (send + hpsend) AS messages FROM (
+  SELECT src_pid, dst_pid, {", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS {k}" for k in messages.KINDS)},
+    CAST(coalesce(sum(size) FILTER (WHERE kind = 'get'), 0) AS BIGINT) AS get_payload, CAST(coalesce(sum(size) FILTER (WHERE kind IN ('send', 'hpsend')), 0) AS BIGINT) AS send_payload
+  FROM ({SQL_REQUESTS}) GROUP BY 1, 2)""")
+def request_volume(spark, d):
+    """What each process tells each other one of its requests before they are exchanged."""
+    kinds = F.array(*map(F.lit, messages.KINDS))
+    return messages.request_volume(log(spark, d).withColumn("kind", F.get(kinds, (c("seq") % 6).cast("int"))))
+
+
+@query(f"SELECT seq, row_number() OVER (PARTITION BY src_pid ORDER BY size DESC, seq) > 10 AS buffered FROM ({SQL_LOG})")
 def hp_demotion_topk(spark, d):
-    """Unbuffered messages of each pair of processes: all but the ten largest are buffered."""
-    pair = log(spark, d).withColumn("src_pid", c("src_pid") * P + c("dst_pid"))
-    return messages.demoted(pair, 10).select("seq", c("place").cast("long").alias("place"), "buffered")
+    """Unbuffered messages of each process: all but the ten largest are buffered."""
+    return messages.demoted(log(spark, d), 10).select("seq", "buffered")
 
 
 @query("""WITH l AS (SELECT event_id // 1000 AS step, event_id % 8 AS pid, arg_max(user_id % 3, event_id) AS n FROM events GROUP BY 1, 2)
@@ -649,8 +695,8 @@ def hrelation_cost(spark, d):
 SQL_MACHINE = "SELECT o_orderkey AS id, 2 + o_orderkey % 62 AS p, 1 + o_custkey % 1000 AS size, 1 + o_orderkey % 7 AS g, 100 * (o_orderkey % 13) AS l FROM orders"
 
 
-@query(f"""SELECT id, CASE WHEN one <= tree AND one <= striped THEN 'one_step' WHEN tree <= striped THEN 'tree' ELSE 'striped' END AS plan
-FROM (SELECT id, p * size * g + l AS one, 2 * (CAST(ceil(sqrt(p)) AS BIGINT) * size * g + l) AS tree, 3 * size * g + 2 * l AS striped FROM ({SQL_MACHINE}))""")
+@query(f"""SELECT id, CASE WHEN basic < striping AND basic < tree THEN 'one_step' WHEN size < p THEN 'tree' ELSE 'striped' END AS plan
+FROM (SELECT id, p, size, p * size * g + l AS basic, 2 * sqrt(p) * size * g + 2 * l AS tree, 3 * size * g + 2 * l AS striping FROM ({SQL_MACHINE}))""")
 def cost_model_choice(spark, d):
     m = table(spark, d, "orders").select(c("o_orderkey").alias("id"), (2 + c("o_orderkey") % 62).alias("p"), (1 + c("o_custkey") % 1000).alias("size"), (1 + c("o_orderkey") % 7).alias("g"), (100 * (c("o_orderkey") % 13)).alias("l"))
     return cost.broadcast_plan(m).select("id", "plan")
@@ -671,10 +717,12 @@ def g_interpolation(spark, d):
     return cost.interpolated(w, spark.createDataFrame(CURVE, "block long, g double, l double"))
 
 
-@query("""WITH b AS (SELECT list_extract([1, 8, 128, 1024, 8192, 131072, 1048576], CAST(event_id % 7 AS INTEGER) + 1) AS block, CAST(pow(2, user_id % 6) AS BIGINT) AS h, min(CAST(round(value * 100) AS BIGINT)) AS t FROM events GROUP BY 1, 2),
-e AS (SELECT block, min(h) AS h0, arg_min(t, h) AS t0, max(h) AS h1, arg_max(t, h) AS t1 FROM b GROUP BY 1),
-g AS (SELECT *, CASE WHEN h1 = h0 THEN 0.0::DOUBLE ELSE greatest(0.0::DOUBLE, (t1 - t0) / CAST(h1 - h0 AS DOUBLE)) END AS g FROM e)
-SELECT CAST(block AS BIGINT) AS block, g, greatest(0.0::DOUBLE, t0 - g * h0) AS l FROM g""")
+@query("""WITH b AS (SELECT list_extract([1, 8, 128, 1024, 8192, 131072, 1048576], CAST(event_id % 7 AS INTEGER) + 1) AS block, CAST(pow(2, user_id % 6) AS BIGINT) AS h, CAST(min(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) AS t FROM events GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY h) AS up, row_number() OVER (PARTITION BY block ORDER BY h DESC) AS down FROM b),
+x AS (SELECT block, count(*) AS n, max(t) FILTER (WHERE up = 1) AS t0, max(t) FILTER (WHERE up = 2) AS t1, max(h) FILTER (WHERE up = 2) AS h1, max(t) FILTER (WHERE up = 3) AS t2, max(h) FILTER (WHERE up = 3) AS h2,
+  max(t) FILTER (WHERE down = 2) AS ta, max(h) FILTER (WHERE down = 2) AS ha, max(t) FILTER (WHERE down = 1) AS tb, max(h) FILTER (WHERE down = 1) AS hb FROM r GROUP BY 1)
+SELECT CAST(block AS BIGINT) AS block, CASE WHEN n >= 3 THEN greatest(2.2250738585072014e-308::DOUBLE, (tb - ta) / CAST(hb - ha AS DOUBLE)) END AS g,
+  CASE WHEN n >= 3 THEN greatest(t0, least(t1, t1 - (t2 - t1) / CAST(h2 - h1 AS DOUBLE) * h1)) END AS l FROM x""")
 def machine_parameters(spark, d):
     sizes = F.array(*(F.lit(b).cast("long") for b in cost.BLOCKS))
     t = table(spark, d, "events").select(F.get(sizes, (c("event_id") % 7).cast("int")).alias("block"), F.pow(F.lit(2), c("user_id") % 6).cast("long").alias("h"), cents("value").alias("t"))
@@ -690,6 +738,19 @@ def probe_statistics(spark, d):
     return cost.statistics(table(spark, d, "events").select(c("event_type").alias("kind"), cents("value").alias("t")), "kind", "t")
 
 
+@query("""WITH b AS (SELECT event_type AS kind, event_id % 40 AS bucket, count(*) AS n, sum(CAST(CAST(round(value * 100) AS BIGINT) AS HUGEINT)) AS s FROM events GROUP BY 1, 2),
+m AS (SELECT kind, bucket, n, s, CAST(s AS DOUBLE) / n AS m FROM b),
+k AS (SELECT kind, count(*) AS buckets, CAST(sum(s) AS DOUBLE) / sum(n) AS mean FROM m GROUP BY 1)
+SELECT m.kind, row_number() OVER (PARTITION BY m.kind ORDER BY m.m) - 1 AS nth, m.m AS bucket_mean, k.buckets, k.mean,
+  round(sum((m.m - k.mean) * (m.m - k.mean)) OVER (PARTITION BY m.kind) / (k.buckets - 1), 3) AS variance_of_means FROM m JOIN k ON k.kind = m.kind""")
+def probe_buckets(spark, d):
+    """Means of forty buckets of each kind, in order, with their variance about the mean of all samples."""
+    e = table(spark, d, "events").select(c("event_type").alias("kind"), (c("event_id") % 40).alias("bucket"), cents("value").alias("t"))
+    x = cost.bucket_statistics(e, "kind", "bucket", "t")
+    out = x.select("kind", F.posexplode("means").alias("nth", "bucket_mean"), "buckets", "mean", F.round("variance_of_means", 3).alias("variance_of_means"))
+    return out.withColumn("nth", c("nth").cast("long"))
+
+
 @query(f"SELECT block, sum(10.0::DOUBLE * (0.01::DOUBLE / 7 + 0.99::DOUBLE * block / 1189001)) OVER (ORDER BY block) AS deadline FROM ({SQL_CURVE})")
 def probe_budget(spark, d):
     return cost.budget_split(spark.createDataFrame(CURVE, "block long, g double, l double"), 10.0)
@@ -708,3 +769,45 @@ for _name, _sql in (
 
     QUERIES[f"traffic_{_name}"] = _traffic
     ORACLE_SQL[f"traffic_{_name}"] = _sql
+
+
+_DRAWN = "((({0}) % 2147483648 * 1103515245 + 12345) % 2147483648)"
+_LANDS = _DRAWN.format(_DRAWN.format("pid * 6 + i + 1000003"))
+
+
+@query(f"""SELECT pid AS src_pid, CAST(i AS INTEGER) AS i, CAST(dst AS INTEGER) AS dst_pid, CAST((pid * 6 + i) * 1000 AS BIGINT) AS src_off, CAST((pid * 6 + i) * 1000 AS BIGINT) AS dst_off, CAST(1000 AS BIGINT) AS size
+FROM (SELECT pid, i.range AS i, {_LANDS.replace("+ i +", "+ i.range +")} * 8 // 2147483648 AS dst FROM ({SQL_PROCS}), range(6) i) WHERE dst <> pid""")
+def traffic_random(spark, d):
+    """Six messages of each process to drawn destinations."""
+    return cost.message_bag(procs_of(spark), "random", P, 6, 1000)
+
+
+@query(f"""SELECT pid AS src_pid, CAST(i AS INTEGER) AS i, CAST(dst AS INTEGER) AS dst_pid, CAST((pid * 6 + i) * 1000 AS BIGINT) AS src_off, CAST((dst * 6 + i) * 1000 AS BIGINT) AS dst_off, CAST(1000 AS BIGINT) AS size
+FROM (SELECT pid, i.range AS i, list_extract([(pid + 2) % 8, (8 + pid - 2) % 8, (pid + 1) % 8, (8 + pid - 1) % 8], CAST(i.range % 4 AS INTEGER) + 1) AS dst FROM ({SQL_PROCS}), range(6) i) WHERE dst <> pid""")
+def traffic_grid_collisions(spark, d):
+    """Six messages of each process in turn to its grid neighbours, all into the same cells."""
+    return cost.message_bag(procs_of(spark), "grid", P, 6, 1000, collide=True)
+
+
+@query(f"""SELECT a.pid AS src_pid, CAST(i.range AS INTEGER) AS i, b.pid AS dst_pid, CAST((a.pid * 3 + i.range) * 8 AS BIGINT) AS src_off, CAST((b.pid * 3 + i.range) * 8 AS BIGINT) AS dst_off, CAST(8 AS BIGINT) AS size
+FROM ({SQL_PROCS}) a, ({SQL_PROCS}) b, range(3) i WHERE a.pid <> b.pid""")
+def traffic_all_collisions(spark, d):
+    """Three messages of each process to each other, all writers into the same cells."""
+    return cost.message_bag(procs_of(spark), "all", P, 3, 8, collide=True)
+
+
+@query(f"""WITH l AS ({SQL_LINKS}), r AS (SELECT id, prev, next, row_number() OVER (ORDER BY id) - 1 AS place FROM l),
+a AS (SELECT id, prev, next, CAST(place % 8 AS INTEGER) AS pid, place // 8 AS idx FROM r)
+SELECT a.id, a.pid, a.idx, p.pid AS prev_pid, p.idx AS prev_idx, n.pid AS next_pid, n.idx AS next_idx FROM a LEFT JOIN a p ON p.id = a.prev LEFT JOIN a n ON n.id = a.next""")
+def rebalance_links(spark, d):
+    """A list dealt evenly over the processes, its links as places."""
+    return lists.relocated(order_list(spark, d), P, "id")
+
+
+@query(f"""WITH r AS (SELECT c_custkey AS off, CAST(round(c_acctbal * 100) AS BIGINT) AS val FROM customer), s AS (SELECT max(off) + 1 AS size FROM r)
+SELECT p.pid, CAST(off // ((size + 7) // 8) AS INTEGER) AS via, off, val FROM r, s, ({SQL_PROCS}) p WHERE p.pid <> 4""")
+def broadcast_striped(spark, d):
+    """The array of process 4, first in stripes over all processes, then from all to all."""
+    root = table(spark, d, "customer").select(F.lit(4).alias("pid"), c("c_custkey").alias("off"), cents("c_acctbal").alias("val"))
+    size = (root.agg(F.max("off").alias("most")).first().most or 0) + 1
+    return collectives.broadcast_striped(root, procs_of(spark), 4, size, P)

@@ -41,6 +41,12 @@ def processes(spark: SparkSession, p: int) -> DataFrame:
     return spark.range(p).select(F.col("id").cast("int").alias("pid"))
 
 
+def small(df: DataFrame, most: int = 1 << 26) -> DataFrame:
+    """``df``, to be broadcast if the planner's own figures bound its size by ``most`` bytes; else the planner chooses the join."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return F.broadcast(df) if size <= most else df
+
+
 def hooked(df: DataFrame, key: Column, p: int) -> DataFrame:
     """Adopts an existing DataFrame: adds the ``pid`` of each row, by a key that is not negative."""
     return df.withColumn("pid", (key % p).cast("int"))
