@@ -63,24 +63,32 @@ def features(text: str | None) -> np.ndarray | None:
     return (out / np.linalg.norm(out)).astype(np.float32)
 
 
-def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 30, seed: int = 0) -> np.ndarray:
-    """Weights (bias last) of a linear support vector machine with squared hinge loss; y is -1 or 1."""
-    x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1)
-    w, a, r = np.zeros(x.shape[1]), np.zeros(len(x)), np.random.default_rng(seed)
+def linear_svm(x: np.ndarray, y: np.ndarray, rows: np.ndarray | None = None, c: float = 10.0, rounds: int = 30, seed: int = 0) -> np.ndarray:
+    """Weights (bias last) of a linear support vector machine with squared hinge loss; y is -1 or 1.
+
+    ``rows`` are the rows of ``x`` to learn from (all by default) and ``y`` is theirs. ``x`` is
+    read row by row and never copied, so all machines share one matrix.
+    """
+    rows = np.arange(len(x)) if rows is None else rows
+    w, bias, a, r = np.zeros(x.shape[1]), 0.0, np.zeros(len(rows)), np.random.default_rng(seed)
     extra = 1 / (2 * c)
-    square = (x * x).sum(1) + extra
+    square = np.array([float(np.dot(v, v)) for v in (x[i].astype(np.float32) for i in rows)]) + 1 + extra
     for _ in range(rounds):
         most = 0.0
-        for i in r.permutation(len(x)):
-            g = y[i] * (x[i] @ w) - 1 + extra * a[i]
+        for i in r.permutation(len(rows)):
+            v = x[rows[i]].astype(np.float64)
+            g = y[i] * (v @ w + bias) - 1 + extra * a[i]
             if g < 0 or a[i] > 0:
                 new = max(0.0, a[i] - g / square[i])
-                w += (new - a[i]) * y[i] * x[i]
+                step = (new - a[i]) * y[i]
+                v *= step
+                w += v
+                bias += step
                 most = max(most, abs(new - a[i]))
                 a[i] = new
         if most < 1e-3:
             break
-    return w
+    return np.append(w, bias)
 
 
 @dataclass
@@ -103,8 +111,8 @@ class LanguageModel:
         rows = [linear_svm(x, np.where(of == f, 1, -1)) for f in range(len(fams))] if len(fams) > 1 else []
         pairs = [(a, b) for a in range(len(names)) for b in range(a + 1, len(names)) if fam[a] == fam[b]]
         for a, b in pairs:
-            use = (y == a) | (y == b)
-            rows.append(linear_svm(x[use], np.where(y[use] == a, 1, -1)))
+            use = np.flatnonzero((y == a) | (y == b))
+            rows.append(linear_svm(x, np.where(y[use] == a, 1, -1), use))
         return cls(names, fams, pairs, np.array(rows, np.float32).reshape(len(rows), _DIM + 1))
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
@@ -142,11 +150,18 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         for batch in batches:
             got = [(x, v) for t, v in zip(*(c.to_pylist() for c in batch.columns), strict=True) if (x := features(t)) is not None]
             if got:
-                yield pa.record_batch([pa.array([x.tobytes() for x, _ in got], pa.binary()), pa.array([v for _, v in got])], names=["x", "l"])
-
-    got = sorted((r.l, bytes(r.x)) for r in picked.mapInArrow(run, "x binary, l string").collect())
-    x = np.array([np.frombuffer(b, np.float32) for _, b in got]).reshape(len(got), _DIM)
-    return LanguageModel.fit(x, [v for v, _ in got])
+                yield pa.record_batch([pa.array([x.astype(np.float16).tobytes() for x, _ in got], pa.binary()), pa.array([v for _, v in got])], names=["x", "l"])
+
+    # Half-precision rows, as Arrow: the one matrix that all machines read has at most 2 * max_rows rows of 8 KB.
+    sample = picked.mapInArrow(run, "x binary, l string").toArrow()
+    langs = sample.column("l").to_pylist()
+    x = np.empty((len(langs), _DIM), np.float16)
+    for i, v in enumerate(sample.column("x")):
+        x[i] = np.frombuffer(v.as_buffer(), np.float16)
+    del sample
+    order = sorted(range(len(langs)), key=lambda i: (langs[i], x[i].tobytes()))
+    x = x[order]
+    return LanguageModel.fit(x, [langs[i] for i in order])
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
