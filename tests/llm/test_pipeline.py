@@ -84,3 +84,27 @@ def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_names(spark, tmp_path):
+    names = ["dropped", "_k", "_h", "_hash", "_id", "_none", "_lang", "_leaks", "_text_hash", "leaks", "language", "sure", "row", "none", "id", "h", "c0", "c1", "_n_lines", "text_in", "key", "ids", "decoded"]
+    rows = [(i, "some words that stay here %d\nsame line" % (i // 2), None if i % 2 else "en", "s", 1, *("own",) * len(names)) for i in range(24)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "unseen words of a benchmark item")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.stored(stage(spark, docs, str(tmp_path)), name)
+        assert docs.columns[5:] == names and all(set(r[5:]) == {"own"} for r in docs.collect())
+    got = docs.collect()
+    assert sorted(r.doc_id for r in got) == [*range(0, 24, 2)] and all(r.lang == "en" and "same line" not in r.text and r.n_chars == len(r.text) for r in got)
+    assert {r.doc_id for r in corpus_pipeline.encoded(spark, docs, str(tmp_path)).collect()} == {*range(0, 24, 2)}
+
+
+def test_a_missing_language_is_filled_and_ids_win_over_nulls(spark, tmp_path):
+    texts = {"en": "the cat and the dog in the house of the man ", "de": "der hund und die katze in dem haus des mannes "}
+    rows = [(i, texts[v] * 3 + str(i), v, "s", 1) for i in range(30) for v in texts] + [(100, texts["de"] * 4, None, "s", 1), (None, "wholly other words " * 9, "en", "s", 1), (7, "wholly other words " * 9, "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.known_language(spark, docs, str(tmp_path)).collect()
+    assert len(out) == len(rows) and [r.lang for r in out if r.doc_id == 100] == ["de"]
+    kept = corpus_pipeline.one_of_each_group(spark, docs, str(tmp_path)).where("text LIKE 'wholly%'").collect()
+    assert [r.doc_id for r in kept] == [7]

@@ -155,8 +155,8 @@ def codec(path: str) -> ByteBpe:
     return cache[path]
 
 
-def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``ids`` array<int> and ``decoded`` string (the ids turned back into text) for each row.
+def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, ``ids`` array<int>, ``decoded`` string (the ids turned back into text) and the columns ``carry`` for each row.
 
     ``path`` names the vocabulary file on every executor. Texts go through in Arrow
     batches, without a shuffle.
@@ -173,26 +173,29 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
                 if size < most and stop < len(lengths):
                     continue
                 ids = [bpe.encode(t) for t in texts.slice(start, stop - start).to_pylist()]
+                own = [batch.column(c).slice(start, stop - start) for c in range(2, batch.num_columns)]
                 yield pa.record_batch(
-                    [keys.slice(start, stop - start), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(i) for i in ids], pa.string())],
-                    names=["key", "ids", "decoded"],
+                    [keys.slice(start, stop - start), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(i) for i in ids], pa.string()), *own],
+                    names=["key", "ids", "decoded", *(f"c{i}" for i in range(len(own)))],
                 )
                 start, size = stop, 0
         bpe.forget()
 
     small_batches(docs.sparkSession)
-    src = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    kind = dict(src.dtypes)["key"]
-    return src.mapInArrow(run, f"key {kind}, ids array<int>, decoded string").withColumnRenamed("key", key)
+    src = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").cast("string").alias("text"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)))
+    kind = dict(src.dtypes)
+    own = "".join(f", c{i} {kind[f'c{i}']}" for i in range(len(carry)))
+    return src.mapInArrow(run, f"key {kind['key']}, ids array<int>, decoded string{own}").toDF(key, "ids", "decoded", *carry)
 
 
 def digests(encoded: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Number of tokens and the digests of ids and decoded text."""
+    """Number of tokens, the digests of ids and decoded text, and what ``encode_decode`` carried."""
     return encoded.select(
         key,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        *(c for c in encoded.columns if c not in (key, "ids", "decoded")),
     )
 
 

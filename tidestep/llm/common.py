@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import os
 import sys
-import tempfile
 import uuid
+from collections.abc import Iterable
 
 import pyarrow as pa
 import pyarrow.compute
@@ -13,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidestep.sources.tables import shared_dir
+
 #: The white space of the line and word contracts, [\x20\x09-\x0D].
 SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -32,16 +33,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (tests in
-    one process) a temporary folder takes its place.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + os.path.join(tempfile.gettempdir(), "tidestep-shared")
-    return found.rstrip("/")
+def fresh(taken: Iterable[str], *names: str) -> list[str]:
+    """``names``, each with as many underscores behind it as make it differ from all of ``taken``, whatever the case."""
+    seen, out = {x.lower() for x in taken}, []
+    for name in names:
+        while name.lower() in seen:
+            name += "_"
+        seen.add(name.lower())
+        out.append(name)
+    return out
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -74,10 +74,11 @@ def with_text_columns(docs: DataFrame, text: str, make, added: list[tuple[str, s
 
     ``make`` takes a string array of about ``most`` bytes at once (one text, if that is
     longer) and returns one Arrow array for each added column. All other columns pass
-    through Arrow as they are; nothing is shuffled. Added names must be new.
+    through Arrow as they are; nothing is shuffled. The added columns come last, in order;
+    a name that ``docs`` has already gets underscores behind it (``fresh``).
     """
-    if clash := {a.lower() for a, _ in added} & {c.lower() for c in docs.columns}:
-        raise ValueError(f"columns there already: {sorted(clash)}")
+    *names, whole = fresh(docs.columns, *(a for a, _ in added), "text_in")
+    added = [*zip(names, (k for _, k in added), strict=True)]
     small_batches(docs.sparkSession)
     kept, names = docs.schema, [*docs.columns, *(a for a, _ in added)]
 
@@ -96,4 +97,4 @@ def with_text_columns(docs: DataFrame, text: str, make, added: list[tuple[str, s
                 start, size = stop, 0
 
     out = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in kept), *(T.StructField(a, T.DataType.fromDDL(k), True) for a, k in added)])
-    return docs.select(*(F.col(f"`{c}`") for c in docs.columns), F.col(f"`{text}`").cast("string").alias("_text_in")).mapInArrow(run, out)
+    return docs.select(*(F.col(f"`{c}`") for c in docs.columns), F.col(f"`{text}`").cast("string").alias(whole)).mapInArrow(run, out)

@@ -8,7 +8,8 @@ text but, for each document, the words of a bitmap that have a dropped line.
 
 Defined results: a null or empty text is one empty line, and an empty key is never
 dropped. Rows are told apart by doc_id and text; repeated rows of one doc_id count
-as one document, and so do all rows with a null doc_id. Two different keys count as
+as one document, and so do all rows with a null doc_id. An empty table gives an empty
+result. Extra columns pass through whatever their names. Two different keys count as
 one only if both hashes agree (128 bits).
 """
 
@@ -17,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidestep.llm.common import SPACE, ascii_lower, stored, table
+from tidestep.llm.common import SPACE, ascii_lower, fresh, stored, table
 
 _ROW = ["doc_id", "_text_hash"]
 
@@ -63,22 +64,23 @@ def drop_bitmaps(
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``text`` cut to the kept lines, and ``_n_lines``, ``_n_dropped``."""
-    b = bitmaps.select(F.col("doc_id").alias("_k"), F.col("_text_hash").alias("_h"), "dropped")
-    d = docs.withColumn("_own_hash", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    out = d.join(b, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_own_hash") == F.col("_h")), "left")
+    """All columns of ``docs`` with ``text`` cut to the kept lines, and then ``_n_lines``, ``_n_dropped``.
+
+    If ``docs`` has columns of these two names, those stay and the added ones get an underscore behind.
+    """
+    n_lines, n_dropped, k, h, own, dropped = fresh(docs.columns, "_n_lines", "_n_dropped", "_k", "_h", "_own_hash", "_dropped")
+    b = bitmaps.select(F.col("doc_id").alias(k), F.col("_text_hash").alias(h), F.col("dropped").alias(dropped))
+    d = docs.withColumn(own, F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    out = d.join(b, F.col(key).eqNullSafe(F.col(k)) & (F.col(own) == F.col(h)), "left")
     lines = F.split(F.coalesce(F.col(text).cast("string"), F.lit("")), "\n", -1)
-    bits = lambda i: F.coalesce(F.try_element_at(F.col("dropped"), F.shiftright(i, 6)), F.lit(0).cast("long"))
+    bits = lambda i: F.coalesce(F.try_element_at(F.col(dropped), F.shiftright(i, 6)), F.lit(0).cast("long"))
     is_kept = lambda _, i: F.call_function("getbit", bits(i), i.bitwiseAND(F.lit(63))) == 0
     kept = F.array_join(F.filter(lines, is_kept), "\n")
+    n_gone = F.coalesce(F.aggregate(F.map_values(dropped), F.lit(0).cast("long"), lambda a, x: a + F.bit_count(x)), F.lit(0).cast("long"))
     return (
-        out.withColumn("_n_lines", F.size(lines).cast("long"))
-        .withColumn(
-            "_n_dropped",
-            F.coalesce(F.aggregate(F.map_values("dropped"), F.lit(0).cast("long"), lambda a, x: a + F.bit_count(x)), F.lit(0).cast("long")),
-        )
-        .withColumn(text, F.when(F.col("dropped").isNull(), F.col(text)).otherwise(kept))
-        .drop("_k", "_h", "dropped", "_own_hash")
+        out.withColumns({n_lines: F.size(lines).cast("long"), n_dropped: n_gone})
+        .withColumn(text, F.when(F.col(dropped).isNull(), F.col(text)).otherwise(kept))
+        .select(*(f"`{c}`" for c in docs.columns), n_lines, n_dropped)
     )
 
 
