@@ -9,7 +9,9 @@ before the merges that made them.
 
 Defined results: null and empty texts have no ids and decode to the empty text. A
 text of any length is encoded whole; the work is linear in it. Strings of added
-tokens in a text become their single id, as the tokenizers library does.
+tokens in a text become their single id, as the tokenizers library does. Each row is
+encoded by itself, so rows that repeat agree, and no two encodings of a text tie. An
+empty table gives an empty result; extra columns of any name are left out.
 """
 
 from __future__ import annotations
@@ -29,6 +31,17 @@ from tidestep.llm.common import process_cache, small_batches, table
 _WS = r"\t-\r \x85\xa0  -     　"
 _PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
 _NEVER = 1 << 40
+_SHIFT = 32  # two token ids in one number
+# Entries that a worker's caches may have; both together stay under some 100 MB.
+_MOST_PIECES, _MOST_FITS = 250_000, 400_000
+
+
+def _is_text(raw: bytes) -> bool:
+    try:
+        raw.decode("utf-8")
+    except UnicodeDecodeError:
+        return False
+    return True
 
 
 def _byte_chars() -> dict[str, int]:
@@ -51,89 +64,93 @@ class ByteBpe:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of |= {i: s.encode() for s, i in self.added.items()}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
-        self.rank = {(vocab[a], vocab[b]): r for r, (a, b) in enumerate(pairs)}
-        self.parts = {vocab[a + b]: (vocab[a], vocab[b], r) for r, (a, b) in reversed([*enumerate(pairs)])}
+        self.rank = {vocab[a] << _SHIFT | vocab[b]: r for r, (a, b) in enumerate(pairs)}
+        # Of each token its two parts and the rank of their merge; a token that no merge makes was there from the start.
+        self.left, self.right, self.born = ([-1] * (max(self.bytes_of) + 1) for _ in range(3))
+        for r, (a, b) in reversed([*enumerate(pairs)]):
+            self.left[vocab[a + b]], self.right[vocab[a + b]], self.born[vocab[a + b]] = vocab[a], vocab[b], r
+        self.size = [len(self.bytes_of.get(i, b"")) for i in range(len(self.born))]
+        self._own: dict[int, bool] = {}
+        own = [i for i in vocab.values() if self._reachable(i)]
+        self.whole = {self.bytes_of[i].decode("utf-8"): [i] for i in own if _is_text(self.bytes_of[i])}
         self.automaton = ahocorasick.Automaton()
-        for s, i in vocab.items():
-            word = self.bytes_of[i].decode("latin-1")
-            self.automaton.add_word(word, (len(word), i))
+        for i in own:
+            self.automaton.add_word(self.bytes_of[i].decode("latin-1"), i)
         self.automaton.make_automaton()
-        self.whole = {self.bytes_of[i]: i for i in vocab.values()}
         self.pieces = regex.compile(_PIECES)
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self._fits: dict[tuple[int, int], bool] = {}
-        self._own: dict[int, bool] = {}
-        self._ids: dict[str, list[int]] = {}
-
-    def _spine(self, token: int, side: int) -> list[tuple[int, int]]:
-        """The symbols that stand at one end of a token while it is built, each with the rank at which it is merged away."""
-        out, until = [(token, _NEVER)], _NEVER
-        while token in self.parts:
-            until = self.parts[token][2]
-            token = self.parts[token][side]
-            out.append((token, until))
-        return out
-
-    def _border(self, left: int, right: int, before: int) -> bool:
-        """Whether no merge across the border of two tokens comes before rank ``before``."""
-        rights = self._spine(right, 0)
-        for a, a_until in self._spine(left, 1):
-            for b, b_until in rights:
-                r = self.rank.get((a, b))
-                if r is not None and r < before and r < a_until and r <= b_until:
-                    return False
-        return True
+        self._fits: dict[int, bool] = {}
+        self._ids: dict[str, list[int]] = dict(self.whole)
+
+    def _border(self, a: int, b: int, before: int) -> bool:
+        """Whether no merge across the border of two tokens comes before rank ``before``.
+
+        The symbols at the border are followed back in time: of the two, the one that was
+        made later is taken apart. Each pair that stood there must not have been merged
+        before one of the two was merged away; of merges of one rank, the left comes first.
+        """
+        rank, left, right, born = self.rank, self.left, self.right, self.born
+        a_until = b_until = before
+        while True:
+            r = rank.get(a << _SHIFT | b)
+            if r is not None and r < a_until and r <= b_until:
+                return False
+            x, y = born[a], born[b]
+            if x > y:
+                a, a_until = right[a], x
+            elif y >= 0:
+                b, b_until = left[b], y
+            else:
+                return True
 
     def _reachable(self, token: int) -> bool:
         """Whether the token's own bytes are encoded as this token."""
         if token not in self._own:
-            parts = self.parts.get(token)
-            self._own[token] = parts is None or (self._reachable(parts[0]) and self._reachable(parts[1]) and self._border(*parts))
+            a, b, r = self.left[token], self.right[token], self.born[token]
+            self._own[token] = r < 0 or (self._reachable(a) and self._reachable(b) and self._border(a, b, r))
         return self._own[token]
 
-    def compatible(self, left: int, right: int) -> bool:
-        found = self._fits.get((left, right))
-        if found is None:
-            found = self._fits[left, right] = self._border(left, right, _NEVER)
-        return found
-
     def piece(self, text: str) -> list[int]:
         """Ids of one piece of the pre-tokenizer."""
-        raw = text.encode()
-        i = self.whole.get(raw)
-        if i is not None and self._reachable(i):
-            return [i]
-        n, last, done = len(raw), [-1] * (len(raw) + 1), [False] * (len(raw) + 1)
-        for end, (size, token) in self.automaton.iter(raw.decode("latin-1")):
-            end += 1  # matches at one end come longest first
-            if done[end] or not self._reachable(token):
+        raw, fits, size = text.encode(), self._fits, self.size
+        last, ended = [-1] * len(raw), -1  # by the place of a prefix's last byte
+        for end, token in self.automaton.iter(raw.decode("latin-1")):
+            if end == ended:  # matches at one end come longest first; this one has its token
                 continue
-            start = end - size
-            if start == 0 or self.compatible(last[start], token):
-                last[end], done[end] = token, True
-        out, end = [], n
-        while end:
-            out.append(last[end])
-            end -= len(self.bytes_of[last[end]])
+            start = end - size[token]
+            if start >= 0:
+                before = last[start]
+                fit = fits.get(before << _SHIFT | token)
+                if fit is None:
+                    fit = fits[before << _SHIFT | token] = self._border(before, token, _NEVER)
+                if not fit:
+                    continue
+            last[end], ended = token, end
+        out, end = [], len(raw) - 1
+        while end >= 0:
+            token = last[end]
+            out.append(token)
+            end -= size[token]
         out.reverse()
         return out
 
     def _plain(self, text: str) -> list[int]:
-        known, out = self._ids, []
-        for p in self.pieces.findall(text):
-            ids = known.get(p)
-            if ids is None:
-                ids = self.piece(p)
-                if len(p) < 64:
-                    if len(known) > 100_000 or len(self._fits) > 200_000:  # pieces are then encoded anew
-                        self.forget()
-                    known[p] = ids
-            out.append(ids)
+        known, pieces = self._ids, self.pieces.findall(text)
+        out = [*map(known.get, pieces)]
+        if None in out:
+            for k, ids in enumerate(out):
+                if ids is None:
+                    p = pieces[k]
+                    ids = out[k] = known.get(p) or self.piece(p)
+                    if len(p) < 64:
+                        known[p] = ids
+            if len(known) > _MOST_PIECES or len(self._fits) > _MOST_FITS:  # pieces are then encoded anew
+                self.forget()
         return [*chain.from_iterable(out)]
 
     def forget(self) -> None:
         """Empties the caches, which bounds a worker's memory."""
-        self._ids.clear()
+        self._ids = dict(self.whole)
         self._fits.clear()
 
     def encode(self, text: str | None) -> list[int]:
