@@ -8,7 +8,9 @@ while their counted number is at most ``max_broadcast``.
 
 Defined results: null and empty texts have the digest of the empty string and match
 nothing. Rows are told apart by doc_id and text; each row of the input has one row in
-the result.
+the result, so an empty table gives an empty one. A null doc_id is a doc_id like any
+other. Of known texts that agree the smallest id is given. Extra columns are left out,
+whatever their names; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidestep.llm.common import UPPER, ascii_lower, table
+from tidestep.llm.common import UPPER, ascii_lower, stored, table
 
 # Spellings that licence matching treats as the same word.
 SPELLINGS = {
@@ -148,10 +150,11 @@ KNOWN |= _notices()
 def canonical_lines(text: Column) -> Column:
     """The canonical form of each line that has a word in it, as array<string>; words are two spaces apart."""
     c = F.regexp_replace(ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), COPYRIGHT_LINE, "")
-    c = F.concat(F.lit("  "), F.replace(F.regexp_replace(c, r"[^a-z0-9\n]+", "  "), F.lit("\n"), F.lit("  \n  ")), F.lit("  "))
-    for other, word in SPELLINGS.items():
-        c = F.replace(c, F.lit(f" {other} "), F.lit(f" {word} "))
-    return F.filter(F.transform(F.split(c, "\n", -1), lambda x: F.btrim(x)), lambda x: x != "")
+    other = F.create_map(*(F.lit(x) for pair in SPELLINGS.items() for x in pair))
+    spelled = lambda w: F.when(w.isin(*SPELLINGS), F.element_at(other, w)).otherwise(w)
+    words = lambda line: F.regexp_extract_all(line, F.lit("[a-z0-9]+"), 0)
+    lines = F.transform(F.split(c, "\n", -1), lambda line: F.array_join(F.transform(words(line), spelled), "  "))
+    return F.filter(lines, lambda x: x != "")
 
 
 def digest(canonical: Column) -> Column:
@@ -159,9 +162,9 @@ def digest(canonical: Column) -> Column:
 
 
 def known_digests(licenses: DataFrame) -> DataFrame:
-    """``digest`` and ``license_id`` of each known text; of texts that agree, the smallest id."""
-    d = licenses.select("license_id", digest(F.array_join(canonical_lines(F.col("text")), "  ")).alias("digest"))
-    return d.where(d.digest != F.sha2(F.lit("").cast("binary"), 256)).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    """``digest``, ``license_id`` and length ``n`` (of the canonical form) of each known text; of texts that agree, the smallest id."""
+    d = licenses.select("license_id", F.array_join(canonical_lines(F.col("text")), "  ").alias("c")).where("c <> ''")
+    return d.groupBy(digest(F.col("c")).alias("digest")).agg(F.min("license_id").alias("license_id"), F.min(F.char_length("c")).alias("n"))
 
 
 def known_licenses(spark: SparkSession) -> DataFrame:
@@ -169,14 +172,21 @@ def known_licenses(spark: SparkSession) -> DataFrame:
 
 
 def scan(docs: DataFrame, licenses: DataFrame, key: str = "doc_id", text: str = "text", max_broadcast: int = 10_000) -> DataFrame:
-    """``key``, ``digest``, ``license_id`` (of the whole text, or null), ``n_notices`` and ``notices`` (ids of its lines, sorted) for each row."""
-    known = known_digests(licenses)
-    if known.count() <= max_broadcast:
-        known = F.broadcast(known)
+    """``key``, ``digest``, ``license_id`` (of the whole text, or null), ``n_notices`` and ``notices`` (ids of its lines, sorted) for each row.
+
+    Texts are read once: what is kept of each is the digest of the whole and those of the
+    lines that are as long as some known text (of all lines, if more than ``max_broadcast`` texts are known).
+    """
+    known = stored(known_digests(licenses), "known-licences")
+    lines, few = F.col("lines"), known.count() <= max_broadcast
     src = docs.select(F.col(key).alias("k"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("h"), canonical_lines(F.col(text)).alias("lines"))
-    whole = src.select("k", "h", digest(F.array_join("lines", "  ")).alias("digest"), F.size("lines").alias("n")).join(known, "digest", "left")
-    lines = src.select("k", "h", F.explode("lines").alias("line"))
-    hits = lines.select("k", "h", digest(F.col("line")).alias("digest")).join(known, "digest").groupBy("k", "h", "license_id").agg(F.count(F.lit(1)).alias("n"))
+    if few:
+        sizes = [r.n for r in known.select("n").distinct().collect()]  # of max_broadcast texts at most
+        lines = F.filter(lines, lambda x: F.char_length(x).isin(sizes))
+    src = stored(src.select("k", "h", digest(F.array_join("lines", "  ")).alias("digest"), F.transform(lines, digest).alias("lines")), "licence-digests")
+    known = F.broadcast(known.select("digest", "license_id")) if few else known.select("digest", "license_id")
+    whole = src.select("k", "h", "digest").join(known, "digest", "left")
+    hits = src.select("k", "h", F.explode("lines").alias("digest")).join(known, "digest").groupBy("k", "h", "license_id").agg(F.count(F.lit(1)).alias("n"))
     per = hits.groupBy("k", "h").agg(F.sum("n").alias("n_notices"), F.array_join(F.array_sort(F.collect_set("license_id")), ",").alias("notices"))
     per = per.withColumnsRenamed({"k": "k2", "h": "h2"})
     # Rows that repeat are in hits as often as in docs; a notice is counted once for each of its lines.
