@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 
 import numpy as np
@@ -27,18 +28,19 @@ def brute(texts, least):
 def test_merge_is_sorted_and_exact():
     r = random.Random(1)
     for n_runs in (1, 2, 3, 7, 16):
-        words = [bytes(r.choice(b"ab") for _ in range(12)) for _ in range(200)]
-        lists = [words[i::n_runs] for i in range(n_runs)]
-        runs, owned = [], []
-        for i, ws in enumerate(lists):
-            order, lcp, m = s.front_code(ws)
-            tails = m[np.arange(12) >= lcp[:, None]].tobytes()
-            runs.append(s.Run(i, lcp, tails, 12))
-            owned.append([ws[k] for k in order])
+        words = [bytes(r.choice(b"ab") for _ in range(r.randint(6, 12))) for _ in range(200)]
+        owned = [sorted(words[i::n_runs]) for i in range(n_runs)]
+        coded = [s.front_code(ws) for ws in owned]
+        runs = [s.Run(lcps, [*map(len, ws)], tails) for (lcps, tails), ws in zip(coded, owned)]
         got = [(owned[i][k], l) for i, k, l in s.merge(runs)]
         assert [w for w, _ in got] == sorted(words)
         for (a, _), (b, l) in zip(got, got[1:]):
-            assert l == next((i for i in range(12) if a[i] != b[i]), 12)
+            assert l == len(os.path.commonprefix([a, b]))
+
+
+def test_separators_are_short_and_part_the_samples():
+    seen = sorted([b"aaab", b"aaac", b"ab", b"b", b"b", b"b", b"ca", b"cb"])
+    assert s.separators(seen, 8) == [b"aaac", b"ab", b"b", b"c", b"cb"] and s.separators(seen, 1) == []
 
 
 def test_anchors_depend_on_the_window_alone():
@@ -48,7 +50,7 @@ def test_anchors_depend_on_the_window_alone():
     b = np.concatenate((part, r.integers(97, 101, 90, dtype=np.uint8)))
     of = {}
     for name, x, at in (("a", a, 333), ("b", b, 0)):
-        hb, _, anchor, lo, hi = s.anchors(x, 400, 160)
+        hb, anchor, lo, hi = s.anchors(x, 400, 160)
         assert lo[0] == 0 and hi[-1] == len(x) - 400 and (lo[1:] == hi[:-1] + 1).all() and ((anchor >= hi) & (anchor - lo < 160)).all()
         of[name] = {p - at: (int(h), int(c) - at) for h, c, u, v in zip(hb, anchor, lo, hi) for p in range(u, v + 1)}
     assert all(of["a"][p] == of["b"][p] for p in range(301))

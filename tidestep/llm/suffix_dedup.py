@@ -6,28 +6,34 @@ the input, so the suffix array is made sparse without losing a window:
 
 1. Each window has one anchor, the position with the least hash among its first
    ``reach`` positions. It depends on the window's bytes alone, so equal windows have
-   equal anchors at equal offsets. An anchor stands for a run of adjacent windows and
-   has two hashes: of the bytes that all its windows share, and of all their bytes.
-2. Anchors whose shared bytes occur once are done. If all occurrences agree in all
-   bytes too, all their windows repeat. Anchors that agree fully with another are
-   settled as well. What is left lies at the ends of repeats; the step is done again
-   there with a short reach.
-3. The windows still open are sorted as suffixes. Each task sorts its windows and
-   exchanges them as front-coded runs (length of the prefix shared with the one before,
-   then the rest), cut by sampled splitters. A loser tree merges the runs of a range; it
-   keeps the known common prefix of each contestant with the last winner, so known
-   prefixes are never compared again. Neighbours that share a whole window repeat.
-
-Only one representative of settled equals takes part in steps 2 and 3, so copies of any
-number cost one row there. Hashes have 64 bits each and two must agree.
+   equal anchors at equal offsets. An anchor stands for a run of adjacent windows. A
+   hash of the bytes that all of them share serves to discard: an anchor whose hash
+   occurs once has no window that repeats.
+2. The suffixes at all other anchors (cut where the run's last window ends, then the
+   bytes before the anchor) are sorted. Each task sorts its own, keeps one of equals and
+   exchanges front-coded runs (length of the prefix shared with the one before, then the
+   rest), cut by sampled splitters. A loser tree merges the runs of a range; it keeps the
+   known common prefix of each contestant with the last winner, so known prefixes are
+   never compared again. Neighbours that agree to the end repeat with all their windows.
+3. Those that agree with none may still share some windows with others of their hash;
+   they lie at the ends of repeats. Steps 1 and 2 are done again there with a short
+   reach, and what is left is sorted window by window in the same way.
+
+So every repeat is found by the merge, byte by byte. Each task sends a suffix once
+however often it holds it, so a range gets at most one of equals from each chunk.
 
 Defined results: null and empty texts have no bytes and lose none; so do texts under
-``least`` bytes. Rows are told apart by key and text; rows that repeat as a whole are
-copies of each other. Texts of any length are handled whole, in slices.
+``least`` bytes. An empty table gives an empty result. Rows are told apart by key and
+text, a null key being a key like any other; rows that repeat as a whole are copies of
+each other and agree in what they lose. All copies of a repeat go, so there are no ties.
+Extra columns are left out, whatever their names. Texts of any length are handled whole,
+in slices.
 """
 
 from __future__ import annotations
 
+import struct
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,13 +63,13 @@ def _tables() -> dict:
 
 
 def anchors(raw: np.ndarray, least: int, reach: int) -> tuple[np.ndarray, ...]:
-    """Shared-bytes hash, all-bytes hash, anchor, first and last window of each anchor of some bytes."""
+    """Hash of the bytes that all its windows share, anchor, first and last window of each anchor of some bytes."""
     n = len(raw) - least + 1
     if n <= 0:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
     if n > _SLICE:  # an anchor at a cut stands for two runs of windows
         parts = [anchors(raw[at : at + _SLICE + least - 1], least, reach) for at in range(0, n, _SLICE)]
-        return tuple(np.concatenate([x[c] + (k * _SLICE if c > 1 else 0) for k, x in enumerate(parts)]) for c in range(5))
+        return tuple(np.concatenate([x[c] + (k * _SLICE if c else 0) for k, x in enumerate(parts)]) for c in range(4))
     t = _tables()
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(t["value"][raw] * t["up"][: len(raw)], out=sums[1:])
@@ -85,15 +91,11 @@ def anchors(raw: np.ndarray, least: int, reach: int) -> tuple[np.ndarray, ...]:
     hi = np.concatenate((lo[1:], [n])) - 1
     a = at[lo]
     shared = between(a, a + (least - reach + 1))
-    whole = between(lo, hi + least) * np.uint64(0x94D049BB133111EB) + (a - lo).astype(np.uint64)
-    return shared.view(np.int64), whole.view(np.int64), a, lo, hi
-
-
-_ANCHOR = ["hb", "hf", "a", "lo", "hi"]
+    return shared.view(np.int64), a, lo, hi
 
 
 def _anchor_rows(texts: DataFrame, kind: str, least: int, reach: int, only_hashes: bool) -> DataFrame:
-    """A row for each anchor; with a column ``marks``, of the windows of its open marks alone."""
+    """A row for each anchor; with a column ``marks``, of the windows of its marks alone."""
     marked = "marks" in texts.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,17 +104,17 @@ def _anchor_rows(texts: DataFrame, kind: str, least: int, reach: int, only_hashe
                 raw = np.frombuffer(batch.column(2)[row].as_buffer(), np.uint8)
                 parts = [(0, len(raw))]
                 if marked:
-                    parts = [(m["lo"], m["hi"] + least) for m in batch.column(3)[row].as_py() if m["open"]]
+                    parts = [(m["lo"], m["hi"] + least) for m in batch.column(3)[row].as_py()]
                 found = [(at, anchors(raw[at:stop], least, reach)) for at, stop in parts]
                 if not found:
                     continue
-                cols = [np.concatenate([x[c] + (at if c > 1 else 0) for at, x in found]) for c in range(5)]
+                cols = [np.concatenate([x[c] + (at if c else 0) for at, x in found]) for c in range(4)]
                 if only_hashes:
-                    yield pa.record_batch([pa.array(x) for x in cols[:2]], names=_ANCHOR[:2])
+                    yield pa.record_batch([pa.array(cols[0])], names=["hb"])
                     continue
                 ks = pa.array([batch.column(0)[row].as_py()] * len(cols[0]), batch.column(0).type)
                 hs = pa.array(np.full(len(cols[0]), batch.column(1)[row].as_py(), np.int64))
-                yield pa.record_batch([ks, hs, *(pa.array(x) for x in cols[:2]), *(pa.array(x.astype(np.int32)) for x in cols[2:])], names=["k", "h", *_ANCHOR])
+                yield pa.record_batch([ks, hs, pa.array(cols[0]), *(pa.array(x.astype(np.int32)) for x in cols[1:])], names=["k", "h", "hb", "a", "lo", "hi"])
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -125,72 +127,68 @@ def _anchor_rows(texts: DataFrame, kind: str, least: int, reach: int, only_hashe
         if held:
             yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
-    ids = "" if only_hashes else f"k {kind}, h long, "
-    return texts.mapInArrow(gathered, f"{ids}hb long, hf long" + ("" if only_hashes else ", a int, lo int, hi int"))
-
+    return texts.mapInArrow(gathered, "hb long" if only_hashes else f"k {kind}, h long, hb long, a int, lo int, hi int")
 
-def settle(texts: DataFrame, kind: str, least: int, reach: int, name: str) -> DataFrame:
-    """``k``, ``h``, ``lo``, ``hi``, ``open``: runs of windows that repeat (``open`` false) and those that may.
 
-    ``texts`` has ``k``, ``h``, ``t`` (binary) and maybe ``marks``. Open runs hold every
-    window that is not settled, with one representative of each settled equal.
-    """
-    each = lambda hashes: _anchor_rows(texts, kind, least, reach, hashes)
-    counted = each(True).groupBy("hb").agg(F.count(F.lit(1)).alias("n"), F.min("hf").alias("first"), F.max("hf").alias("last"))
-    repeated = stored(counted.where("n > 1").select("hb", (F.col("first") != F.col("last")).alias("mixed")), f"{name}-repeated")
-    hits = stored(each(False).join(repeated, "hb"), f"{name}-hits")
-    alike = hits.where("NOT mixed").select("k", "h", "lo", "hi", F.lit(False).alias("open"))
-    mixed = hits.where("mixed")
-    classes = mixed.groupBy("hb", "hf").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "h", "lo", "hi")).alias("one"))
-    classes = stored(classes, f"{name}-classes")
-    equal = mixed.join(classes.where("n > 1").select("hb", "hf"), ["hb", "hf"]).select("k", "h", "lo", "hi", F.lit(False).alias("open"))
-    lone = classes.where("n = 1").select("hb").distinct()
-    left = classes.join(lone, "hb").select("one.*", F.lit(True).alias("open"))
-    return stored(alike.unionByName(equal).unionByName(left), f"{name}-runs")
-
-
-def _with_marks(texts: DataFrame, runs: DataFrame, how: str = "inner") -> DataFrame:
-    """``texts`` with the runs of each text in ``marks``."""
-    lists = runs.groupBy("k", "h").agg(F.collect_list(F.struct("lo", "hi", "open")).alias("marks")).withColumnsRenamed({"k": "k2", "h": "h2"})
-    joined = texts.join(lists, (F.col("h") == F.col("h2")) & F.col("k").eqNullSafe(F.col("k2")), how)
+def _with_marks(texts: DataFrame, marks: DataFrame) -> DataFrame:
+    """The texts that have ``marks`` (k, h and other columns), with those of each text in ``marks``."""
+    own = F.struct(*(c for c in marks.columns if c not in ("k", "h")))
+    lists = marks.groupBy("k", "h").agg(F.collect_list(own).alias("marks")).withColumnsRenamed({"k": "k2", "h": "h2"})
+    joined = texts.drop("marks").join(lists, (F.col("h") == F.col("h2")) & F.col("k").eqNullSafe(F.col("k2")))
     return joined.drop("k2", "h2")
 
 
-def front_code(windows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of sorted windows: order, common prefix with the one before (0 for the first), and what follows it, joined."""
-    order = np.array(sorted(range(len(windows)), key=windows.__getitem__), np.int64)
-    size = len(windows[0])
-    m = np.frombuffer(b"".join(map(windows.__getitem__, order.tolist())), np.uint8).reshape(-1, size)
-    differ = m[1:] != m[:-1]
-    lcp = np.zeros(len(m), np.int64)
-    lcp[1:] = np.where(differ.any(1), differ.argmax(1), size)
-    return order, lcp, m
+def settle(texts: DataFrame, kind: str, least: int, reach: int, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Texts that may have repeats; ``k``, ``h``, ``lo``, ``hi`` of runs of windows that repeat; the same of runs of which some may.
+
+    ``texts`` has ``k``, ``h``, ``t`` (binary) and maybe ``marks`` (windows to look at). The
+    last result holds every window that is not settled, with one of each that it may equal.
+    """
+    each = lambda hashes: _anchor_rows(texts, kind, least, reach, hashes)
+    shared = stored(each(True).groupBy("hb").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hb"), f"{name}-shared")
+    maybe = stored(_with_marks(texts, each(False).join(shared, "hb")), f"{name}-texts")
+    found = stored(merged(maybe, kind, least), f"{name}-merged")
+    one = found.where("one")
+    mixed = one.groupBy("hb").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("repeats")).alias("lone")).where("n > 1 AND lone > 0")
+    left = one.join(stored(mixed.select("hb"), f"{name}-mixed"), "hb")
+    return maybe, found.where("repeats").select("k", "h", "lo", "hi"), left.select("k", "h", "lo", "hi")
+
+
+def front_code(suffixes: list[bytes]) -> tuple[list[int], bytes]:
+    """Of sorted byte strings: the prefix shared with the one before (0 for the first), and what follows it, joined."""
+    lcps, tails, before = [], [], b""
+    for x in suffixes:
+        n = common_prefix(before, x, 0)
+        lcps.append(n)
+        tails.append(x[n:])
+        before = x
+    return lcps, b"".join(tails)
 
 
 class Run:
-    """A front-coded run that is read one window at a time."""
+    """A front-coded run that is read one suffix at a time."""
 
-    def __init__(self, number: int, lcps: np.ndarray, tails: bytes, size: int):
-        self.number, self.lcps, self.tails, self.size = number, lcps.tolist(), tails, size
-        self.at, self.read, self.window, self.lcp = -1, 0, b"", 0
+    def __init__(self, lcps: list[int], sizes: list[int], tails: bytes):
+        self.lcps, self.sizes, self.tails = lcps, sizes, tails
+        self.at, self.read, self.suffix, self.lcp = -1, 0, b"", 0
         self.forward()
 
     def forward(self) -> None:
-        """To the next window; ``lcp`` is what it shares with the one before."""
+        """To the next suffix; ``lcp`` is what it shares with the one before."""
         self.at += 1
         if self.at >= len(self.lcps):
-            self.window, self.lcp = None, -1
+            self.suffix, self.lcp = None, -1
             return
         self.lcp = self.lcps[self.at]
-        stop = self.read + self.size - self.lcp
-        self.window = self.window[: self.lcp] + self.tails[self.read : stop]
+        stop = self.read + self.sizes[self.at] - self.lcp
+        self.suffix = self.suffix[: self.lcp] + self.tails[self.read : stop]
         self.read = stop
 
 
 def common_prefix(a: bytes, b: bytes, known: int) -> int:
-    """Length of the common prefix of two windows of one size, of which ``known`` bytes are."""
-    low, high = known, len(a)
-    if a[low:] == b[low:]:
+    """Length of the common prefix of two byte strings, of which ``known`` bytes are."""
+    low, high = known, min(len(a), len(b))
+    if a[low:high] == b[low:high]:
         return high
     step = 16
     while a[low : low + step] == b[low : low + step]:
@@ -207,134 +205,180 @@ def common_prefix(a: bytes, b: bytes, known: int) -> int:
 
 
 def merge(runs: list[Run]) -> Iterator[tuple[int, int, int]]:
-    """Run, place in the run and prefix shared with the window before, of all windows in order.
+    """Run, place in the run and prefix shared with the suffix before, of all suffixes in order.
 
     The runs stand in a loser tree. Each loser keeps the prefix it shares with the
-    window that beat it; of two contestants for the place after one window, the longer
+    suffix that beat it; of two contestants for the place after one suffix, the longer
     shared prefix wins, and only equals are compared, from that prefix on.
     """
     n = 1
     while n < len(runs):
         n *= 2
     lcp = [r.lcp for r in runs] + [-1] * (n - len(runs))
-    window = [r.window for r in runs] + [None] * (n - len(runs))
+    suffix = [r.suffix for r in runs] + [None] * (n - len(runs))
     tree = [-1] * n
 
     def match(x: int, y: int) -> tuple[int, int]:
         """Winner and loser; the loser's shared prefix becomes that with the winner."""
         if lcp[x] != lcp[y]:
             return (x, y) if lcp[x] > lcp[y] else (y, x)
-        if window[x] is None:
-            return x, y
-        l = common_prefix(window[x], window[y], lcp[x])  # noqa: E741
-        if l < len(window[x]) and window[x][l] > window[y][l]:
+        a, b = suffix[x], suffix[y]
+        if a is None or b is None:
+            return (x, y) if b is None else (y, x)
+        n = common_prefix(a, b, lcp[x])
+        if n < len(a) and (n == len(b) or a[n] > b[n]):
             x, y = y, x
-        lcp[y] = l
+        lcp[y] = n
         return x, y
 
-    best = list(range(n))  # the first round, from the leaves up
-    level = n
-    while level > 1:
+    best = [*range(n)]  # the first round, from the leaves up
+    while len(best) > 1:
         winners = []
-        for i in range(0, level, 2):
-            w, l = match(best[i], best[i + 1])  # noqa: E741
-            tree[level // 2 + i // 2] = l
-            winners.append(w)
-        best, level = winners, level // 2
+        for i in range(0, len(best), 2):
+            won, lost = match(best[i], best[i + 1])
+            tree[(len(best) + i) // 2] = lost
+            winners.append(won)
+        best = winners
     w = best[0]
-    while window[w] is not None:
+    while suffix[w] is not None:
         r = runs[w]
         yield w, r.at, lcp[w]
         r.forward()
-        window[w], lcp[w] = r.window, r.lcp
+        suffix[w], lcp[w] = r.suffix, r.lcp
         node = (w + n) // 2
         while node:
             w, tree[node] = match(w, tree[node])
             node //= 2
 
 
-def repeated_windows(texts: DataFrame, kind: str, least: int, chunk: int = 32_768, per_range: int = 65_536, most_ranges: int = 4096) -> DataFrame:
-    """``k``, ``h``, ``lo``, ``hi``: of the windows in ``marks`` of ``texts``, those that occur twice or more.
+def separators(seen: list[bytes], ranges: int) -> list[bytes]:
+    """Splitters of sorted samples into ranges of like numbers, each as short as it can be."""
+    out = []
+    for i in range(1, ranges):
+        at = len(seen) * i // ranges
+        if at and seen[at] > seen[at - 1]:
+            out.append(seen[at][: common_prefix(seen[at - 1], seen[at], 0) + 1])
+    return out
+
+
+def merged(texts: DataFrame, kind: str, least: int, windows: bool = False, chunk: int = 32_768, per_range: int = 65_536) -> DataFrame:
+    """``k``, ``h``, ``hb``, ``lo``, ``hi``, ``repeats``, ``one`` of the ``marks`` of ``texts``, by the merge sort of their suffixes.
+
+    ``repeats``: another mark has the same suffix. ``one``: of marks with the same suffix,
+    one has it. With ``windows`` each window of the marks is a suffix of its own (``lo`` =
+    ``hi``), and only those that repeat are returned.
 
-    Memory of a task: ``chunk`` windows, or the front-coded runs of one range. The
-    driver sees some 16 sampled windows for each of ``most_ranges`` ranges at most.
+    A task holds ``chunk`` suffixes, or the front-coded runs of one range of about
+    ``per_range``, however many ranges there are. The driver sees four sampled suffixes a range.
     """
-    size = F.aggregate("marks", F.lit(0).cast("long"), lambda s, m: s + m["hi"] - m["lo"] + 1)
-    total = texts.agg(F.sum(size)).first()[0] or 0
-    ranges = min(most_ranges, max(1, -(-total // per_range)))
-    each = max(1, total // (16 * ranges))
+    count = F.aggregate("marks", F.lit(0).cast("long"), lambda s, m: s + m["hi"] - m["lo"] + 1) if windows else F.size("marks").cast("long")
+    total = texts.agg(F.sum(count)).first()[0] or 0
+    ranges = max(1, -(-total // per_range))
+    every = max(1, total // (4 * ranges))
 
-    def opened(batches: Iterator[pa.RecordBatch]):
+    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for row in range(batch.num_rows):
                 k, h, raw = batch.column(0)[row].as_py(), batch.column(1)[row].as_py(), batch.column(2)[row].as_py()
-                for m in batch.column(3)[row].as_py():
-                    for p in range(m["lo"], m["hi"] + 1):
-                        yield k, h, p, raw[p : p + least]
+                marks = batch.column(3)[row].values
+                los, his = marks.field("lo").to_pylist(), marks.field("hi").to_pylist()
+                if windows:
+                    for lo, hi in zip(los, his, strict=True):
+                        for p in range(lo, hi + 1):
+                            yield raw[p : p + least], k, h, 0, p, p
+                else:
+                    for hb, a, lo, hi in zip(marks.field("hb").to_pylist(), marks.field("a").to_pylist(), los, his, strict=True):
+                        yield raw[a : hi + least] + raw[lo:a] + struct.pack(">II", hi - a + least, a - lo), k, h, hb, lo, hi
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [w for i, (*_, w) in enumerate(opened(batches)) if i % each == 0]
-        yield pa.record_batch([pa.array(kept, pa.binary())], names=["w"])
+        kept = [x[0] for i, x in enumerate(suffixes(batches)) if i % every == every // 2]
+        yield pa.record_batch([pa.array(kept, pa.binary())], names=["s"])
 
     splitters: list[bytes] = []
     if ranges > 1:
-        seen = sorted(bytes(r.w) for r in texts.mapInArrow(sample, "w binary").collect())
-        splitters = sorted({seen[len(seen) * i // ranges] for i in range(1, ranges)})
-
-    def coded(held: list[tuple]) -> Iterator[pa.RecordBatch]:
-        windows = [x[3] for x in held]
-        order, lcp, m = front_code(windows)
+        splitters = separators(sorted(texts.mapInArrow(sample, "s binary").toArrow().column("s").to_pylist()), ranges)
+    key_type = texts.select("k").limit(0).toArrow().schema.field(0).type
+    id_types = [key_type, pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    run_types = [pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.bool_()), *map(pa.list_, id_types)]
+    run_names = ["part", "lcps", "sizes", "tails", "again", "k", "h", "hb", "lo", "hi"]
+
+    def coded(held: list[tuple], number: int) -> pa.RecordBatch:
+        """A sorted chunk as one run for each range; of equals the first, the others apart (they repeat, whatever is merged)."""
+        held.sort(key=lambda x: x[0])
+        first, again, rest = [], [], []
+        for x in held:
+            if first and first[-1][0] == x[0]:
+                again[-1] = True
+                rest.append(x)
+            else:
+                first.append(x)
+                again.append(False)
+        ordered = [x[0] for x in first]
         ends = [0]
-        ordered = [windows[i] for i in order.tolist()]
-        from bisect import bisect_left
-
         for s in splitters:
             ends.append(bisect_left(ordered, s, ends[-1]))
-        ends.append(len(ordered))
-        cols: list[list] = [[], [], [], [], [], []]
-        for part, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
-            if a == b:
-                continue
-            own = lcp[a:b].copy()
-            own[0] = 0
-            tails = m[a:b][np.arange(least) >= own[:, None]].tobytes()
-            rows = [held[i] for i in order[a:b].tolist()]
-            for c, x in zip(cols, (part, own.astype(np.uint16).tobytes(), tails, [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]), strict=True):
-                c.append(x)
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(cols, run_types, strict=True)], names=["part", "lcps", "tails", "ks", "hs", "ps"])
-
-    key_type = texts.select("k").limit(0).toArrow().schema.field(0).type
-    run_types = [pa.int32(), pa.binary(), pa.binary(), pa.list_(key_type), pa.list_(pa.int64()), pa.list_(pa.int32())]
+        rows = []
+        for part, (a, b) in enumerate(zip(ends, [*ends[1:], len(ordered)], strict=True)):
+            if a < b:
+                lcps, tails = front_code(ordered[a:b])
+                rows.append((part, lcps, [len(x) for x in ordered[a:b]], tails, again[a:b], *([x[c] for x in first[a:b]] for c in range(1, 6))))
+        if rest:  # to any range
+            rows.append((number % ranges, [], [], b"", [], *([x[c] for x in rest] for c in range(1, 6))))
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), run_types, strict=True)], names=run_names)
 
     def sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        for x in opened(batches):
+        number = 0
+        for x in suffixes(batches):
             held.append(x)
             if len(held) >= chunk:
-                yield from coded(held)
+                number = hash(held[0][0])
+                yield coded(held, number)
                 held = []
         if held:
-            yield from coded(held)
-
-    def merged(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [x for b in batches for x in b.to_pylist()]
-        runs = [Run(i, np.frombuffer(x["lcps"], np.uint16), x["tails"], least) for i, x in enumerate(rows)]
-        found: list[tuple[int, int]] = []
-        before, flagged = (0, 0), True
-        for run, place, lcp in merge(runs):
-            if lcp >= least:
-                if not flagged:
-                    found.append(before)
-                found.append((run, place))
-                flagged = True
-            else:
-                before, flagged = (run, place), False
-        out = [[rows[r][c][i] for r, i in found] for c in ("ks", "hs", "ps")]
-        yield pa.record_batch([pa.array(out[0], key_type), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32())], names=["k", "h", "lo"])
+            yield coded(held, hash(held[0][0]))
+
+    names = ["k", "h", "hb", "lo", "hi", "repeats", "one"]
 
-    coded_runs = texts.mapInArrow(sorted_runs, f"part int, lcps binary, tails binary, ks array<{kind}>, hs array<long>, ps array<int>")
-    found = coded_runs.groupBy("part").applyInArrow(merged, f"k {kind}, h long, lo int")
-    return found.withColumn("hi", F.col("lo"))
+    def in_order(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        runs, ids = [], []
+        for batch in batches:
+            for row in range(batch.num_rows):
+                own = [batch.column(n)[row].values for n in run_names[5:]]
+                lcps = batch.column("lcps")[row].values
+                if len(lcps):
+                    runs.append(Run(lcps.to_pylist(), batch.column("sizes")[row].values.to_pylist(), batch.column("tails")[row].as_py()))
+                    ids.append([x.to_pylist() for x in (*own, batch.column("again")[row].values)])
+                else:
+                    n = len(own[0])
+                    yield pa.record_batch([*own, pa.array([True] * n), pa.array([False] * n)], names=names)
+        out: tuple[list, ...] = tuple([] for _ in names)
+        size, place = 0, 0  # of the suffix before, and where it stands in out
+
+        def flush() -> pa.RecordBatch:
+            use = [i for i, r in enumerate(out[5]) if r or not windows]
+            made = pa.record_batch([pa.array([c[i] for i in use], t) for c, t in zip(out, [*id_types, pa.bool_(), pa.bool_()], strict=True)], names=names)
+            for c in out:
+                c.clear()
+            return made
+
+        for r, i, lcp in merge(runs):
+            own = ids[r]
+            equal = lcp == size == runs[r].sizes[i]
+            if equal:
+                out[5][place] = True
+            elif len(out[0]) >= 50_000:
+                yield flush()
+            size = runs[r].sizes[i]
+            for c in range(5):
+                out[c].append(own[c][i])
+            out[5].append(equal or own[5][i])
+            out[6].append(not equal)
+            place = len(out[0]) - 1
+        yield flush()
+
+    runs = texts.select("k", "h", "t", "marks").mapInArrow(sorted_runs, f"part int, lcps array<int>, sizes array<int>, tails binary, again array<boolean>, k array<{kind}>, h array<long>, hb array<long>, lo array<int>, hi array<int>")
+    return runs.groupBy("part").applyInArrow(in_order, f"k {kind}, h long, hb long, lo int, hi int, repeats boolean, one boolean")
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 400, reach: int = 160, near: int = 16) -> DataFrame:
@@ -347,27 +391,20 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     texts = docs.select(F.col(key).alias("k"), F.xxhash64(body).alias("h"), body.cast("binary").alias("t")).where(F.octet_length("t") >= least)
     kind = dict(texts.dtypes)["k"]
-    marked = stored(_with_marks(texts, settle(texts, kind, least, reach, "anchors")), "marked-texts")
-    again = marked.where(F.exists("marks", lambda m: m["open"]))
-    fine = settle(again, kind, least, near, "near-anchors")
-    left = _with_marks(again.drop("marks"), fine.where("open"))
-    more = fine.where("NOT open").select("k", "h", "lo", "hi").unionByName(repeated_windows(stored(left, "open-texts"), kind, least))
-    more = stored(more.withColumn("open", F.lit(False)), "late-runs")
-    ready = _with_marks(marked.withColumnRenamed("marks", "own"), more, "left")
+    maybe, whole, some = settle(texts, kind, least, reach, "anchors")
+    near_texts, fine, few = settle(stored(_with_marks(maybe, some), "open-texts"), kind, least, near, "near-anchors")
+    late = merged(stored(_with_marks(near_texts, few), "late-texts"), kind, least, windows=True).select("k", "h", "lo", "hi")
+    gone = stored(whole.unionByName(fine).unionByName(late), "repeated-windows")
+    ready = _with_marks(maybe, gone)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 raw = np.frombuffer(batch.column("t")[row].as_buffer(), np.uint8)
                 change = np.zeros(len(raw) + 1, np.int64)
-                for name in ("own", "marks"):
-                    cell = batch.column(name)[row]
-                    if not cell.is_valid or not len(cell):
-                        continue
-                    x = cell.values
-                    use = ~x.field("open").to_numpy(zero_copy_only=False)
-                    change += np.bincount(x.field("lo").to_numpy()[use], minlength=len(change))
-                    change -= np.bincount(x.field("hi").to_numpy()[use] + least, minlength=len(change))
+                x = batch.column("marks")[row].values
+                change += np.bincount(x.field("lo").to_numpy(), minlength=len(change))
+                change -= np.bincount(x.field("hi").to_numpy() + least, minlength=len(change))
                 gone = np.cumsum(change[:-1]) > 0
                 edges = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
                 if not len(edges):
@@ -376,7 +413,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int
                 kind_ = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
                 yield pa.record_batch([batch.column("k").slice(row, 1), batch.column("h").slice(row, 1), pa.array([spans], kind_), pa.array([raw[~gone].tobytes()], pa.binary())], names=["k", "h", "spans", "kept"])
 
-    done = ready.select("k", "h", "t", "own", "marks").mapInArrow(cut, f"k {kind}, h long, spans array<struct<start:int,stop:int>>, kept binary")
+    done = ready.select("k", "h", "t", "marks").mapInArrow(cut, f"k {kind}, h long, spans array<struct<start:int,stop:int>>, kept binary")
     return done
 
 
@@ -396,5 +433,6 @@ def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     out = own.join(found, (F.col("h") == F.col("h2")) & F.col("doc_id").eqNullSafe(F.col("k")), "left")
     zero = F.lit(0).cast("long")
     return out.select(
-        "doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256")
+        "doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256"),
+        F.col("n_removed").isNotNull().alias("has_repeat"),
     )
