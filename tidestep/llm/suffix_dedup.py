@@ -95,20 +95,12 @@ def anchors(raw: np.ndarray, least: int, reach: int) -> tuple[np.ndarray, ...]:
 
 
 def _anchor_rows(texts: DataFrame, kind: str, least: int, reach: int, only_hashes: bool) -> DataFrame:
-    """A row for each anchor; with a column ``marks``, of the windows of its marks alone."""
-    marked = "marks" in texts.columns
+    """A row for each anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                raw = np.frombuffer(batch.column(2)[row].as_buffer(), np.uint8)
-                parts = [(0, len(raw))]
-                if marked:
-                    parts = [(m["lo"], m["hi"] + least) for m in batch.column(3)[row].as_py()]
-                found = [(at, anchors(raw[at:stop], least, reach)) for at, stop in parts]
-                if not found:
-                    continue
-                cols = [np.concatenate([x[c] + (at if c else 0) for at, x in found]) for c in range(4)]
+                cols = anchors(np.frombuffer(batch.column(2)[row].as_buffer(), np.uint8), least, reach)
                 if only_hashes:
                     yield pa.record_batch([pa.array(cols[0])], names=["hb"])
                     continue
@@ -139,19 +131,19 @@ def _with_marks(texts: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def settle(texts: DataFrame, kind: str, least: int, reach: int, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Texts that may have repeats; ``k``, ``h``, ``lo``, ``hi`` of runs of windows that repeat; the same of runs of which some may.
+    """Texts that may have repeats; ``k``, ``h``, ``lo``, ``hi`` of runs of windows that repeat; runs of which some windows may, and their bytes (``piece``).
 
-    ``texts`` has ``k``, ``h``, ``t`` (binary) and maybe ``marks`` (windows to look at). The
-    last result holds every window that is not settled, with one of each that it may equal.
+    ``texts`` has ``k``, ``h`` and ``t`` (binary). The last result holds every window that is
+    not settled, with one of each that it may equal.
     """
     each = lambda hashes: _anchor_rows(texts, kind, least, reach, hashes)
     shared = stored(each(True).groupBy("hb").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hb"), f"{name}-shared")
     maybe = stored(_with_marks(texts, each(False).join(shared, "hb")), f"{name}-texts")
-    found = stored(merged(maybe, kind, least), f"{name}-merged")
+    found = stored(merged(maybe, kind, least, core=least - reach + 1), f"{name}-merged")
     one = found.where("one")
     mixed = one.groupBy("hb").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("repeats")).alias("lone")).where("n > 1 AND lone > 0")
     left = one.join(stored(mixed.select("hb"), f"{name}-mixed"), "hb")
-    return maybe, found.where("repeats").select("k", "h", "lo", "hi"), left.select("k", "h", "lo", "hi")
+    return maybe, found.where("repeats").select("k", "h", "lo", "hi"), left.select("k", "h", "lo", "hi", "piece")
 
 
 def front_code(suffixes: list[bytes]) -> tuple[list[int], bytes]:
@@ -261,17 +253,18 @@ def separators(seen: list[bytes], ranges: int) -> list[bytes]:
     return out
 
 
-def merged(texts: DataFrame, kind: str, least: int, windows: bool = False, chunk: int = 32_768, per_range: int = 65_536) -> DataFrame:
-    """``k``, ``h``, ``hb``, ``lo``, ``hi``, ``repeats``, ``one`` of the ``marks`` of ``texts``, by the merge sort of their suffixes.
+def merged(texts: DataFrame, kind: str, least: int, core: int = 0, chunk: int = 32_768, per_range: int = 65_536) -> DataFrame:
+    """``k``, ``h``, ``hb``, ``lo``, ``hi``, ``repeats``, ``one``, ``piece`` of the ``marks`` of ``texts``, by the merge sort of their suffixes.
 
     ``repeats``: another mark has the same suffix. ``one``: of marks with the same suffix,
-    one has it. With ``windows`` each window of the marks is a suffix of its own (``lo`` =
-    ``hi``), and only those that repeat are returned.
+    one has it; if it shares its first ``core`` bytes with a neighbour (or stands at the end
+    of a range), ``piece`` has the bytes of its windows. Without ``core`` each window of the
+    marks is a suffix of its own (``lo`` = ``hi``), and only those that repeat are returned.
 
     A task holds ``chunk`` suffixes, or the front-coded runs of one range of about
     ``per_range``, however many ranges there are. The driver sees four sampled suffixes a range.
     """
-    count = F.aggregate("marks", F.lit(0).cast("long"), lambda s, m: s + m["hi"] - m["lo"] + 1) if windows else F.size("marks").cast("long")
+    count = F.aggregate("marks", F.lit(0).cast("long"), lambda s, m: s + m["hi"] - m["lo"] + 1) if not core else F.size("marks").cast("long")
     total = texts.agg(F.sum(count)).first()[0] or 0
     ranges = max(1, -(-total // per_range))
     every = max(1, total // (4 * ranges))
@@ -282,7 +275,7 @@ def merged(texts: DataFrame, kind: str, least: int, windows: bool = False, chunk
                 k, h, raw = batch.column(0)[row].as_py(), batch.column(1)[row].as_py(), batch.column(2)[row].as_py()
                 marks = batch.column(3)[row].values
                 los, his = marks.field("lo").to_pylist(), marks.field("hi").to_pylist()
-                if windows:
+                if not core:
                     for lo, hi in zip(los, his, strict=True):
                         for p in range(lo, hi + 1):
                             yield raw[p : p + least], k, h, 0, p, p
@@ -338,7 +331,7 @@ def merged(texts: DataFrame, kind: str, least: int, windows: bool = False, chunk
         if held:
             yield coded(held, hash(held[0][0]))
 
-    names = ["k", "h", "hb", "lo", "hi", "repeats", "one"]
+    names = ["k", "h", "hb", "lo", "hi", "repeats", "one", "piece"]
 
     def in_order(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs, ids = [], []
@@ -351,34 +344,52 @@ def merged(texts: DataFrame, kind: str, least: int, windows: bool = False, chunk
                     ids.append([x.to_pylist() for x in (*own, batch.column("again")[row].values)])
                 else:
                     n = len(own[0])
-                    yield pa.record_batch([*own, pa.array([True] * n), pa.array([False] * n)], names=names)
+                    yield pa.record_batch([*own, pa.array([True] * n), pa.array([False] * n), pa.array([None] * n, pa.binary())], names=names)
         out: tuple[list, ...] = tuple([] for _ in names)
-        size, place = 0, 0  # of the suffix before, and where it stands in out
+        size, place = 0, -1  # of the suffix before, and where it stands in out
+        before = b""
 
         def flush() -> pa.RecordBatch:
-            use = [i for i, r in enumerate(out[5]) if r or not windows]
-            made = pa.record_batch([pa.array([c[i] for i in use], t) for c, t in zip(out, [*id_types, pa.bool_(), pa.bool_()], strict=True)], names=names)
+            use = [i for i, r in enumerate(out[5]) if r or core]
+            made = pa.record_batch([pa.array([c[i] for i in use], t) for c, t in zip(out, [*id_types, pa.bool_(), pa.bool_(), pa.binary()], strict=True)], names=names)
             for c in out:
                 c.clear()
             return made
 
+        def bytes_of(suffix: bytes) -> bytes:
+            """The windows' bytes in their order: what stands before the anchor comes last in a suffix."""
+            ahead, back = struct.unpack(">II", suffix[-8:])
+            return suffix[ahead : ahead + back] + suffix[:ahead]
+
         for r, i, lcp in merge(runs):
-            own = ids[r]
-            equal = lcp == size == runs[r].sizes[i]
+            own, run = ids[r], runs[r]
+            equal = lcp == size == run.sizes[i]
+            near = core and not equal and (lcp >= core or place < 0)
+            if place >= 0 and near and not out[7][place]:
+                # The first of this suffix, whichever place its equals have: pieces belong to it.
+                first = place
+                while not out[6][first]:
+                    first -= 1
+                out[7][first] = out[7][first] or bytes_of(before)
             if equal:
                 out[5][place] = True
-            elif len(out[0]) >= 50_000:
+            elif len(out[0]) >= 50_000 and not near:
                 yield flush()
-            size = runs[r].sizes[i]
+            size, before = run.sizes[i], run.suffix
             for c in range(5):
                 out[c].append(own[c][i])
             out[5].append(equal or own[5][i])
             out[6].append(not equal)
+            out[7].append(bytes_of(before) if near else None)
             place = len(out[0]) - 1
+        if core and place >= 0:
+            while not out[6][place]:
+                place -= 1
+            out[7][place] = out[7][place] or bytes_of(before)
         yield flush()
 
     runs = texts.select("k", "h", "t", "marks").mapInArrow(sorted_runs, f"part int, lcps array<int>, sizes array<int>, tails binary, again array<boolean>, k array<{kind}>, h array<long>, hb array<long>, lo array<int>, hi array<int>")
-    return runs.groupBy("part").applyInArrow(in_order, f"k {kind}, h long, hb long, lo int, hi int, repeats boolean, one boolean")
+    return runs.groupBy("part").applyInArrow(in_order, f"k {kind}, h long, hb long, lo int, hi int, repeats boolean, one boolean, piece binary")
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 400, reach: int = 160, near: int = 16) -> DataFrame:
@@ -392,9 +403,14 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int
     texts = docs.select(F.col(key).alias("k"), F.xxhash64(body).alias("h"), body.cast("binary").alias("t")).where(F.octet_length("t") >= least)
     kind = dict(texts.dtypes)["k"]
     maybe, whole, some = settle(texts, kind, least, reach, "anchors")
-    near_texts, fine, few = settle(stored(_with_marks(maybe, some), "open-texts"), kind, least, near, "near-anchors")
-    late = merged(stored(_with_marks(near_texts, few), "late-texts"), kind, least, windows=True).select("k", "h", "lo", "hi")
-    gone = stored(whole.unionByName(fine).unionByName(late), "repeated-windows")
+    # From here on a piece of a text, told apart by where it begins, stands for the text.
+    piece = lambda rows, k, at: rows.select(F.struct(F.col(k).alias("k"), at.cast("int").alias("at")).alias("k"), "h", F.col("piece").alias("t"))
+    own = lambda rows: rows.select("k.k", "h", (F.col("k.at") + F.col("lo")).alias("lo"), (F.col("k.at") + F.col("hi")).alias("hi"))
+    part = f"struct<k:{kind},at:int>"
+    _, fine, few = settle(stored(piece(some, "k", F.col("lo")), "pieces"), part, least, near, "near-anchors")
+    all_windows = F.array(F.struct(F.lit(0).alias("lo"), (F.octet_length("t") - least).cast("int").alias("hi")))
+    late = merged(stored(piece(few, "k.k", F.col("k.at") + F.col("lo")).withColumn("marks", all_windows), "late-pieces"), part, least)
+    gone = stored(whole.unionByName(own(fine)).unionByName(own(late)), "repeated-windows")
     ready = _with_marks(maybe, gone)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
