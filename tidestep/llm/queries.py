@@ -11,6 +11,7 @@ from tidestep.llm import bpe, decontaminate, langid, licenses, line_dedup, quali
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licenses": licenses.op1_licenses,
     "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
+    "op3_passages": substring_dedup.op3_passages,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op3_all_lines": substring_dedup.op3_all_lines,
     "op4_topk": topk.op4_topk,
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_licenses": licenses.OP1_SQL,
+    "op3_passages": substring_dedup.OP3_PASSAGES_SQL,
     "op3_substring_dedup": substring_dedup.OP3_SQL,
     "op3_all_lines": substring_dedup.OP3_ALL_SQL,
     "op4_topk": topk.OP4_SQL,

@@ -6,9 +6,11 @@ some query rows at a time, scatters the weighted postings into dense score array
 A partition selection takes the best of the block; a window merges the blocks.
 
 Defined results: a vector that is null, or holds a null or non-finite component,
-takes no part; neither does a row with a null id. An id that occurs on several rows
-counts once, with its smallest vector. Vectors of unequal length are compared as if
-padded with zeros. Memory is bounded by the two block sizes.
+takes no part; neither does a row with a null id. Rows that share an id are rows of
+their own: each is a candidate for the others, and each that is a query has results.
+Ties go to the smaller id. Vectors of unequal length, empty ones too, are compared as if
+padded with zeros. An empty table gives an empty result; extra columns are left out,
+whatever their names. Memory is bounded by the two block sizes.
 """
 
 from __future__ import annotations
@@ -26,23 +28,23 @@ from tidestep.llm.common import stored, table
 _LOWEST = np.iinfo(np.int64).min
 
 
-def _dense(block: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and the matrix of a packed block, rows by id."""
+def _dense(block: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers, ids and the matrix of a packed block, rows by id."""
     rows = block.values
-    ids, vectors = rows.field("id").to_numpy(zero_copy_only=False), rows.field("v")
+    number, ids, vectors = rows.field("row").to_numpy(), rows.field("id").to_numpy(zero_copy_only=False), rows.field("v")
     sizes = np.diff(vectors.offsets.to_numpy())
     out = np.zeros((len(ids), int(sizes.max(initial=0))), np.int64)
     out[np.arange(out.shape[1]) < sizes[:, None]] = vectors.flatten().to_numpy(zero_copy_only=False)
-    order = np.argsort(ids, kind="stable")
-    return ids[order], out[order]
+    order = np.lexsort((number, ids))
+    return number[order], ids[order], out[order]
 
 
-def _best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, rows: int = 16):
-    """The k best of one block of candidates for each query row: (query, candidate, score) arrays."""
+def _best(q_rows: np.ndarray, q_ids: np.ndarray, q: np.ndarray, c_rows: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, rows: int = 16):
+    """The k best of one block of candidates for each query row: (query's row, its id, candidate's row, its id, score) arrays."""
     terms = min(q.shape[1], c.shape[1])
     postings = [np.flatnonzero(c[:, t]) for t in range(terms)]
     weights = [np.ascontiguousarray(c[p, t]) for t, p in enumerate(postings)]
-    found: tuple[list, list, list] = ([], [], [])
+    found: tuple[list, ...] = ([], [], [], [], [])
     for at in range(0, len(q_ids), rows):
         part = q[at : at + rows]
         scores = np.zeros((len(part), len(c_ids)), np.int64)
@@ -56,8 +58,7 @@ def _best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k:
             else:
                 scores[np.ix_(used, postings[t])] += add
         for i, s in enumerate(scores):
-            me = q_ids[at + i]
-            live = np.flatnonzero(c_ids != me)
+            live = np.flatnonzero(c_rows != q_rows[at + i])
             if not len(live):
                 continue
             s = s[live]
@@ -66,10 +67,9 @@ def _best(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k:
                 pick = np.flatnonzero(s >= least)
             else:
                 pick = np.arange(len(s))
-            pick = pick[np.lexsort((c_ids[live][pick], -s[pick]))][:k]
-            found[0].append(np.full(len(pick), me))
-            found[1].append(c_ids[live][pick])
-            found[2].append(s[pick])
+            pick = pick[np.lexsort((c_rows[live][pick], c_ids[live][pick], -s[pick]))][:k]
+            for column, x in zip(found, (np.full(len(pick), q_rows[at + i]), np.full(len(pick), q_ids[at + i]), c_rows[live][pick], c_ids[live][pick], s[pick]), strict=True):
+                column.append(x)
     return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in found]
 
 
@@ -81,11 +81,11 @@ def topk_inner(
     ``vector`` is an array<long>. Ties go to the smaller id.
     """
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    rows = stored(rows.where("id IS NOT NULL AND v IS NOT NULL").groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q")), "vectors")
+    rows = stored(rows.where("id IS NOT NULL AND v IS NOT NULL").withColumn("row", F.monotonically_increasing_id()), "vectors")
     n, n_q = rows.agg(F.count(F.lit(1)), F.count_if("q")).first()
     blocks, q_blocks = max(1, math.ceil(n / block)), max(1, math.ceil(n_q / query_block))
-    pack = F.collect_list(F.struct("id", "v"))
-    at = lambda parts: F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
+    pack = F.collect_list(F.struct("row", "id", "v"))
+    at = lambda parts: F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int")
     each = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     left = rows.groupBy(at(blocks).alias("cb")).agg(pack.alias("c")).select("cb", "c", each(q_blocks).alias("qb"))
     right = rows.where("q").groupBy(at(q_blocks).alias("qb")).agg(pack.alias("q")).select("qb", "q", each(blocks).alias("cb"))
@@ -93,11 +93,11 @@ def topk_inner(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for c, q in zip(batch.column(0), batch.column(1), strict=True):
-                yield pa.record_batch(_best(*_dense(q), *_dense(c), k), names=["query_id", "vec_id", "score"])
+                yield pa.record_batch(_best(*_dense(q), *_dense(c), k), names=["query_row", "query_id", "row", "vec_id", "score"])
 
     pairs = left.join(right, ["cb", "qb"]).select("c", "q")
-    scored = pairs.mapInArrow(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    scored = pairs.mapInArrow(run, "query_row long, query_id long, row long, vec_id long, score long")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
     ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
@@ -117,15 +117,15 @@ def op4_topk(spark, sf_dir: str) -> DataFrame:
 
 
 OP4_SQL = """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS nth, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
   FROM embeddings
   WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+  SELECT q.nth AS nth, q.vec_id AS query_id, c.vec_id AS vec_id,
          CAST(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id
+  FROM v q JOIN v c ON q.nth <> c.nth
   WHERE q.vec_id % 50 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+r AS (SELECT *, row_number() OVER (PARTITION BY nth ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
