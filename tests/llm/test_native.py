@@ -28,7 +28,7 @@ def documents(spark, tmp_path, texts):
 @pytest.mark.parametrize("copies", [0, 1, 12])
 def test_texts_on_edges(spark, tmp_path, copies):
     d = documents(spark, tmp_path, EDGE * copies)
-    for name in ("op1_licenses", "op3_substring_dedup", "op5_line_dedup"):
+    for name in ("op1_licenses", "op3_passages", "op3_substring_dedup", "op5_line_dedup"):
         assert compare(spark, name, queries.QUERIES[name], queries.ORACLE_SQL[name], d) == copies * len(EDGE)
 
 
@@ -66,12 +66,20 @@ def test_topk_in_small_blocks(spark):
     got = {}
     for x in topk.topk_inner(df, F.col("vec_id") % 10 == 0, k=4, block=37, query_block=11).collect():
         got.setdefault(x.query_id, []).append((x.rank, x.vec_id, x.score))
-    s = e @ e.T
+    # A row that shares its id with another is a candidate too.
+    ids, rows = [*range(300), 5], np.vstack([e, e[5:6]])
+    s = rows @ rows.T
     for q in range(0, 300, 10):
-        want = sorted((-int(s[q, c]), c) for c in range(300) if c != q)[:4]
+        want = sorted((-int(s[q, c]), ids[c]) for c in range(301) if c != q)[:4]
         assert sorted(got[q]) == [(k + 1, c, -v) for k, (v, c) in enumerate(want)]
 
 
+def test_topk_of_rows_that_share_an_id(spark, tmp_path):
+    rows = [(50, [1.0, 0.5]), (50, [0.5, 1.0]), (50, [0.5, 1.0]), (7, [2.0, 2.0]), (None, [9.0, 9.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert compare(spark, "op4", topk.op4_topk, topk.OP4_SQL, str(tmp_path)) == 9
+
+
 def test_topk_without_vectors(spark, tmp_path):
     spark.createDataFrame([], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert topk.op4_topk(spark, str(tmp_path)).count() == 0
@@ -123,3 +131,33 @@ def test_passage_of_short_lines_keeps_one_copy(spark, tmp_path):
     d = documents(spark, tmp_path, texts)
     assert compare(spark, "op3_all_lines", queries.QUERIES["op3_all_lines"], queries.ORACLE_SQL["op3_all_lines"], d) == 3
     assert {r.doc_id: r.n_removed for r in queries.QUERIES["op3_all_lines"](spark, d).collect()} == {0: 0, 1: 12, 2: 12}
+
+
+def test_passages_within_lines_are_found_and_short_ones_left_alone(spark, tmp_path):
+    passage = "Eleven words make up the first of these sentences right here. And then there is one more of them.\nIs the next line a part of it? Yes, it is, and it has enough words to count. One more sentence of seven words here."
+    common = "A common line of nine words that many share"
+    texts = [f"Own start {i} {passage} own end {i}.\n{common}\nThe rest is {i}." for i in range(3)] + [f"Alone {i}.\n{common}" for i in range(3)] + [passage.replace(". ", " .  ").upper(), None, ""]
+    d = documents(spark, tmp_path, texts)
+    assert compare(spark, "op3_passages", queries.QUERIES["op3_passages"], queries.ORACLE_SQL["op3_passages"], d) == len(texts)
+    got = {r.doc_id: r for r in queries.QUERIES["op3_passages"](spark, d).collect()}
+    assert [got[i].has_repeat for i in range(9)] == [True] * 3 + [False] * 3 + [True, False, False]
+    assert [got[i].n_removed for i in range(9)] == [0, 4, 4, 0, 0, 0, 4, 0, 0]
+
+
+def test_passages_keep_extra_columns_and_the_earliest(spark):
+    from tidestep.llm import substring_dedup
+
+    t = " ".join(f"Sentence {i} has six words here." for i in range(8))
+    names = ["_removed", "_n_units", "_h", "k", "h", "note", "both", "own_hash", "text_in"]
+    docs = spark.createDataFrame([(i, r, t + f" End of {i}.", *("own",) * len(names)) for i, r in ((1, 5), (2, 3), (3, 4))] + [(None, 9, t, *("own",) * len(names))], "doc_id long, r int, text string, " + ", ".join(f"`{n}` string" for n in names))
+    for rank, first in (("r", 2), (None, None)):
+        out = substring_dedup.passages(docs, rank=rank)
+        assert out.columns[: 3 + len(names)] == docs.columns and len(out.columns) == 6 + len(names)
+        rows = {x[0]: x for x in out.collect()}
+        assert all(x[3:12] == ("own",) * 9 for x in rows.values())
+        for k, x in rows.items():
+            assert x[2].startswith(t) if k == first else "Sentence" not in x[2]
+            for s in x[12]:
+                assert "Sentence" in (t + f" End of {k}.")[s.start : s.stop]
+    assert substring_dedup.dedup(docs).columns[:12] == docs.columns
+    assert substring_dedup.passages(docs.limit(0)).count() == 0
