@@ -73,6 +73,42 @@ def test_paraphrases_and_clean_documents(spark):
     assert len(want & got) >= 0.95 * len(want) and len(got - want) <= 2
 
 
+def test_the_latent_space_alone_finds_paraphrases_and_prunes(spark):
+    r, word, items, docs = corpus(11)
+    want = set()
+    for i in range(0, 300, 3):
+        k = r.randrange(len(items))
+        w = [word() if r.random() < 0.12 else x for x in items[k].split()]
+        host = docs[i].split()
+        cut = r.randrange(len(host) + 1)
+        docs[i] = " ".join([*host[:cut], *w, *host[cut:]])
+        want.add((i, k))
+    df = spark.createDataFrame([*enumerate(docs)], "doc_id long, text string").repartition(4)
+    model = d.train(df, spark.createDataFrame([*enumerate(items)], "item_id long, text string"))
+    found = lambda **how: {(x.doc_id, model.items[y.item]) for x in d.leaks(df, model, **how).collect() for y in x.leaks}
+    every = found(least_cosine=-2.0) & want
+    assert len(found(verbatim=False) & want) >= 0.9 * len(every) and len(every) >= 0.9 * len(want)
+    # Of all pairs of a passage and a piece, few are candidates.
+    import pyarrow as pa
+
+    b = d._blocks(pa.array(docs), d._lookup(model.vocabulary))
+    use = model.content[b.term]
+    x = d._by_group(b.block[use], b.term[use], model.latent, len(b.text_of))
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    assert (x @ model.targets.T >= 0.15).mean() < 0.3
+
+
+def test_randomised_svd_against_an_exact_one():
+    r = np.random.default_rng(3)
+    a = r.standard_normal((400, 12)) @ np.diag(0.6 ** np.arange(12)) @ r.standard_normal((12, 90)) + 0.001 * r.standard_normal((400, 90))
+    s = d._random(90, 20).astype(float)
+    v = d.randomised_svd(a.T @ (a @ s), s, 8)
+    exact = np.linalg.svd(a, full_matrices=False)[2][:8].T
+    assert v.shape == (90, 8) and np.allclose(v.T @ v, np.eye(8), atol=1e-8)
+    assert np.linalg.svd(exact.T @ v)[1].min() > 0.999  # the same space
+    assert np.linalg.norm(a @ v) >= 0.9999 * np.linalg.norm(a @ exact)
+
+
 def test_every_verbatim_item_at_every_offset(spark):
     r, word, items, docs = corpus(5)
     # Words that the latent space gives no weight: they occur in none of the documents that it comes from.

@@ -6,14 +6,17 @@ blocks of all documents. A randomised SVD of the blocks is distributed: each tas
 multiplies its rows with a random sketch and back, the products are summed by parts of
 the vocabulary, and the small factor is solved on the driver (vocabulary times rank
 numbers, whatever the size of the corpus). Every pair of adjacent blocks is a passage;
-its cosine to each item in the latent space gives the candidates, and so does, by itself,
-the number of words that it shares with one. They are verified by the longest common subsequence of content words, so paraphrases with changed or
+its cosine to each item in the latent space gives the candidates. A space of a bounded rank
+has no place for the rarest words, so passages that hold enough words of an item to be a
+leak whatever their order are candidates as well (``verbatim``). Candidates are verified by
+the longest common subsequence of content words, so paraphrases with changed or
 inserted words are found, and by the answer: the last sentence of the item, found word
 by word (its content words, or all if it has none). Both look at the passage and the
 block on either side of it, so that long pieces are seen whole.
 
 Defined results: null and empty texts leak nothing, nor do items without a word. Items
-of the same words are matched each. Texts are read whole; words are runs of letters and
+of the same words are matched each, so there are no ties. Empty tables give no leaks. A
+null id is an id like any other; extra columns pass through whatever their names. Texts are read whole; words are runs of letters and
 digits (other than ASCII: any character), A-Z lower-cased. Rows are not shuffled, so
 repeated rows and very long texts need no special case.
 """
@@ -295,8 +298,8 @@ def _contains(part: np.ndarray, whole: np.ndarray) -> bool:
     return any(np.array_equal(whole[k : k + n], part) for k in np.flatnonzero(whole[: len(whole) - n + 1] == part[0]))
 
 
-def find_leaks(m: LeakModel, texts: pa.Array, find, least_cosine: float, least_common: float, least_with_answer: float) -> list[dict]:
-    """For each text, item number to (cosine, common share, answer found) of what is verified."""
+def find_leaks(m: LeakModel, texts: pa.Array, find, least_cosine: float, least_common: float, least_with_answer: float, verbatim: bool = True) -> list[dict]:
+    """For each text, item number to (common share, cosine, answer found) of what is verified."""
     out: list[dict] = [{} for _ in range(len(texts))]
     b = _blocks(texts, find)
     use = m.content[b.term]
@@ -333,9 +336,11 @@ def find_leaks(m: LeakModel, texts: pa.Array, find, least_cosine: float, least_c
             inside = block_of < high[at:stop]
             shared[inside] += held[block_of[inside] - left]
         cosine = (whole[at:stop] / np.maximum(sizes[at:stop, None], 1e-12)) @ m.targets.T
-        # A passage with too few words of a piece around it to reach the common share is no candidate;
-        # one with enough of them is, whatever the latent space says of it.
-        row, col = np.nonzero((shared >= np.maximum(1, least_with_answer * lens)) & ((cosine >= least_cosine) | (shared >= least_common * lens)))
+        candidate = cosine >= least_cosine
+        if verbatim:
+            candidate |= shared >= least_common * lens
+        # Of candidates, those with too few words of the piece around them can't reach the common share.
+        row, col = np.nonzero(candidate & (shared >= np.maximum(1, least_with_answer * lens)))
         for i, p in zip(row.tolist(), col.tolist(), strict=True):
             k = at + i
             passage = term[begin[low[k]] : begin[high[k]]]
@@ -351,15 +356,18 @@ def find_leaks(m: LeakModel, texts: pa.Array, find, least_cosine: float, least_c
     return out
 
 
-def leaks(docs: DataFrame, model: LeakModel, text: str = "text", name: str = "leaks", least_cosine: float = 0.05, least_common: float = 0.7, least_with_answer: float = 0.5) -> DataFrame:
-    """All columns of ``docs`` and, in ``name``, the items found in each row: item, cosine, common (share of the item's content words), answer."""
+def leaks(docs: DataFrame, model: LeakModel, text: str = "text", name: str = "leaks", least_cosine: float = 0.15, least_common: float = 0.7, least_with_answer: float = 0.5, verbatim: bool = True) -> DataFrame:
+    """All columns of ``docs`` and, in ``name``, the items found in each row: item, cosine, common (share of the item's content words), answer.
+
+    If ``docs`` has a column ``name``, that stays and the added one gets an underscore behind.
+    """
     kind = "array<struct<item:int,cosine:double,common:double,answer:boolean>>"
 
     def make(texts: pa.Array) -> list[pa.Array]:
         cache = process_cache("leak-lookup")
         if cache.get("of") != model.vocabulary.tobytes():
             cache |= {"of": model.vocabulary.tobytes(), "find": _lookup(model.vocabulary)}
-        found = find_leaks(model, texts, cache["find"], least_cosine, least_common, least_with_answer) if model.items else [{}] * len(texts)
+        found = find_leaks(model, texts, cache["find"], least_cosine, least_common, least_with_answer, verbatim) if model.items else [{}] * len(texts)
         rows = [[{"item": i, "cosine": c, "common": s, "answer": a} for i, (s, c, a) in sorted(x.items())] for x in found]
         return [pa.array(rows, pa.list_(pa.struct([("item", pa.int32()), ("cosine", pa.float64()), ("common", pa.float64()), ("answer", pa.bool_())])))]
 
