@@ -9,8 +9,10 @@ corpus is read and scored in one pass without a shuffle.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0. So is
 every text if there is nothing to learn from. With one language learned it is always
-predicted. Repeated rows are scored each. Ties between languages go to the first in
-alphabetical order.
+predicted. Repeated rows are scored each, rows with a null id too, and an empty table
+gives an empty result. Ties between languages go to the first in alphabetical order.
+Texts of any length are read whole, in slices. Extra columns pass through whatever
+their names; added names that are there already get an underscore behind.
 """
 
 from __future__ import annotations

@@ -12,7 +12,10 @@ in one pass without a shuffle.
 
 Defined results: null, empty and white-space texts are scored by their features, which
 are zero. If no label can be learned from, every score is the share of label 1, or 0.5
-without any label. Repeated rows are scored each.
+without any label. Repeated rows are scored each, rows with a null key too (no label is
+theirs), and equal texts have equal scores. An empty table gives an empty result. Extra
+columns pass through whatever their names; an added name that is there already gets an
+underscore behind. Texts of any length are read whole.
 """
 
 from __future__ import annotations
