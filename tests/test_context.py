@@ -124,3 +124,27 @@ def test_stream_of_supersteps(spark, tmp_path):
     steps = []
     supersteps.run_supersteps(stream, lambda bag, n: steps.append((n, bag.count())), f"{tmp_path}/ck").awaitTermination(120)
     assert sorted(n for n, _ in steps) == [0, 1, 2] and sum(k for _, k in steps) == 12
+
+
+def test_messages_are_consumed(spark):
+    with context.BspLib(spark, 2) as lib:
+        rows = spark.createDataFrame([(0, 1, 1, "aé"), (0, 1, 2, "b"), (1, 1, 3, "ccc"), (1, 0, 4, "d")], "src int, dst int, seq long, payload string")
+        lib.send(rows, c("src"), c("dst"), c("seq"), F.lit("t"), c("payload"))
+        lib.sync()
+        assert {r.dst_pid: bytes(r.payload) for r in lib.move(2).collect()} == {0: b"d", 1: b"b"}
+        assert {r.pid: (r.n, r.bytes) for r in lib.qsize().collect()} == {0: (0, 0), 1: (2, 6)}
+        assert [(r.seq, r.tag, r.payload) for r in lib.hpmove(5).orderBy("place").collect()] == [(1, "t", "aé"), (3, "t", "ccc")]
+        assert {r.pid: r.status for r in lib.get_tag().collect()} == {0: -1, 1: -1}
+    with pytest.raises(context.BspFatal), context.BspLib(spark, 2) as lib:
+        lib.push_reg("x", lib.procs.select("pid", F.lit(0).alias("off"), F.lit(1).alias("val")))
+
+
+def test_probe_and_saved_samples(spark, tmp_path):
+    from tidestep.operators import cost
+
+    curve = spark.createDataFrame([(1, 10.0, 5.0), (9, 2.0, 13.0)], "block long, g double, l double")
+    got = context.BspContext(spark, 3).probe(curve, spark.createDataFrame([(0,), (5,), (99,)], "size long")).orderBy("size").collect()
+    assert [(r.size, r.cost_g, r.cost_l, r.p) for r in got] == [(0, 10.0, 5.0, 3), (5, 6.0, 9.0, 3), (99, 2.0, 13.0, 3)]
+    for part in (curve.limit(1), curve.where("block = 9")):
+        cost.save_samples(part, f"{tmp_path}/samples")
+    assert cost.load_samples(curve, f"{tmp_path}/samples").count() == 2

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidestep.operators.lists import placed
 from tidestep.sources.tables import small
 
 MOST = (1 << 63) - 1
@@ -12,8 +13,7 @@ MOST = (1 << 63) - 1
 
 def beyond_reserved(slots: DataFrame, capacity: int) -> DataFrame:
     """Registrations after the reserved number. ``slots``: pid, slot, seq."""
-    nth = F.row_number().over(Window.partitionBy("pid").orderBy("seq"))
-    return slots.withColumn("nth", nth).where(F.col("nth") > capacity)
+    return placed(slots, ["pid"], "seq", name="nth").where(F.col("nth") > capacity)
 
 
 def unknown_slot(bag: DataFrame, slots: DataFrame, side: str = "dst") -> DataFrame:

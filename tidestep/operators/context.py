@@ -9,7 +9,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidestep.operators import messages, move
+from tidestep.operators import cost, messages, move
 from tidestep.sources.tables import kept, processes
 
 ROOT, MAX_P, NO_ARGS, DEFAULT = 0, (1 << 31) - 1, None, "default"
@@ -56,6 +56,10 @@ class BspContext:
         """Runs ``program(context, procs, args)`` on new processes; its DataFrames are the distributed part."""
         return program(child := BspContext(self.spark, min(nprocs or self.nprocs, self.nprocs)), child.procs, args)
 
+    def probe(self, curve: DataFrame, sizes: DataFrame) -> DataFrame:
+        """``p`` and, for each of ``sizes`` (size), the cost parameters between those measured in ``curve`` (block, g, l)."""
+        return cost.interpolated(sizes, curve).withColumn("p", F.lit(self.nprocs))
+
     def rehook(self, program: Callable[..., Any], args: Any = NO_ARGS) -> Any:
         """The same processes with registers of their own."""
         return self.exec(program, args)
@@ -134,6 +138,14 @@ class BspLib(BspContext):
     def time(self) -> float:
         return time.monotonic() - self.began
 
+    def __enter__(self) -> BspLib:
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        """The end of the program: what was asked for after the last sync would be lost, so that is an error."""
+        if kind is None and (self.pending or self._sent or self._push or self._pop):
+            raise BspFatal(ERRORS["SYNC_EXIT_MISMATCH"])
+
     def push_reg(self, ident: str, df: DataFrame) -> None:
         """Takes effect at the next sync; the newest registration of a name counts."""
         if not ident:
@@ -177,8 +189,24 @@ class BspLib(BspContext):
         return messages.peeked(self._messages(), self.procs)
 
     def moved(self, most: int) -> DataFrame:
+        """All that wait, cut to ``most`` bytes, in the order of reading; none leaves the queue."""
         return messages.delivered(messages.moved(self._messages(), most))
 
+    def _take(self, n: int) -> DataFrame:
+        """The next ``n`` messages of each process, which leave the queue."""
+        moves, queue = self.procs.select("pid", F.lit(n).alias("n")), self._messages()
+        taken = messages.hp_moved(queue, moves)
+        self.inbox = kept(messages.remaining(queue, moves), "messages")
+        return taken
+
+    def move(self, most: int, n: int = 1) -> DataFrame:
+        """Payloads of the next ``n`` messages of each process, cut to ``most`` bytes; they leave the queue."""
+        return messages.moved(self._take(n), most)
+
+    def hpmove(self, n: int = 1) -> DataFrame:
+        """As ``move``, with tags, and nothing cut."""
+        return self._take(n)
+
     def _messages(self) -> DataFrame:
         if self.inbox is None:
             raise BspError(ERRORS["EMPTY_MESSAGE_QUEUE"])

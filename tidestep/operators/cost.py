@@ -98,6 +98,16 @@ def bucket_statistics(samples: DataFrame, key: str, bucket: str, value: str) ->
     return kinds.select(key, "buckets", "mean", F.try_divide(spread, F.col("buckets") - 1).alias("variance_of_means"), "means")
 
 
+def save_samples(samples: DataFrame, path: str) -> None:
+    """Adds measured samples to those that a measurement has saved at ``path``, so that it can be resumed."""
+    samples.write.mode("append").parquet(path)
+
+
+def load_samples(like: DataFrame, path: str) -> DataFrame:
+    """The saved samples, with the columns of ``like``."""
+    return like.sparkSession.read.schema(like.schema).parquet(path)
+
+
 def bsp_parameters(mean_empty: float, mean_p: float, mean_2p: float, mean_pn: float, mean_local: float, p: int, n: int) -> dict[str, float]:
     """``t0``, ``g``, ``L`` and ``r`` of a machine of p processes from the mean times of five measurements: nothing, p, 2 p and p n words exchanged, n words moved locally."""
     return {"t0": mean_empty, "g": (mean_pn - mean_2p) / (p * (n - 2)), "L": 2 * mean_p - mean_2p, "r": mean_local / (n * p)}

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidestep.sources.tables import kept
+from tidestep.sources.tables import kept, small
 
 
 def sample_sorted(df: DataFrame, *keys: str | Column, parts: int | None = None) -> DataFrame:
@@ -21,15 +21,16 @@ def sample_sorted(df: DataFrame, *keys: str | Column, parts: int | None = None)
 def ranked(df: DataFrame, *keys: str | Column, name: str = "rank") -> DataFrame:
     """Position of each row in the order of ``keys`` (which must be total), without one task that sees all rows.
 
-    Rows are dealt by sampled pivots; a row's rank is its place in the range plus the
+    Rows are dealt by sampled pivots and sorted once; a row's number in its sorted range, and
+    the range, are in one id, which is stored with the row. Its rank is that number plus the
     sizes of the ranges before, of which there are as many as shuffle partitions.
     """
-    ranged = kept(sample_sorted(df, *keys), "sorted")
-    sizes = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy("range").orderBy(*keys))
-    own = ranged.withColumn("_place", place)
-    return own.join(F.broadcast(before), "range").withColumn(name, (F.col("before") + F.col("_place") - 1).cast("long")).drop("range", "before", "_place")
+    at, n, before = F.shiftrightunsigned("_at", 33), F.count(F.lit(1)), Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ordered = kept(sample_sorted(df, *keys).drop("range").withColumn("_at", F.monotonically_increasing_id()), "sorted")
+    sizes = ordered.groupBy(at.alias("_range")).agg(n.alias("n"))
+    starts = sizes.select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    own = ordered.join(small(starts), at == F.col("_range"))
+    return own.withColumn(name, F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_range", "_start")
 
 
 def placed(df: DataFrame, group: list[str], *keys: str | Column, name: str = "place") -> DataFrame:
@@ -110,6 +111,12 @@ def relocated(nodes: DataFrame, p: int, *order: str | Column) -> DataFrame:
     return place.select("id", "pid", "idx", "prev_pid", "prev_idx", "next_pid", "next_idx")
 
 
+def dumped(nodes: DataFrame) -> DataFrame:
+    """A list (id, prev, next) with the ``rank`` of each node, found from its links; sorted by rank it is the list's print."""
+    rank = list_rank(nodes.select("id", "next")).withColumnRenamed("id", "_id")
+    return nodes.join(rank, F.col("id") == F.col("_id")).select("rank", "id", "prev", "next")
+
+
 def random_list(spark, n: int, seed: int = 0) -> DataFrame:
     """The nodes 0 .. n - 1 as a list in a random order that the seed fixes."""
     keyed = spark.range(n).select("id", F.xxhash64(F.lit(seed), "id").alias("key"))

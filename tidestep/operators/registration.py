@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidestep.operators.lists import placed
+
 
 def allocated(slots: DataFrame) -> DataFrame:
     """Slot ids in the order of registration: even for global slots, odd for local ones. ``slots`` has pid, kind, seq."""
-    nth = F.row_number().over(Window.partitionBy("pid", "kind").orderBy("seq")) - 1
-    return slots.withColumn("slot", (nth * 2 + F.when(F.col("kind") == "local", 1).otherwise(0)).cast("long"))
+    nth = placed(slots, ["pid", "kind"], "seq", name="_nth")
+    return nth.withColumn("slot", ((F.col("_nth") - 1) * 2 + F.when(F.col("kind") == "local", 1).otherwise(0)).cast("long")).drop("_nth")
 
 
 def over_capacity(slots: DataFrame, capacity: int) -> DataFrame:

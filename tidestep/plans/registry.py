@@ -303,6 +303,13 @@ def allcombine_vector_add(spark, d):
     return collectives.allcombine(vectors(spark, d), procs_of(spark), "sum")
 
 
+@query("""SELECT p.pid, off, val FROM (SELECT off, CAST(max(abs(CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT))) AS BIGINT) AS val
+  FROM (SELECT unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS off FROM embeddings) GROUP BY off), (SELECT CAST(range AS INTEGER) AS pid FROM range(8)) p""")
+def allcombine_user(spark, d):
+    """A combiner of the user's own: the largest magnitude of each element."""
+    return collectives.allcombine(vectors(spark, d), procs_of(spark), lambda v: F.max(F.abs(v)))
+
+
 @query(f"SELECT CAST((pid - 1) // 3 AS INTEGER) AS pid, max(val) AS val, count(*) AS n FROM ({SQL_CUSTOMER}) WHERE pid >= 1 AND pid < 8 AND (pid - 1) % 3 = 0 GROUP BY 1")
 def strided_max(spark, d):
     """The processes 1, 4 and 7 as a group with ranks of their own."""
@@ -646,6 +653,12 @@ def list_rank(spark, d):
     return lists.list_rank(order_list(spark, d).select("id", "next"))
 
 
+@query(f"SELECT row_number() OVER (ORDER BY price, id) - 1 AS rank, id, prev, next FROM ({SQL_LINKS}) JOIN (SELECT o_orderkey AS key, CAST(round(o_totalprice * 100) AS BIGINT) AS price FROM orders) ON key = id")
+def list_dump(spark, d):
+    """Each node with its place and its neighbours."""
+    return lists.dumped(order_list(spark, d))
+
+
 @query(f"""WITH l AS ({SQL_LINKS}), n AS (SELECT id, 2 * row_number() OVER (ORDER BY CAST(round(o_totalprice * 100) AS BIGINT), o_orderkey) AS k FROM (SELECT o_orderkey AS id, o_totalprice, o_orderkey FROM orders)),
 a AS (SELECT id, k FROM n UNION ALL SELECT -1 - id, k - 1 FROM n WHERE id % 5 = 0)
 SELECT id, lag(id) OVER (ORDER BY k) AS prev, lead(id) OVER (ORDER BY k) AS next FROM a""")
