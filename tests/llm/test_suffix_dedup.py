@@ -50,12 +50,23 @@ def test_anchors_depend_on_the_window_alone():
     b = np.concatenate((part, r.integers(97, 101, 90, dtype=np.uint8)))
     of = {}
     for name, x, at in (("a", a, 333), ("b", b, 0)):
-        hb, anchor, lo, hi = s.anchors(x, 400, 160)
+        hb, text, anchor, lo, hi = s.anchors(x, np.zeros(1, np.int64), 400, 160)
         assert lo[0] == 0 and hi[-1] == len(x) - 400 and (lo[1:] == hi[:-1] + 1).all() and ((anchor >= hi) & (anchor - lo < 160)).all()
         of[name] = {p - at: (int(h), int(c) - at) for h, c, u, v in zip(hb, anchor, lo, hi) for p in range(u, v + 1)}
     assert all(of["a"][p] == of["b"][p] for p in range(301))
 
 
+def test_anchors_of_texts_together_are_those_of_each():
+    r = np.random.default_rng(6)
+    texts = [r.integers(97, 101, n, dtype=np.uint8) for n in (0, 399, 400, 1500, 0, 401, 12, 2000, 30)]
+    starts = np.cumsum([0, *map(len, texts[:-1])])
+    got = [*zip(*(x.tolist() for x in s.anchors(np.concatenate(texts), starts, 400, 160)))]
+    want = []
+    for i, t in enumerate(texts):
+        want += [(h, i, *rest) for h, _, *rest in zip(*(x.tolist() for x in s.anchors(t, np.zeros(1, np.int64), 400, 160)))]
+    assert got == want and len({x[1] for x in got}) == 4
+
+
 def corpus(seed, least):
     r = random.Random(seed)
     make = lambda n: bytes(r.choice(b"abcdefgh \n") for _ in range(n))

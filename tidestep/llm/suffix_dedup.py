@@ -44,6 +44,7 @@ from pyspark.sql import functions as F
 from tidestep.llm.common import process_cache, stored, table
 
 _SLICE = 1 << 21
+_TOGETHER = 1 << 19
 _GRAM = 16
 
 
@@ -62,18 +63,20 @@ def _tables() -> dict:
     return t
 
 
-def anchors(raw: np.ndarray, least: int, reach: int) -> tuple[np.ndarray, ...]:
-    """Hash of the bytes that all its windows share, anchor, first and last window of each anchor of some bytes."""
+def anchors(raw: np.ndarray, starts: np.ndarray, least: int, reach: int) -> tuple[np.ndarray, ...]:
+    """Of texts that stand one after another in some bytes, from ``starts`` on: hash of the bytes that all its windows share, text, anchor, first and last window of each anchor.
+
+    Places count from the beginning of the text. No window reaches into another text.
+    """
+    if len(raw) < least:
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
     n = len(raw) - least + 1
-    if n <= 0:
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
-    if n > _SLICE:  # an anchor at a cut stands for two runs of windows
-        parts = [anchors(raw[at : at + _SLICE + least - 1], least, reach) for at in range(0, n, _SLICE)]
-        return tuple(np.concatenate([x[c] + (k * _SLICE if c else 0) for k, x in enumerate(parts)]) for c in range(4))
+    if n > _SLICE:  # one long text; an anchor at a cut stands for two runs of windows
+        parts = [anchors(raw[at : at + _SLICE + least - 1], starts, least, reach) for at in range(0, n, _SLICE)]
+        return tuple(np.concatenate([x[c] + (k * _SLICE if c > 1 else 0) for k, x in enumerate(parts)]) for c in range(5))
     t = _tables()
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(t["value"][raw] * t["up"][: len(raw)], out=sums[1:])
-    between = lambda a, b: (sums[b] - sums[a]) * t["down"][a]
     grams = n + reach - 1
     v = (sums[_GRAM : _GRAM + grams] - sums[:grams]) * t["down"][:grams]
     v ^= v >> np.uint64(29)
@@ -87,11 +90,24 @@ def anchors(raw: np.ndarray, least: int, reach: int) -> tuple[np.ndarray, ...]:
         span *= 2
     v = np.minimum(v[:n], v[reach - span : reach - span + n])
     at = (v & np.uint64((1 << 24) - 1)).astype(np.int64)
-    lo = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-    hi = np.concatenate((lo[1:], [n])) - 1
-    a = at[lo]
-    shared = between(a, a + (least - reach + 1))
-    return shared.view(np.int64), a, lo, hi
+    stops = np.append(starts[1:], len(raw))
+    live = np.flatnonzero(stops - starts >= least)
+    if not len(live):
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
+    change = np.zeros(n + 1, np.int8)  # windows within one text
+    np.add.at(change, starts[live], 1)
+    np.add.at(change, stops[live] - least + 1, -1)
+    within = np.cumsum(change[:-1], dtype=np.int8) > 0
+    new = np.ones(n, bool)
+    new[1:] = at[1:] != at[:-1]
+    new[starts[live]] = True
+    lo = np.flatnonzero(new & within)
+    text = np.searchsorted(starts, lo, "right") - 1
+    hi = stops[text] - least
+    hi[:-1] = np.minimum(hi[:-1], lo[1:] - 1)
+    a, first = at[lo], starts[text]
+    shared = (sums[a + (least - reach + 1)] - sums[a]) * t["down"][a]
+    return shared.view(np.int64), text, a - first, lo - first, hi - first
 
 
 def _anchor_rows(texts: DataFrame, kind: str, least: int, reach: int, only_hashes: bool) -> DataFrame:
@@ -99,14 +115,18 @@ def _anchor_rows(texts: DataFrame, kind: str, least: int, reach: int, only_hashe
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(batch.num_rows):
-                cols = anchors(np.frombuffer(batch.column(2)[row].as_buffer(), np.uint8), least, reach)
+            texts_ = batch.column(2).cast(pa.large_binary())
+            offsets = np.frombuffer(texts_.buffers()[1], np.int64)[texts_.offset : texts_.offset + len(texts_) + 1]
+            raw, first = np.frombuffer(texts_.buffers()[2] or b"", np.uint8), 0
+            while first < len(texts_):  # as many texts at once as have some bytes together, one at least
+                last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + _TOGETHER, "right")) - 1)
+                hb, text, *places = anchors(raw[offsets[first] : offsets[last]], offsets[first:last] - offsets[first], least, reach)
                 if only_hashes:
-                    yield pa.record_batch([pa.array(cols[0])], names=["hb"])
-                    continue
-                ks = pa.array([batch.column(0)[row].as_py()] * len(cols[0]), batch.column(0).type)
-                hs = pa.array(np.full(len(cols[0]), batch.column(1)[row].as_py(), np.int64))
-                yield pa.record_batch([ks, hs, pa.array(cols[0]), *(pa.array(x.astype(np.int32)) for x in cols[1:])], names=["k", "h", "hb", "a", "lo", "hi"])
+                    yield pa.record_batch([pa.array(hb)], names=["hb"])
+                else:
+                    own = [batch.column(c).take(pa.array(text + first)) for c in range(2)]
+                    yield pa.record_batch([*own, pa.array(hb), *(pa.array(x.astype(np.int32)) for x in places)], names=["k", "h", "hb", "a", "lo", "hi"])
+                first = last
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
