@@ -148,3 +148,29 @@ def test_probe_and_saved_samples(spark, tmp_path):
     for part in (curve.limit(1), curve.where("block = 9")):
         cost.save_samples(part, f"{tmp_path}/samples")
     assert cost.load_samples(curve, f"{tmp_path}/samples").count() == 2
+
+
+def test_abort_guards_and_sentinels(spark):
+    from tidestep.sources.tables import hooked
+
+    ctx = context.BspContext(spark, 2)
+    with pytest.raises(context.BspFatal, match="enough"):
+        ctx.abort("enough")
+    with pytest.raises(context.BspFatal):
+        ctx.sync()
+    for program, n in ((None, 2), (lambda *_: 0, 0), (lambda *_: 0, -1)):
+        with pytest.raises(context.BspFatal):
+            context.BspContext(spark, 2).exec(program, nprocs=n)
+    with pytest.raises(ValueError):
+        hooked(ctx.procs, c("pid"), 0)
+    assert (context.ROOT, context.INVALID_SIZE, context.INVALID_SLOT, context.NONE) == (0, -1, -1, None)
+
+
+def test_remote_query_and_unbuffered_sends(spark):
+    lib = context.BspLib(spark, 3)
+    asked = lib.procs.select("pid", c("pid").cast("long").alias("seq"), F.lit("q").alias("tag"), c("pid").cast("string").alias("payload"))
+    got = lib.query(asked, lambda m: m.withColumn("payload", F.concat(F.lit("you said "), "payload"))).collect()
+    assert sorted((r.src_pid, r.dst_pid, r.payload) for r in got) == [(0, i, f"you said {i}") for i in range(3)]
+    lib.hpsend(lib.procs, c("pid"), F.lit(2), c("pid"), F.lit("t"), F.lit("x"))
+    lib.sync()
+    assert {r.pid: r.n for r in lib.qsize().collect()} == {0: 0, 1: 0, 2: 3}

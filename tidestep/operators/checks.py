@@ -37,10 +37,10 @@ def overflow(bag: DataFrame, side: str = "dst") -> DataFrame:
     return bag.where(F.expr(f"try_add({side}_off, size) IS NULL"))
 
 
-def inactive(bag: DataFrame, slots: DataFrame, step: int) -> DataFrame:
-    """Requests to global slots before the sync that activates them."""
-    s = slots.where((F.col("kind") == "global") & (F.col("active_from") > step)).select(F.col("pid").alias("dst_pid"), F.col("slot").alias("dst_slot"))
-    return bag.join(s, ["dst_pid", "dst_slot"], "left_semi")
+def inactive(bag: DataFrame, slots: DataFrame, step: int, side: str = "dst") -> DataFrame:
+    """Requests to (or from, with side ``src``) global slots before the sync that activates them."""
+    s = slots.where((F.col("kind") == "global") & (F.col("active_from") > step)).select(F.col("pid").alias(f"{side}_pid"), F.col("slot").alias(f"{side}_slot"))
+    return bag.join(s, [f"{side}_pid", f"{side}_slot"], "left_semi")
 
 
 def out_of_bounds(bag: DataFrame, slots: DataFrame, side: str = "dst") -> DataFrame:
@@ -69,6 +69,18 @@ def unequal_counts(calls: DataFrame, procs: DataFrame) -> DataFrame:
     return every.groupBy("step").agg(F.min("n").alias("least"), F.max("n").alias("most")).where("least <> most")
 
 
+def unequal_pops(pops: DataFrame, pushes: DataFrame) -> DataFrame:
+    """The i-th release of a superstep that does not name the same area everywhere. ``pops``: step, pid, seq, ident; ``pushes``: pid, ident, step, depth.
+
+    What a release names is the newest registration of its name on its process before the
+    superstep: processes that pushed in a different order release different areas.
+    """
+    named = pops.select("step", "pid", "seq", "ident").join(pushes.select("pid", "ident", F.col("step").alias("pushed"), "depth"), ["pid", "ident"], "left")
+    top = named.groupBy("step", "pid", "seq", "ident").agg(F.max(F.when(F.col("pushed") < F.col("step"), F.col("depth"))).alias("slot"))
+    nth = placed(top, ["step", "pid"], "seq", name="i")
+    return nth.groupBy("step", "i").agg(F.min("ident").alias("a"), F.max("ident").alias("b"), F.count_if(F.col("slot").isNull()).alias("unregistered")).where("a <> b OR unregistered > 0").select("step", "i", "unregistered")
+
+
 def unequal_slots(calls: DataFrame) -> DataFrame:
     """The i-th collective call of a superstep that names different slots. ``calls``: step, pid, seq, slot."""
     nth = F.row_number().over(Window.partitionBy("step", "pid").orderBy("seq"))

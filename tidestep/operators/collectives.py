@@ -6,7 +6,7 @@ and is the side that is broadcast where rows are copied to all of them, if its s
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidestep.functions.reducers import reducer
@@ -112,6 +112,17 @@ def scan(df: DataFrame, procs: DataFrame, op="sum", exclusive: bool = False) ->
     return procs.select("pid").join(own, "pid", "left").select("pid", reducer(op)(F.col("val")).over(until).alias("val"))
 
 
+def nested(df: DataFrame, sub: Column, p: int) -> DataFrame:
+    """Rows on ``p`` inner processes of each process: ``sub_pid`` by a key that is not negative. A reduction by (pid, sub_pid), then by pid, runs in each subgroup."""
+    return df.withColumn("sub_pid", (sub % p).cast("int"))
+
+
+def reduce_nested(df: DataFrame, op) -> DataFrame:
+    """What each subgroup reduces to: first on each inner process, then on its process (``inner`` of them took part)."""
+    own = df.groupBy("pid", "sub_pid").agg(reducer(op)(F.col("val")).alias("val"))
+    return own.groupBy("pid").agg(reducer(op)(F.col("val")).alias("val"), F.count(F.lit(1)).alias("inner"))
+
+
 def any_flag(df: DataFrame, procs: DataFrame, condition) -> DataFrame:
     """Whether any row of any process has the condition, on every process."""
     return everywhere(df.agg(F.coalesce(F.bool_or(condition), F.lit(False)).alias("val")), procs).select("pid", "val")

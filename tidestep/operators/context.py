@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from tidestep.operators import cost, messages, move
 from tidestep.sources.tables import kept, processes
 
-ROOT, MAX_P, NO_ARGS, DEFAULT = 0, (1 << 31) - 1, None, "default"
+ROOT, MAX_P, NONE, NO_ARGS, DEFAULT = 0, (1 << 31) - 1, None, None, "default"
+INVALID_SIZE, INVALID_SLOT = -1, -1
 
 
 class BspError(Exception):
@@ -54,6 +55,8 @@ class BspContext:
 
     def exec(self, program: Callable[..., Any], args: Any = NO_ARGS, nprocs: int | None = None) -> Any:
         """Runs ``program(context, procs, args)`` on new processes; its DataFrames are the distributed part."""
+        if program is None or (nprocs is not None and nprocs <= 0):
+            raise BspFatal("a program and a positive number of processes")
         return program(child := BspContext(self.spark, min(nprocs or self.nprocs, self.nprocs)), child.procs, args)
 
     def probe(self, curve: DataFrame, sizes: DataFrame) -> DataFrame:

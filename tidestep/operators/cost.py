@@ -8,7 +8,8 @@ import sys
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidestep.sources.tables import small
+from tidestep.operators.lists import sample_sorted
+from tidestep.sources.tables import kept, small
 
 # The block sizes in bytes at which a machine is measured.
 BLOCKS = (1, 8, 128, 1024, 8192, 131072, 1048576)
@@ -76,8 +77,7 @@ def statistics(samples: DataFrame, key: str, value: str) -> DataFrame:
     d = F.col(value) - F.col("c")
     per = samples.join(centre, key).groupBy(key, "c").agg(
         n.cast("long").alias("n"), F.sum(big(d)).cast("double").alias("s1"), F.sum(big(d * d)).cast("double").alias("s2"), F.sum(big(d) * big(d * d)).cast("double").alias("s3"),
-        F.expr(f"percentile_disc(0.025) WITHIN GROUP (ORDER BY {value})").alias("low"), F.expr(f"percentile_disc(0.975) WITHIN GROUP (ORDER BY {value})").alias("high"),
-    )
+    ).join(quantiles(samples, key, value, low=0.025, high=0.975), key)
     m = F.col("s1") / F.col("n")
     return per.select(
         key, "n", (F.col("c") + m).alias("mean"),
@@ -98,6 +98,22 @@ def bucket_statistics(samples: DataFrame, key: str, bucket: str, value: str) ->
     return kinds.select(key, "buckets", "mean", F.try_divide(spread, F.col("buckets") - 1).alias("variance_of_means"), "means")
 
 
+def quantiles(samples: DataFrame, key: str, value: str, **shares: float) -> DataFrame:
+    """For each kind the least values up to which at least the ``shares`` of its samples lie, exactly.
+
+    Equal values are counted first, so a very common one is one row. The others are dealt in
+    sorted ranges; a count up to a value is that of its range and of the ranges before.
+    """
+    counts = samples.groupBy(key, value).agg(F.count(F.lit(1)).alias("_n"))
+    ranged = kept(sample_sorted(counts, key, value), "counts")
+    sums = ranged.groupBy(key, "range").agg(F.sum("_n").alias("_own"))  # a row for each kind and range
+    before = Window.partitionBy(key).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(key, "range", F.coalesce(F.sum("_own").over(before), F.lit(0)).alias("_start"), F.sum("_own").over(Window.partitionBy(key)).alias("_all"))
+    within = Window.partitionBy(key, "range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    upto = ranged.join(small(starts), [key, "range"]).withColumn("_upto", F.col("_start") + F.sum("_n").over(within))
+    return upto.groupBy(key).agg(*(F.min(F.when(F.col("_upto") >= F.col("_all") * share, F.col(value))).alias(name) for name, share in shares.items()))
+
+
 def save_samples(samples: DataFrame, path: str) -> None:
     """Adds measured samples to those that a measurement has saved at ``path``, so that it can be resumed."""
     samples.write.mode("append").parquet(path)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidestep.functions import reducers
 from tidestep.operators import checks, collectives, cost, lists, messages, move, registration
 from tidestep.sources.tables import cents, hooked, owned, processes, table
 
@@ -84,6 +85,13 @@ def nested_exec_sizes(spark, d):
     return outer.join(F.broadcast(inner)).select("pid", "sub_pid", F.expr(f"(100 + {P} - sub_pid - 1) div {P}").cast("long").alias("size"))
 
 
+@query("SELECT pid, CAST(sum(val) AS BIGINT) AS val, count(DISTINCT sub_pid) AS inner FROM (SELECT CAST(c_nationkey % 8 AS INTEGER) AS pid, CAST(c_custkey % 5 AS INTEGER) AS sub_pid, CAST(round(c_acctbal * 100) AS BIGINT) AS val FROM customer) GROUP BY 1")
+def nested_exec_sum(spark, d):
+    """Each process runs a subgroup of five over its customers, which adds up their balances."""
+    own = hooked(table(spark, d, "customer"), c("c_nationkey"), P).withColumn("val", cents("c_acctbal"))
+    return collectives.reduce_nested(collectives.nested(own, c("c_custkey"), 5), "sum")
+
+
 @query("""SELECT CAST(a.n_regionkey AS INTEGER) AS src_node, CAST(b.n_regionkey AS INTEGER) AS dst_node, count(*) AS n, count(*) FILTER (WHERE a.n_regionkey = b.n_regionkey) AS local
 FROM events JOIN nation a ON event_id % 25 = a.n_nationkey JOIN nation b ON user_id % 25 = b.n_nationkey GROUP BY 1, 2""")
 def node_routing(spark, d):
@@ -568,6 +576,24 @@ def violation_inactive_slot(spark, d):
     return checks.inactive(calls(spark, d), slots_of(spark, d), 2).select("seq")
 
 
+@query(f"SELECT b.seq FROM ({SQL_CALLS}) b JOIN ({SQL_SLOTS}) s ON s.pid = b.src_pid AND s.slot = b.src_slot WHERE s.kind = 'global' AND s.active_from > 2")
+def violation_inactive_source(spark, d):
+    return checks.inactive(calls(spark, d), slots_of(spark, d), 2, "src").select("seq")
+
+
+SQL_POPS = "SELECT event_id // 40 AS step, CAST(user_id % 8 AS INTEGER) AS pid, event_id AS seq, event_type AS ident FROM events WHERE event_id % 3 = 0"
+SQL_PUSHED = "SELECT CAST(user_id % 8 AS INTEGER) AS pid, event_type AS ident, event_id // 40 AS step, event_id AS depth FROM events WHERE event_id % 3 <> 0"
+
+
+@query(f"""WITH p AS ({SQL_POPS}), u AS ({SQL_PUSHED}),
+t AS (SELECT p.step, p.pid, p.seq, p.ident, (SELECT max(u.depth) FROM u WHERE u.pid = p.pid AND u.ident = p.ident AND u.step < p.step) AS slot FROM p),
+n AS (SELECT *, row_number() OVER (PARTITION BY step, pid ORDER BY seq) AS i FROM t)
+SELECT step, i, count(*) FILTER (WHERE slot IS NULL) AS unregistered FROM n GROUP BY 1, 2 HAVING min(ident) <> max(ident) OR count(*) FILTER (WHERE slot IS NULL) > 0""")
+def violation_unequal_pops(spark, d):
+    e = table(spark, d, "events").select(F.expr("event_id div 40").alias("step"), (c("user_id") % P).cast("int").alias("pid"), c("event_id").alias("seq"), c("event_type").alias("ident"))
+    return checks.unequal_pops(e.where("seq % 3 = 0"), e.where("seq % 3 <> 0").select("pid", "ident", "step", c("seq").alias("depth"))).select("step", c("i").cast("long").alias("i"), "unregistered")
+
+
 @query(f"SELECT b.seq FROM ({SQL_CALLS}) b JOIN ({SQL_SLOTS}) s ON s.pid = b.dst_pid AND s.slot = b.dst_slot WHERE b.dst_off + b.size > s.size")
 def violation_write_out_of_bounds(spark, d):
     return checks.out_of_bounds(calls(spark, d), slots_of(spark, d)).select("seq")
@@ -751,6 +777,12 @@ def probe_statistics(spark, d):
     return cost.statistics(table(spark, d, "events").select(c("event_type").alias("kind"), cents("value").alias("t")), "kind", "t")
 
 
+@query(f"SELECT kind, round(0.3328 * (abs(third) / pow(variance, 1.5) + 0.429) / sqrt(n), 6) AS bound FROM ({ORACLE_SQL['probe_statistics']})")
+def probe_error_bound(spark, d):
+    """How far the means of each kind are from the normal law at most."""
+    return probe_statistics(spark, d).select("kind", F.round(reducers.normal_error_bound(F.abs("third"), c("variance"), c("n")), 6).alias("bound"))
+
+
 @query("""WITH b AS (SELECT event_type AS kind, event_id % 40 AS bucket, count(*) AS n, sum(CAST(CAST(round(value * 100) AS BIGINT) AS HUGEINT)) AS s FROM events GROUP BY 1, 2),
 m AS (SELECT kind, bucket, n, s, CAST(s AS DOUBLE) / n AS m FROM b),
 k AS (SELECT kind, count(*) AS buckets, CAST(sum(s) AS DOUBLE) / sum(n) AS mean FROM m GROUP BY 1)

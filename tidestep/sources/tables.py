@@ -49,6 +49,8 @@ def small(df: DataFrame, most: int = 1 << 26) -> DataFrame:
 
 def hooked(df: DataFrame, key: Column, p: int) -> DataFrame:
     """Adopts an existing DataFrame: adds the ``pid`` of each row, by a key that is not negative."""
+    if p <= 0:
+        raise ValueError("a positive number of processes")
     return df.withColumn("pid", (key % p).cast("int"))
 
 
