@@ -33,6 +33,7 @@ in slices.
 from __future__ import annotations
 
 import struct
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -150,7 +151,7 @@ def _with_marks(texts: DataFrame, marks: DataFrame) -> DataFrame:
     return joined.drop("k2", "h2")
 
 
-def settle(texts: DataFrame, kind: str, least: int, reach: int, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def settle(texts: DataFrame, kind: str, least: int, reach: int, name: str, **sizes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Texts that may have repeats; ``k``, ``h``, ``lo``, ``hi`` of runs of windows that repeat; runs of which some windows may, and their bytes (``piece``).
 
     ``texts`` has ``k``, ``h`` and ``t`` (binary). The last result holds every window that is
@@ -159,7 +160,7 @@ def settle(texts: DataFrame, kind: str, least: int, reach: int, name: str) -> tu
     each = lambda hashes: _anchor_rows(texts, kind, least, reach, hashes)
     shared = stored(each(True).groupBy("hb").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hb"), f"{name}-shared")
     maybe = stored(_with_marks(texts, each(False).join(shared, "hb")), f"{name}-texts")
-    found = stored(merged(maybe, kind, least, core=least - reach + 1), f"{name}-merged")
+    found = stored(merged(maybe, kind, least, core=least - reach + 1, **sizes), f"{name}-merged")
     one = found.where("one")
     mixed = one.groupBy("hb").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("repeats")).alias("lone")).where("n > 1 AND lone > 0")
     left = one.join(stored(mixed.select("hb"), f"{name}-mixed"), "hb")
@@ -315,7 +316,7 @@ def merged(texts: DataFrame, kind: str, least: int, core: int = 0, chunk: int =
     run_types = [pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.bool_()), *map(pa.list_, id_types)]
     run_names = ["part", "lcps", "sizes", "tails", "again", "k", "h", "hb", "lo", "hi"]
 
-    def coded(held: list[tuple], number: int) -> pa.RecordBatch:
+    def coded(held: list[tuple]) -> pa.RecordBatch:
         """A sorted chunk as one run for each range; of equals the first, the others apart (they repeat, whatever is merged)."""
         held.sort(key=lambda x: x[0])
         first, again, rest = [], [], []
@@ -335,21 +336,19 @@ def merged(texts: DataFrame, kind: str, least: int, core: int = 0, chunk: int =
             if a < b:
                 lcps, tails = front_code(ordered[a:b])
                 rows.append((part, lcps, [len(x) for x in ordered[a:b]], tails, again[a:b], *([x[c] for x in first[a:b]] for c in range(1, 6))))
-        if rest:  # to any range
-            rows.append((number % ranges, [], [], b"", [], *([x[c] for x in rest] for c in range(1, 6))))
+        if rest:  # to any range, the same one if the task runs again
+            rows.append((zlib.crc32(ordered[0]) % ranges, [], [], b"", [], *([x[c] for x in rest] for c in range(1, 6))))
         return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), run_types, strict=True)], names=run_names)
 
     def sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        number = 0
         for x in suffixes(batches):
             held.append(x)
             if len(held) >= chunk:
-                number = hash(held[0][0])
-                yield coded(held, number)
+                yield coded(held)
                 held = []
         if held:
-            yield coded(held, hash(held[0][0]))
+            yield coded(held)
 
     names = ["k", "h", "hb", "lo", "hi", "repeats", "one", "piece"]
 
@@ -412,24 +411,25 @@ def merged(texts: DataFrame, kind: str, least: int, core: int = 0, chunk: int =
     return runs.groupBy("part").applyInArrow(in_order, f"k {kind}, h long, hb long, lo int, hi int, repeats boolean, one boolean, piece binary")
 
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 400, reach: int = 160, near: int = 16) -> DataFrame:
+def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 400, reach: int = 160, near: int = 16, **sizes: int) -> DataFrame:
     """``k``, ``h``, ``spans`` (removed byte runs: start, stop) and ``kept`` (the other bytes) of each text that loses a byte.
 
     ``h`` is xxhash64 of the text (null as empty). Rows that repeat as a whole have one row here.
+    ``sizes`` are those of ``merged``.
     """
     if not near <= reach <= least - _GRAM:
         raise ValueError("near <= reach <= least - 16")
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     texts = docs.select(F.col(key).alias("k"), F.xxhash64(body).alias("h"), body.cast("binary").alias("t")).where(F.octet_length("t") >= least)
     kind = dict(texts.dtypes)["k"]
-    maybe, whole, some = settle(texts, kind, least, reach, "anchors")
+    maybe, whole, some = settle(texts, kind, least, reach, "anchors", **sizes)
     # From here on a piece of a text, told apart by where it begins, stands for the text.
     piece = lambda rows, k, at: rows.select(F.struct(F.col(k).alias("k"), at.cast("int").alias("at")).alias("k"), "h", F.col("piece").alias("t"))
     own = lambda rows: rows.select("k.k", "h", (F.col("k.at") + F.col("lo")).alias("lo"), (F.col("k.at") + F.col("hi")).alias("hi"))
     part = f"struct<k:{kind},at:int>"
-    _, fine, few = settle(stored(piece(some, "k", F.col("lo")), "pieces"), part, least, near, "near-anchors")
+    _, fine, few = settle(stored(piece(some, "k", F.col("lo")), "pieces"), part, least, near, "near-anchors", **sizes)
     all_windows = F.array(F.struct(F.lit(0).alias("lo"), (F.octet_length("t") - least).cast("int").alias("hi")))
-    late = merged(stored(piece(few, "k.k", F.col("k.at") + F.col("lo")).withColumn("marks", all_windows), "late-pieces"), part, least)
+    late = merged(stored(piece(few, "k.k", F.col("k.at") + F.col("lo")).withColumn("marks", all_windows), "late-pieces"), part, least, **sizes)
     gone = stored(whole.unionByName(own(fine)).unionByName(own(late)), "repeated-windows")
     ready = _with_marks(maybe, gone)
 
