@@ -6,6 +6,9 @@ count from zero.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,30 +55,55 @@ def links(df: DataFrame, key: str, *order: str | Column) -> DataFrame:
     return r.join(after, "place", "left").join(before, "place", "left").select("id", "prev", "next")
 
 
-def list_rank(nodes: DataFrame) -> DataFrame:
-    """``id`` and ``rank`` of each node of a list, by pointer doubling.
+def _walk(nodes: DataFrame, kind: str) -> DataFrame:
+    """``id`` and ``rank`` of a short list (id, next, far: the distance to the next), by following it in one task; null for nodes that its head does not lead to."""
+
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        after, rank = {i: (n, far) for i, n, far in rows}, {}
+        heads = after.keys() - {n for n, _ in after.values()}
+        at, place = (next(iter(heads)), 0) if len(heads) == 1 else (None, 0)
+        while at is not None:
+            rank[at] = place
+            at, place = after[at][0], place + after[at][1]
+        yield pa.record_batch([pa.array([r[0] for r in rows], id_type), pa.array([rank.get(r[0]) for r in rows], pa.int64())], names=["id", "rank"])
+
+    id_type = nodes.select("id").limit(0).toArrow().schema.field(0).type
+    return nodes.select("id", "next", "far").repartition(1).mapInArrow(follow, f"id {kind}, rank long")
+
+
+def list_rank(nodes: DataFrame, short: int = 1 << 16) -> DataFrame:
+    """``id`` and ``rank`` of each node of a list, by contraction.
 
-    Each round a node adds the distance of the node it points to and takes over its
-    pointer. Only nodes that still move are written in a round, to a table in the shared
-    folder; those that have reached the end are read from the round in which they did.
+    Each round every node draws a coin from its id; a node with heads that follows one with
+    tails is taken out, about a quarter of them, and remembered with its predecessor. A list of
+    at most ``short`` nodes is followed in one task; then the nodes come back in reverse order,
+    each behind its predecessor. All rounds together move a few times the list.
 
-    A pointer to no node, and a cycle (which no end is reached from in log2 n rounds), is a ValueError.
+    A pointer to no node, and nodes that are not one list (a cycle, several heads), are a ValueError.
     """
-    # Distance to the end of the list; the rank is the largest distance less one's own.
-    moving = kept(nodes.select("id", "next", F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("dist")), "list")
-    if not moving.where("next IS NOT NULL").join(moving.select(F.col("id").alias("_id")), F.col("next") == F.col("_id"), "left_anti").isEmpty():
+    kind = dict(nodes.dtypes)["id"]
+    now = kept(nodes.select("id", "next", F.lit(1).cast("long").alias("far")), "list")
+    if not now.where("next IS NOT NULL").join(now.select(F.col("id").alias("_id")), F.col("next") == F.col("_id"), "left_anti").isEmpty():
         raise ValueError("a node points to one that is not in the list")
-    done, left = moving.where("next IS NULL"), moving.count().bit_length() + 1
-    while not moving.where("next IS NOT NULL").isEmpty():
-        if not left:
-            raise ValueError("the list has a cycle")
-        left -= 1
-        moving = moving.where("next IS NOT NULL")
-        at = moving.unionByName(done).select(F.col("id").alias("next"), F.col("next").alias("further"), F.col("dist").alias("more"))
-        moving = kept(moving.join(at, "next").select("id", F.col("further").alias("next"), (F.col("dist") + F.col("more")).alias("dist")), "list")
-        done = done.unionByName(moving.where("next IS NULL"))
-    most = done.agg(F.max("dist").alias("most"))
-    return done.join(F.broadcast(most)).select("id", (F.col("most") - F.col("dist")).alias("rank"))  # one row
+    taken, size = [], now.count()
+    while size > short and len(taken) < 400:
+        heads = lambda x, n=len(taken): F.xxhash64(F.lit(n), x) % 2 == 0
+        out = now.where(F.col("next").isNotNull() & ~heads(F.col("id")) & heads(F.col("next"))).select(F.col("next").alias("gone"), F.col("id").alias("pred"), F.col("far").alias("back"))
+        taken.append(kept(out, "taken"))
+        both = now.join(taken[-1], F.col("id") == F.col("gone"), "left")
+        spliced = both.where("pred IS NOT NULL").select("pred", F.col("next").alias("then"), F.col("far").alias("more"))
+        left = both.where("pred IS NULL").select("id", "next", "far").join(spliced, F.col("id") == F.col("pred"), "left")
+        cut = F.col("pred").isNotNull()
+        now = kept(left.select("id", F.when(cut, F.col("then")).otherwise(F.col("next")).alias("next"), F.when(cut, F.col("far") + F.col("more")).otherwise(F.col("far")).alias("far")), "list")
+        size = now.count()
+    ranks = kept(_walk(now, kind), "ranks")
+    if not ranks.where("rank IS NULL").isEmpty():
+        raise ValueError("not one list: a cycle, or several heads")
+    for out in reversed(taken):
+        back = out.join(ranks, F.col("pred") == F.col("id")).select(F.col("gone").alias("id"), (F.col("rank") + F.col("back")).alias("rank"))
+        ranks = kept(ranks.unionByName(back), "ranks")
+    return ranks
 
 
 def insert_before(nodes: DataFrame, new: DataFrame, *order: str | Column) -> DataFrame:
