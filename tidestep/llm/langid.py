@@ -18,6 +18,7 @@ their names; added names that are there already get an underscore behind.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -156,13 +157,13 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
 
     # Half-precision rows, as Arrow: the one matrix that all machines read has at most 2 * max_rows rows of 8 KB.
     sample = picked.mapInArrow(run, "x binary, l string").toArrow()
-    langs = sample.column("l").to_pylist()
+    langs, cells = sample.column("l").to_pylist(), sample.column("x")
+    sums = [zlib.crc32(v.as_buffer()) for v in cells]
+    order = sorted(range(len(langs)), key=lambda i: (langs[i], sums[i]))  # the same on every run
     x = np.empty((len(langs), _DIM), np.float16)
-    for i, v in enumerate(sample.column("x")):
-        x[i] = np.frombuffer(v.as_buffer(), np.float16)
-    del sample
-    order = sorted(range(len(langs)), key=lambda i: (langs[i], x[i].tobytes()))
-    x = x[order]
+    for row, i in enumerate(order):
+        x[row] = np.frombuffer(cells[i].as_buffer(), np.float16)
+    del sample, cells
     return LanguageModel.fit(x, [langs[i] for i in order])
 
 
