@@ -84,3 +84,20 @@ def test_empty_table_and_clashing_names(spark, tmp_path):
     docs = spark.createDataFrame([(1, "the cat", "en", "x", 2.0)], "doc_id long, text string, lang string, lang_pred string, score double")
     out = langid.identify(docs, langid.train(docs))
     assert out.columns == [*docs.columns, "lang_pred_", "score_"] and [tuple(r)[3:6] for r in out.collect()] == [("x", 2.0, "en")]
+
+
+def test_machines_are_fitted_in_a_task(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, t, l) for i, (t, l) in enumerate([("the cat and the dog", "en"), ("der hund und die katze", "de"), ("le chat et le chien", "fr"), (None, "it"), ("12", "it")])], "doc_id long, text string, lang string")
+    fit, driver = langid.LanguageModel.fit.__func__, os.getpid()
+
+    def in_a_task(cls, x, langs):
+        assert os.getpid() != driver, "the driver gets the sample"
+        return fit(cls, x, langs)
+
+    monkeypatch.setattr(langid.LanguageModel, "fit", classmethod(in_a_task))
+    m = langid.train(docs)
+    assert (m.langs, m.families, m.pairs, m.weights.shape) == (["de", "en", "fr"], ["germanic", "romance"], [(0, 1)], (3, langid._DIM + 1))
+    assert [r.lang_pred for r in langid.identify(docs, m).orderBy("doc_id").collect()] == ["en", "de", "fr", "und", "und"]
+    one = langid.train(docs.where("doc_id = 0"))
+    assert (one.langs, one.weights.shape) == (["en"], (0, langid._DIM + 1))
+    assert langid.train(docs.where("doc_id > 2")).langs == []

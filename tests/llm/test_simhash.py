@@ -104,3 +104,28 @@ def test_query_against_brute_force(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert simhash.op10_simhash(spark, str(tmp_path)).count() == 0
+
+
+def test_components_end_with_the_first_stars(spark, monkeypatch):
+    import random
+
+    from tidestep.llm import components
+
+    written, keep = [], components.stored
+    monkeypatch.setattr(components, "stored", lambda df, name: written.append(name) or keep(df, name))
+    stars = [(10 * s, 10 * s + k) for s in range(3) for k in range(1, 5)]
+    r = random.Random(3)
+    nodes = r.sample(range(-(1 << 40), 1 << 40), 200)
+    chains = [(nodes[i], nodes[i + 1]) for i in range(199) if i % 40 != 39]
+    cliques = [(a, b) for s in range(0, 200, 10) for a in nodes[s : s + 5] for b in nodes[s : s + 5]]
+    for pairs in (stars, chains, cliques, [(1, 1)], []):
+        edges = [*pairs, *((b, a) for a, b in pairs[::3]), *pairs[::5]]
+        least = {x: x for e in edges for x in e if e[0] != e[1]}
+        for _ in least:
+            for a, b in edges:
+                if a != b:
+                    least[a] = least[b] = min(least[a], least[b])
+        got = components.components(spark.createDataFrame(edges, "u long, v long")).collect()
+        assert len(got) == len(least) and {x.node: x.root for x in got} == least
+        if pairs is stars:
+            assert written == ["edges"]

@@ -22,6 +22,13 @@ def _with_least(pairs: DataFrame) -> DataFrame:
     return pairs.join(least, own("u") == own("u2")).select("u", "v", "m")
 
 
+def _stars(pairs: DataFrame) -> bool:
+    """Whether each ``u`` of some distinct pairs has one ``v``, which is no pair's ``u``: no round changes such a table."""
+    ends = pairs.select("u", F.lit(1).alias("n")).unionByName(pairs.select(F.col("v").alias("u"), F.lit(0).alias("n")))
+    of = ends.groupBy("u").agg(F.sum("n").alias("n"), F.min("n").alias("least"))
+    return of.agg(F.count_if((F.col("n") > 1) | (F.col("n") > F.col("least")))).first()[0] == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node``, ``root`` (the least node of its component) for each node that has an edge to another node.
 
@@ -29,17 +36,14 @@ def components(edges: DataFrame) -> DataFrame:
     allowed. An empty edge table gives an empty result.
     """
     now = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
-    before = None
-    while True:
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before or state[0] == 0:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
-                now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-            )
-        before = state
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        # At most a row for each edge: repeats go with those of the small star.
         large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
-        large = stored(large.where("u <> v").distinct(), "large-star")
+        large = stored(large.where("u <> v"), "large-star")
         starred = _with_least(large)
         small = starred.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(starred.select("u", F.col("m").alias("v")))
         now = stored(small.where("u <> v").distinct(), "small-star")
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+        now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+    )

@@ -108,15 +108,23 @@ class LanguageModel:
         names = sorted(set(langs))
         if not names:
             return cls()
+        m = cls.of(names)
         y, fam = np.array([names.index(v) for v in langs]), [family(v) for v in names]
-        fams = sorted(set(fam))
-        of = np.array([fams.index(f) for f in fam])[y]
-        rows = [linear_svm(x, np.where(of == f, 1, -1)) for f in range(len(fams))] if len(fams) > 1 else []
-        pairs = [(a, b) for a in range(len(names)) for b in range(a + 1, len(names)) if fam[a] == fam[b]]
-        for a, b in pairs:
+        of = np.array([m.families.index(f) for f in fam])[y]
+        rows = [linear_svm(x, np.where(of == f, 1, -1)) for f in range(len(m.families))] if len(m.families) > 1 else []
+        for a, b in m.pairs:
             use = np.flatnonzero((y == a) | (y == b))
             rows.append(linear_svm(x, np.where(y[use] == a, 1, -1), use))
-        return cls(names, fams, pairs, np.array(rows, np.float32).reshape(len(rows), _DIM + 1))
+        return cls.of(names, rows)
+
+    @classmethod
+    def of(cls, names: list[str], rows: list[np.ndarray] = ()) -> LanguageModel:
+        """The model of some languages (in alphabetical order) and the weights of its machines."""
+        if not names:
+            return cls()
+        fam = [family(v) for v in names]
+        pairs = [(a, b) for a in range(len(names)) for b in range(a + 1, len(names)) if fam[a] == fam[b]]
+        return cls(names, sorted(set(fam)), pairs, np.array(rows, np.float32).reshape(len(rows), _DIM + 1))
 
     def predict(self, x: np.ndarray) -> tuple[list[str], np.ndarray]:
         """Language and score (0 to 1) of each feature row."""
@@ -149,22 +157,24 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     chance = F.pmod(F.xxhash64(F.lit("langid"), F.col("k")), F.lit(1 << 30)) / float(1 << 30)
     picked = rows.where(chance < F.coalesce(F.element_at(share, F.col("l")), F.lit(0.0))).select("t", "l").limit(2 * max_rows)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Half-precision rows: the one matrix that all machines read has at most 2 * max_rows rows of 8 KB.
+        got = []
         for batch in batches:
-            got = [(x, v) for t, v in zip(*(c.to_pylist() for c in batch.columns), strict=True) if (x := features(t)) is not None]
-            if got:
-                yield pa.record_batch([pa.array([x.astype(np.float16).tobytes() for x, _ in got], pa.binary()), pa.array([v for _, v in got])], names=["x", "l"])
-
-    # Half-precision rows, as Arrow: the one matrix that all machines read has at most 2 * max_rows rows of 8 KB.
-    sample = picked.mapInArrow(run, "x binary, l string").toArrow()
-    langs, cells = sample.column("l").to_pylist(), sample.column("x")
-    sums = [zlib.crc32(v.as_buffer()) for v in cells]
-    order = sorted(range(len(langs)), key=lambda i: (langs[i], sums[i]))  # the same on every run
-    x = np.empty((len(langs), _DIM), np.float16)
-    for row, i in enumerate(order):
-        x[row] = np.frombuffer(cells[i].as_buffer(), np.float16)
-    del sample, cells
-    return LanguageModel.fit(x, [langs[i] for i in order])
+            for t, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (f := features(t)) is not None:
+                    got.append((v, f.astype(np.float16)))
+        got.sort(key=lambda g: (g[0], zlib.crc32(g[1])))  # the same on every run
+        langs, x = [v for v, _ in got], np.empty((len(got), _DIM), np.float16)
+        for row in reversed(range(len(got))):
+            x[row] = got.pop()[1]
+        m = LanguageModel.fit(x, langs)
+        weights = [] if m.weights is None else [w.tobytes() for w in m.weights]
+        yield pa.record_batch([pa.array([m.langs], pa.list_(pa.string())), pa.array([weights], pa.list_(pa.binary()))], names=["langs", "weights"])
+
+    # One task fits on the bounded sample; the driver gets the names and a row of weights for each machine.
+    learned = picked.coalesce(1).mapInArrow(fit, "langs array<string>, weights array<binary>").collect()
+    return LanguageModel.of(learned[0].langs, [np.frombuffer(w, np.float32) for w in learned[0].weights]) if learned else LanguageModel()
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
