@@ -124,3 +124,54 @@ def test_repeated_rows_and_null_ids(spark, tmp_path):
 def test_empty_table(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert s.op2_suffix_dedup(spark, str(tmp_path)).count() == 0
+
+
+def brute_passages(texts, least):
+    seen, words = {}, [t.split() for t in texts]
+    for i, w in enumerate(words):
+        for p in range(len(w) - least + 1):
+            seen.setdefault(tuple(w[p : p + least]), []).append(i)
+    return {i for places in seen.values() if len(places) > 1 for i in places}
+
+
+def test_word_values_depend_on_the_word_alone(monkeypatch):
+    texts = [b"", b"one two  one\n", b"\x0bone\tlonger-word", b" ", b"two", "é onetwo".encode()]
+    starts, raw = np.cumsum([0, *map(len, texts[:-1])]), np.frombuffer(b"".join(texts), np.uint8)
+    words = [w for t in texts for w in t.split()]
+    for size in (1 << 21, 4):
+        monkeypatch.setattr(s, "_SLICE", size)
+        got, first = s.word_values(raw, starts)
+        assert len(got) == len(words) and first.tolist() == [0, 0, 3, 5, 5, 6]
+        assert all((a == b) == (x == y) for a, x in zip(got, words) for b, y in zip(got, words))
+    assert [len(x) for x in s.word_values(raw[:0], starts[:2] * 0)] == [0, 2]
+
+
+@pytest.mark.parametrize("seed,least,reach,near", [(1, 30, 12, 3), (2, 20, 4, 4), (3, 51, 35, 8)])
+def test_passages_against_brute_force(spark, seed, least, reach, near):
+    r = random.Random(seed)
+    make = lambda n: [r.choice(["a", "of", "thé", "word", "longer", "x" * 30]) for _ in range(n)]
+    base = [make(r.randint(least, 3 * least)) for _ in range(25)]
+    texts = ["", "a " * (least - 1), "b " * least, "c " * (least + 1)]
+    for i in range(100):
+        x = list(r.choice(base))
+        if r.random() < 0.8:
+            x = x[r.randrange(len(x) - least // 2) :][: r.randint(least - 2, least + 2)]
+        if r.random() < 0.3:
+            x[r.randrange(len(x))] = f"own{i}"
+        texts.append(r.choice([" ", "\n", " \t"]).join([*make(r.randint(0, 40)), *x, *make(r.randint(0, 40))]))
+    texts += texts[7:10] + [" ".join(make(2 * least))] * 2
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r.k for r in s.passages(df, least=least, reach=reach, near=near, chunk=37, per_range=64).collect()}
+    want = brute_passages(texts, least)
+    assert got == want and 20 < len(want) < 90
+
+
+def test_query_tells_of_passages_under_400_bytes(spark, tmp_path):
+    word = iter(f"{chr(97 + i % 26)}{i}" for i in range(10**6))
+    own = lambda n: " ".join(next(word) for _ in range(n))
+    long, short, copy = own(51), own(50), own(60)
+    texts = [f"{own(90)} {long} {own(3)}", f"{own(5)} {long} {own(70)}", f"{own(30)} {short} {own(3)}", f"{short} {own(30)}", own(300), copy, copy, f"{own(9)}\n" + long.replace(" ", "\n"), own(50), None, ""]
+    spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in s.op2_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert [got[i].has_passage for i in range(len(texts))] == [True, True, False, False, False, True, True, True, False, False, False]
+    assert not any(got[i].n_removed or got[i].has_repeat for i in range(len(texts)))

@@ -22,6 +22,12 @@ the input, so the suffix array is made sparse without losing a window:
 So every repeat is found by the merge, byte by byte. Each task sends a suffix once
 however often it holds it, so a range gets at most one of equals from each chunk.
 
+``passages`` does the same with words in place of bytes: of a passage of more than 50
+words most have under 400 bytes, so ``repeats`` rightly leaves them in, and a column of
+its own tells which texts hold one. White space parts words, however much of it. Copies
+of whole texts repeat as such: anchors that only copies of one text have, at the same
+place, by 64 bits of text and place and 64 of the shared words, are settled without a merge.
+
 Defined results: null and empty texts have no bytes and lose none; so do texts under
 ``least`` bytes. An empty table gives an empty result. Rows are told apart by key and
 text, a null key being a key like any other; rows that repeat as a whole are copies of
@@ -64,10 +70,43 @@ def _tables() -> dict:
     return t
 
 
+def word_values(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts that stand one after another in some bytes, from ``starts`` on: a hash of each word, and the first word of each text.
+
+    A word's hash depends on its bytes alone. The words are those of ``bytes.split``.
+    """
+    t = _tables()
+    space = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    begins = np.zeros(len(raw), bool)
+    begins[1:] = space[:-1]
+    begins[starts[starts < len(raw)]] = True
+    begins &= ~space
+    first = np.searchsorted(np.flatnonzero(begins), starts)
+    values, at = [], 0
+    while at < len(raw):
+        stop = min(at + _SLICE, len(raw))
+        while stop < len(raw) and not space[stop]:  # a word that is longer than a slice stays whole
+            more = np.flatnonzero(space[stop : stop + _SLICE])
+            stop = stop + int(more[0]) if len(more) else min(stop + _SLICE, len(raw))
+        new = begins[at:stop]
+        words = np.flatnonzero(new)
+        if len(words):
+            places = np.arange(stop - at)
+            places -= np.maximum.accumulate(np.where(new, places, 0))
+            v = t["value"][raw[at:stop]] * t["up"][places & 0xFFFF]
+            v[space[at:stop]] = 0
+            v = np.add.reduceat(v, words)
+            v ^= v >> np.uint64(32)
+            values.append(v * np.uint64(0x9E3779B97F4A7C15))
+        at = stop
+    return np.concatenate(values) if values else np.zeros(0, np.uint64), first
+
+
 def anchors(raw: np.ndarray, starts: np.ndarray, least: int, reach: int) -> tuple[np.ndarray, ...]:
     """Of texts that stand one after another in some bytes, from ``starts`` on: hash of the bytes that all its windows share, text, anchor, first and last window of each anchor.
 
     Places count from the beginning of the text. No window reaches into another text.
+    In place of bytes there may be the hashes of words, for windows of words.
     """
     if len(raw) < least:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
@@ -77,7 +116,7 @@ def anchors(raw: np.ndarray, starts: np.ndarray, least: int, reach: int) -> tupl
         return tuple(np.concatenate([x[c] + (k * _SLICE if c > 1 else 0) for k, x in enumerate(parts)]) for c in range(5))
     t = _tables()
     sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(t["value"][raw] * t["up"][: len(raw)], out=sums[1:])
+    np.cumsum((t["value"][raw] if raw.dtype == np.uint8 else raw) * t["up"][: len(raw)], out=sums[1:])
     grams = n + reach - 1
     v = (sums[_GRAM : _GRAM + grams] - sums[:grams]) * t["down"][:grams]
     v ^= v >> np.uint64(29)
@@ -111,8 +150,8 @@ def anchors(raw: np.ndarray, starts: np.ndarray, least: int, reach: int) -> tupl
     return shared.view(np.int64), text, a - first, lo - first, hi - first
 
 
-def _anchor_rows(texts: DataFrame, kind: str, least: int, reach: int, only_hashes: bool) -> DataFrame:
-    """A row for each anchor."""
+def _anchor_rows(texts: DataFrame, kind: str, least: int, reach: int, only_hashes: bool, words: bool = False) -> DataFrame:
+    """A row for each anchor; with ``words`` everything counts in words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,7 +160,8 @@ def _anchor_rows(texts: DataFrame, kind: str, least: int, reach: int, only_hashe
             raw, first = np.frombuffer(texts_.buffers()[2] or b"", np.uint8), 0
             while first < len(texts_):  # as many texts at once as have some bytes together, one at least
                 last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + _TOGETHER, "right")) - 1)
-                hb, text, *places = anchors(raw[offsets[first] : offsets[last]], offsets[first:last] - offsets[first], least, reach)
+                part = raw[offsets[first] : offsets[last]], offsets[first:last] - offsets[first]
+                hb, text, *places = anchors(*(word_values(*part) if words else part), least, reach)
                 if only_hashes:
                     yield pa.record_batch([pa.array(hb)], names=["hb"])
                 else:
@@ -151,20 +191,26 @@ def _with_marks(texts: DataFrame, marks: DataFrame) -> DataFrame:
     return joined.drop("k2", "h2")
 
 
-def settle(texts: DataFrame, kind: str, least: int, reach: int, name: str, **sizes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def settle(texts: DataFrame, kind: str, least: int, reach: int, name: str, words: bool = False, **sizes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Texts that may have repeats; ``k``, ``h``, ``lo``, ``hi`` of runs of windows that repeat; runs of which some windows may, and their bytes (``piece``).
 
     ``texts`` has ``k``, ``h`` and ``t`` (binary). The last result holds every window that is
     not settled, with one of each that it may equal.
     """
-    each = lambda hashes: _anchor_rows(texts, kind, least, reach, hashes)
+    each = lambda hashes: _anchor_rows(texts, kind, least, reach, hashes, words)
     shared = stored(each(True).groupBy("hb").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hb"), f"{name}-shared")
     maybe = stored(_with_marks(texts, each(False).join(shared, "hb")), f"{name}-texts")
-    found = stored(merged(maybe, kind, least, core=least - reach + 1, **sizes), f"{name}-merged")
+    return maybe, *sort_out(maybe, kind, least, reach, name, words, **sizes)
+
+
+def sort_out(maybe: DataFrame, kind: str, least: int, reach: int, name: str, words: bool = False, **sizes: int) -> tuple[DataFrame, DataFrame]:
+    """The last two results of ``settle`` from its first one."""
+    core = least - reach + 1
+    found = stored(merged(maybe, kind, least, core=2 * core - 1 if words else core, words=words, **sizes), f"{name}-merged")
     one = found.where("one")
     mixed = one.groupBy("hb").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("repeats")).alias("lone")).where("n > 1 AND lone > 0")
     left = one.join(stored(mixed.select("hb"), f"{name}-mixed"), "hb")
-    return maybe, found.where("repeats").select("k", "h", "lo", "hi"), left.select("k", "h", "lo", "hi", "piece")
+    return found.where("repeats").select("k", "h", "lo", "hi"), left.select("k", "h", "lo", "hi", "piece")
 
 
 def front_code(suffixes: list[bytes]) -> tuple[list[int], bytes]:
@@ -274,13 +320,14 @@ def separators(seen: list[bytes], ranges: int) -> list[bytes]:
     return out
 
 
-def merged(texts: DataFrame, kind: str, least: int, core: int = 0, chunk: int = 32_768, per_range: int = 65_536) -> DataFrame:
+def merged(texts: DataFrame, kind: str, least: int, core: int = 0, words: bool = False, chunk: int = 32_768, per_range: int = 65_536) -> DataFrame:
     """``k``, ``h``, ``hb``, ``lo``, ``hi``, ``repeats``, ``one``, ``piece`` of the ``marks`` of ``texts``, by the merge sort of their suffixes.
 
     ``repeats``: another mark has the same suffix. ``one``: of marks with the same suffix,
     one has it; if it shares its first ``core`` bytes with a neighbour (or stands at the end
     of a range), ``piece`` has the bytes of its windows. Without ``core`` each window of the
     marks is a suffix of its own (``lo`` = ``hi``), and only those that repeat are returned.
+    With ``words`` all but ``core`` counts in words, and one space parts those of a suffix or piece.
 
     A task holds ``chunk`` suffixes, or the front-coded runs of one range of about
     ``per_range``, however many ranges there are. The driver sees four sampled suffixes a range.
@@ -290,19 +337,24 @@ def merged(texts: DataFrame, kind: str, least: int, core: int = 0, chunk: int =
     ranges = max(1, -(-total // per_range))
     every = max(1, total // (4 * ranges))
 
+    joined = b" ".join if words else bytes
+
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for row in range(batch.num_rows):
                 k, h, raw = batch.column(0)[row].as_py(), batch.column(1)[row].as_py(), batch.column(2)[row].as_py()
                 marks = batch.column(3)[row].values
                 los, his = marks.field("lo").to_pylist(), marks.field("hi").to_pylist()
+                own = raw.split() if words else raw
                 if not core:
                     for lo, hi in zip(los, his, strict=True):
                         for p in range(lo, hi + 1):
-                            yield raw[p : p + least], k, h, 0, p, p
+                            yield joined(own[p : p + least]), k, h, 0, p, p
                 else:
                     for hb, a, lo, hi in zip(marks.field("hb").to_pylist(), marks.field("a").to_pylist(), los, his, strict=True):
-                        yield raw[a : hi + least] + raw[lo:a] + struct.pack(">II", hi - a + least, a - lo), k, h, hb, lo, hi
+                        ahead, back = joined(own[a : hi + least]), joined(own[lo:a])
+                        back += b" " if words and back else b""
+                        yield ahead + back + struct.pack(">II", len(ahead), len(back)), k, h, hb, lo, hi
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = [x[0] for i, x in enumerate(suffixes(batches)) if i % every == every // 2]
@@ -411,6 +463,38 @@ def merged(texts: DataFrame, kind: str, least: int, core: int = 0, chunk: int =
     return runs.groupBy("part").applyInArrow(in_order, f"k {kind}, h long, hb long, lo int, hi int, repeats boolean, one boolean, piece binary")
 
 
+def _finer(some: DataFrame, kind: str, least: int, near: int, name: str, words: bool = False, **sizes: int) -> DataFrame:
+    """``k``, ``h``, ``lo``, ``hi`` of the runs of windows that repeat among those ``settle`` left."""
+    # From here on a piece of a text, told apart by where it begins, stands for the text.
+    piece = lambda rows, k, at: rows.select(F.struct(F.col(k).alias("k"), at.cast("int").alias("at")).alias("k"), "h", F.col("piece").alias("t"))
+    own = lambda rows: rows.select("k.k", "h", (F.col("k.at") + F.col("lo")).alias("lo"), (F.col("k.at") + F.col("hi")).alias("hi"))
+    part = f"struct<k:{kind},at:int>"
+    _, fine, few = settle(stored(piece(some, "k", F.col("lo")), f"{name}pieces"), part, least, near, f"{name}near-anchors", words, **sizes)
+    size = F.size(F.split(F.col("t").cast("string"), " ")) if words else F.octet_length("t")
+    all_windows = F.array(F.struct(F.lit(0).alias("lo"), (size - least).cast("int").alias("hi")))
+    late = merged(stored(piece(few, "k.k", F.col("k.at") + F.col("lo")).withColumn("marks", all_windows), f"{name}late-pieces"), part, least, words=words, **sizes)
+    return own(fine).unionByName(own(late))
+
+
+def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 51, reach: int = 35, near: int = 8, **sizes: int) -> DataFrame:
+    """``k`` and ``h`` of each text with ``least`` words in a row that also begin anywhere else, in the same text or another one.
+
+    ``h`` is xxhash64 of the text (null as empty). ``sizes`` are those of ``merged``.
+    """
+    if not near <= reach <= least - _GRAM:
+        raise ValueError("near <= reach <= least - 16")
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    texts = docs.select(F.col(key).alias("k"), F.xxhash64(body).alias("h"), body.cast("binary").alias("t")).where(F.octet_length("t") >= 2 * least - 1)
+    kind = dict(texts.dtypes)["k"]
+    rows, place = _anchor_rows(texts, kind, least, reach, False, words=True), F.xxhash64("h", "lo")
+    of_hash = rows.groupBy("hb").agg(F.count(F.lit(1)).alias("n"), (F.min(place) != F.max(place)).alias("differ")).where("n > 1")
+    hits = stored(rows.join(stored(of_hash.select("hb", "differ"), "word-shared"), "hb"), "word-hits")
+    maybe = stored(_with_marks(texts, hits.where("differ").drop("differ")), "word-texts")
+    whole, some = sort_out(maybe, kind, least, reach, "words", words=True, **sizes)
+    found = whole.unionByName(_finer(some, kind, least, near, "word-", words=True, **sizes)).select("k", "h")
+    return found.unionByName(hits.where("NOT differ").select("k", "h")).dropDuplicates(["k", "h"])
+
+
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 400, reach: int = 160, near: int = 16, **sizes: int) -> DataFrame:
     """``k``, ``h``, ``spans`` (removed byte runs: start, stop) and ``kept`` (the other bytes) of each text that loses a byte.
 
@@ -423,14 +507,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int
     texts = docs.select(F.col(key).alias("k"), F.xxhash64(body).alias("h"), body.cast("binary").alias("t")).where(F.octet_length("t") >= least)
     kind = dict(texts.dtypes)["k"]
     maybe, whole, some = settle(texts, kind, least, reach, "anchors", **sizes)
-    # From here on a piece of a text, told apart by where it begins, stands for the text.
-    piece = lambda rows, k, at: rows.select(F.struct(F.col(k).alias("k"), at.cast("int").alias("at")).alias("k"), "h", F.col("piece").alias("t"))
-    own = lambda rows: rows.select("k.k", "h", (F.col("k.at") + F.col("lo")).alias("lo"), (F.col("k.at") + F.col("hi")).alias("hi"))
-    part = f"struct<k:{kind},at:int>"
-    _, fine, few = settle(stored(piece(some, "k", F.col("lo")), "pieces"), part, least, near, "near-anchors", **sizes)
-    all_windows = F.array(F.struct(F.lit(0).alias("lo"), (F.octet_length("t") - least).cast("int").alias("hi")))
-    late = merged(stored(piece(few, "k.k", F.col("k.at") + F.col("lo")).withColumn("marks", all_windows), "late-pieces"), part, least, **sizes)
-    gone = stored(whole.unionByName(own(fine)).unionByName(own(late)), "repeated-windows")
+    gone = stored(whole.unionByName(_finer(some, kind, least, near, "", **sizes)), "repeated-windows")
     ready = _with_marks(maybe, gone)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -454,7 +531,7 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    """Contract of query 2 over the whole of ``documents``."""
+    """Contract of query 2 over the whole of ``documents``; then ``has_repeat`` (``n_removed`` > 0) and ``has_passage`` (more than 50 words in a row that also begin elsewhere, whatever their bytes)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = repeats(docs).select(
         "k",
@@ -463,12 +540,14 @@ def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept"),
     )
-    found = stored(found, "removed").dropDuplicates(["k", "h2"])
+    more = passages(docs).select("k", F.col("h").alias("h2"), F.lit(True).alias("has_passage"))
+    both = stored(found, "removed").unionByName(more, allowMissingColumns=True)
+    found = both.groupBy("k", "h2").agg(*(F.max(c).alias(c) for c in ("n_removed", "n_spans", "kept", "has_passage")))
     body = F.coalesce(F.col("text"), F.lit(""))
     own = docs.select("doc_id", F.xxhash64(body).alias("h"), F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body.cast("binary"), 256).alias("sha"))
     out = own.join(found, (F.col("h") == F.col("h2")) & F.col("doc_id").eqNullSafe(F.col("k")), "left")
     zero = F.lit(0).cast("long")
     return out.select(
         "doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256"),
-        F.col("n_removed").isNotNull().alias("has_repeat"),
+        F.col("n_removed").isNotNull().alias("has_repeat"), F.coalesce("has_passage", F.lit(False)).alias("has_passage"),
     )
