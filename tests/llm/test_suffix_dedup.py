@@ -164,6 +164,9 @@ def test_passages_against_brute_force(spark, seed, least, reach, near):
     got = {r.k for r in s.passages(df, least=least, reach=reach, near=near, chunk=37, per_range=64).collect()}
     want = brute_passages(texts, least)
     assert got == want and 20 < len(want) < 90
+    known = df.where(df.doc_id.isin([*want][::2])).selectExpr("doc_id AS k", "xxhash64(text) AS h")
+    rest = {r.k for r in s.passages(df, least=least, reach=reach, near=near, known=known, chunk=37, per_range=64).collect()}
+    assert rest == want
 
 
 def test_query_tells_of_passages_under_400_bytes(spark, tmp_path):
@@ -175,3 +178,7 @@ def test_query_tells_of_passages_under_400_bytes(spark, tmp_path):
     got = {r.doc_id: r for r in s.op2_suffix_dedup(spark, str(tmp_path)).collect()}
     assert [got[i].has_passage for i in range(len(texts))] == [True, True, False, False, False, True, True, True, False, False, False]
     assert not any(got[i].n_removed or got[i].has_repeat for i in range(len(texts)))
+
+
+def test_whole_words_of_a_window():
+    assert [s._whole_words(w) for w in (b"", b"abc", b" ", b"a b", b"a b c", b" b ", b"\nb\x0bc d")] == [0, 0, 0, 0, 1, 1, 2]

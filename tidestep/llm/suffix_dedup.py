@@ -210,7 +210,7 @@ def sort_out(maybe: DataFrame, kind: str, least: int, reach: int, name: str, wor
     one = found.where("one")
     mixed = one.groupBy("hb").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("repeats")).alias("lone")).where("n > 1 AND lone > 0")
     left = one.join(stored(mixed.select("hb"), f"{name}-mixed"), "hb")
-    return found.where("repeats").select("k", "h", "lo", "hi"), left.select("k", "h", "lo", "hi", "piece")
+    return found.where("repeats").select("k", "h", "lo", "hi"), left.select("k", "h", "hb", "lo", "hi", "piece")
 
 
 def front_code(suffixes: list[bytes]) -> tuple[list[int], bytes]:
@@ -476,29 +476,48 @@ def _finer(some: DataFrame, kind: str, least: int, near: int, name: str, words:
     return own(fine).unionByName(own(late))
 
 
-def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 51, reach: int = 35, near: int = 8, **sizes: int) -> DataFrame:
+def passages(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 51, reach: int = 35, near: int = 8, known: DataFrame | None = None, **sizes: int) -> DataFrame:
     """``k`` and ``h`` of each text with ``least`` words in a row that also begin anywhere else, in the same text or another one.
 
     ``h`` is xxhash64 of the text (null as empty). ``sizes`` are those of ``merged``.
+    Texts that are ``known`` (``k``, ``h``) to hold one may be left out of the result. They
+    stay in what the others are held against; an anchor hash that only such texts have
+    has nothing left to decide, and is not merged.
     """
     if not near <= reach <= least - _GRAM:
         raise ValueError("near <= reach <= least - 16")
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     texts = docs.select(F.col(key).alias("k"), F.xxhash64(body).alias("h"), body.cast("binary").alias("t")).where(F.octet_length("t") >= 2 * least - 1)
     kind = dict(texts.dtypes)["k"]
-    rows, place = _anchor_rows(texts, kind, least, reach, False, words=True), F.xxhash64("h", "lo")
+    rows, place = stored(_anchor_rows(texts, kind, least, reach, False, words=True), "word-anchors"), F.xxhash64("h", "lo")
     of_hash = rows.groupBy("hb").agg(F.count(F.lit(1)).alias("n"), (F.min(place) != F.max(place)).alias("differ")).where("n > 1")
     hits = stored(rows.join(stored(of_hash.select("hb", "differ"), "word-shared"), "hb"), "word-hits")
-    maybe = stored(_with_marks(texts, hits.where("differ").drop("differ")), "word-texts")
+    copies = hits.where("NOT differ").select("k", "h")
+    sure = stored((copies.unionByName(known.select("k", "h")) if known else copies).dropDuplicates(["k", "h"]), "word-known")
+    marks = stored(_undecided(hits.where("differ").drop("differ"), sure), "word-marks")
+    maybe = stored(_with_marks(texts, marks), "word-texts")
     whole, some = sort_out(maybe, kind, least, reach, "words", words=True, **sizes)
-    found = whole.unionByName(_finer(some, kind, least, near, "word-", words=True, **sizes)).select("k", "h")
-    return found.unionByName(hits.where("NOT differ").select("k", "h")).dropDuplicates(["k", "h"])
+    sure = stored(sure.unionByName(whole.select("k", "h")).dropDuplicates(["k", "h"]), "word-settled")
+    found = _finer(_undecided(some, sure), kind, least, near, "word-", words=True, **sizes).select("k", "h")
+    return found.unionByName(sure).dropDuplicates(["k", "h"])
 
 
-def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 400, reach: int = 160, near: int = 16, **sizes: int) -> DataFrame:
-    """``k``, ``h``, ``spans`` (removed byte runs: start, stop) and ``kept`` (the other bytes) of each text that loses a byte.
+def _undecided(rows: DataFrame, sure: DataFrame) -> DataFrame:
+    """The ``rows`` of each hash ``hb`` that a text has which is not in ``sure`` (``k``, ``h``)."""
+    own = sure.toDF("k2", "h2")
+    open_ = rows.select("k", "h", "hb").join(own, (F.col("h") == F.col("h2")) & F.col("k").eqNullSafe(F.col("k2")), "left_anti").select("hb").distinct()
+    return rows.join(open_, "hb", "left_semi")
 
-    ``h`` is xxhash64 of the text (null as empty). Rows that repeat as a whole have one row here.
+
+def _whole_words(window: bytes) -> int:
+    """Words with white space on both sides in the window: wherever its bytes occur, these are words."""
+    return max(0, len((b"." + window + b".").split()) - 2)
+
+
+def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 400, reach: int = 160, near: int = 16, words: int = 51, **sizes: int) -> DataFrame:
+    """``k``, ``h``, ``spans`` (removed byte runs: start, stop), ``kept`` (the other bytes) and ``passage`` of each text that loses a byte.
+
+    ``passage``: the first window of a repeated run holds ``words`` whole words. ``h`` is xxhash64 of the text (null as empty). Rows that repeat as a whole have one row here.
     ``sizes`` are those of ``merged``.
     """
     if not near <= reach <= least - _GRAM:
@@ -523,10 +542,11 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int
                 if not len(edges):
                     continue
                 spans = [{"start": a, "stop": b} for a, b in edges.reshape(-1, 2).tolist()]
+                passage = any(_whole_words(raw[lo : lo + least].tobytes()) >= words for lo in x.field("lo").to_pylist())
                 kind_ = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-                yield pa.record_batch([batch.column("k").slice(row, 1), batch.column("h").slice(row, 1), pa.array([spans], kind_), pa.array([raw[~gone].tobytes()], pa.binary())], names=["k", "h", "spans", "kept"])
+                yield pa.record_batch([batch.column("k").slice(row, 1), batch.column("h").slice(row, 1), pa.array([spans], kind_), pa.array([raw[~gone].tobytes()], pa.binary()), pa.array([passage])], names=["k", "h", "spans", "kept", "passage"])
 
-    done = ready.select("k", "h", "t", "marks").mapInArrow(cut, f"k {kind}, h long, spans array<struct<start:int,stop:int>>, kept binary")
+    done = ready.select("k", "h", "t", "marks").mapInArrow(cut, f"k {kind}, h long, spans array<struct<start:int,stop:int>>, kept binary, passage boolean")
     return done
 
 
@@ -539,9 +559,11 @@ def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
         F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["stop"] - x["start"]).alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept"),
+        F.col("passage").alias("has_passage"),
     )
-    more = passages(docs).select("k", F.col("h").alias("h2"), F.lit(True).alias("has_passage"))
-    both = stored(found, "removed").unionByName(more, allowMissingColumns=True)
+    found = stored(found, "removed")
+    more = passages(docs, known=found.where("has_passage").select("k", F.col("h2").alias("h"))).select("k", F.col("h").alias("h2"), F.lit(True).alias("has_passage"))
+    both = found.unionByName(more, allowMissingColumns=True)
     found = both.groupBy("k", "h2").agg(*(F.max(c).alias(c) for c in ("n_removed", "n_spans", "kept", "has_passage")))
     body = F.coalesce(F.col("text"), F.lit(""))
     own = docs.select("doc_id", F.xxhash64(body).alias("h"), F.octet_length(body).cast("long").alias("n_bytes"), F.sha2(body.cast("binary"), 256).alias("sha"))
