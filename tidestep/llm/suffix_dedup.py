@@ -22,9 +22,9 @@ the input, so the suffix array is made sparse without losing a window:
 So every repeat is found by the merge, byte by byte. Each task sends a suffix once
 however often it holds it, so a range gets at most one of equals from each chunk.
 
-``passages`` does the same with words in place of bytes: of a passage of more than 50
-words most have under 400 bytes, so ``repeats`` rightly leaves them in, and a column of
-its own tells which texts hold one. White space parts words, however much of it. Copies
+``passages`` does the same with words in place of bytes: a passage of little
+over 50 words mostly has under 400 bytes, so ``repeats`` rightly leaves it in, and a column
+of its own tells which texts hold one. White space parts words, however much of it. Copies
 of whole texts repeat as such: anchors that only copies of one text have, at the same
 place, by 64 bits of text and place and 64 of the shared words, are settled without a merge.
 
