@@ -1,6 +1,7 @@
 import hashlib
 import os
 import random
+import sys
 
 import numpy as np
 import pytest
@@ -182,3 +183,51 @@ def test_query_tells_of_passages_under_400_bytes(spark, tmp_path):
 
 def test_whole_words_of_a_window():
     assert [s._whole_words(w) for w in (b"", b"abc", b" ", b"a b", b"a b c", b" b ", b"\nb\x0bc d")] == [0, 0, 0, 0, 1, 1, 2]
+
+
+def calls(f):
+    """Python functions of the module that ``f`` calls, steps of generators included."""
+    n = 0
+
+    def count(frame, event, _):
+        nonlocal n
+        n += event == "call" and frame.f_code.co_filename == s.__file__
+
+    sys.setprofile(count)
+    try:
+        f()
+    finally:
+        sys.setprofile(None)
+    return n
+
+
+def test_front_codes_and_merges_call_little_for_each_suffix():
+    r = random.Random(7)
+    owned = [sorted({bytes(r.choice(b"ab") for _ in range(40)) for _ in range(500)}) for _ in range(64)]
+    n, coded = sum(map(len, owned)), []
+    assert calls(lambda: coded.extend(map(s.front_code, owned))) < n // 10
+    runs = [s.Run(lcps, [*map(len, ws)], tails) for (lcps, tails), ws in zip(coded, owned)]
+    assert calls(lambda: [*s.merge(runs)]) < 7 * n
+
+
+@pytest.mark.parametrize("size", [1 << 21, 100])
+def test_front_code_is_exact(monkeypatch, size):
+    monkeypatch.setattr(s, "_SLICE", size)
+    r = random.Random(8)
+    words = sorted({bytes(r.choice(b"\0a\xff") for _ in range(r.choice([0, 1, 5, 9, 60]))) for _ in range(4000)} | {b"a" * 3000, b"a" * 3001})
+    lcps, tails = s.front_code(words)
+    assert lcps == [0, *(len(os.path.commonprefix([a, b])) for a, b in zip(words, words[1:]))]
+    assert tails == b"".join(w[n:] for w, n in zip(words, lcps)) and s.front_code([]) == ([], b"")
+    for a, b in zip(words[::7], words[3::7]):
+        n = len(os.path.commonprefix([a, b]))
+        assert {s.common_prefix(a, b, known) for known in (0, n // 2, n)} == {n}
+
+
+def test_whole_words_of_all_windows_at_once():
+    r = random.Random(9)
+    for _ in range(50):
+        t = bytes(r.choice(b"ab \n\x0b\xc3") for _ in range(60))
+        for least in (1, 2, 9, 60):
+            starts = np.arange(len(t) - least + 1)
+            want = [max(0, len((b"." + t[p : p + least] + b".").split()) - 2) for p in starts]
+            assert s.whole_words(np.frombuffer(t, np.uint8), starts, least).tolist() == want

@@ -45,6 +45,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -215,13 +216,20 @@ def sort_out(maybe: DataFrame, kind: str, least: int, reach: int, name: str, wor
 
 def front_code(suffixes: list[bytes]) -> tuple[list[int], bytes]:
     """Of sorted byte strings: the prefix shared with the one before (0 for the first), and what follows it, joined."""
-    lcps, tails, before = [], [], b""
-    for x in suffixes:
-        n = common_prefix(before, x, 0)
-        lcps.append(n)
-        tails.append(x[n:])
-        before = x
-    return lcps, b"".join(tails)
+    lcps = [0] * bool(suffixes)
+    while len(lcps) < len(suffixes):
+        part = suffixes[len(lcps) - 1 : len(lcps) + 1023]
+        sizes = np.array([len(x) for x in part])
+        wide = int(sizes.max()) + 1
+        if wide * len(part) > _SLICE:  # a few long ones
+            lcps += [common_prefix(a, b, 0) for a, b in zip(part, part[1:])]
+        else:  # side by side; behind their ends all differ
+            bytes_ = np.array(part, f"S{wide}").view(np.uint8).reshape(len(part), wide)
+            differ = bytes_[1:] != bytes_[:-1]
+            least = np.minimum(sizes[1:], sizes[:-1])
+            differ[np.arange(len(least)), least] = True
+            lcps += differ.argmax(axis=1).tolist()
+    return lcps, b"".join([x[n:] for x, n in zip(suffixes, lcps, strict=True)])
 
 
 class Run:
@@ -254,13 +262,8 @@ def common_prefix(a: bytes, b: bytes, known: int) -> int:
         low += step
         step *= 2
     high = min(high, low + step)
-    while high - low > 1:
-        mid = (low + high) // 2
-        if a[low:mid] == b[low:mid]:
-            low = mid
-        else:
-            high = mid
-    return low
+    differ = int.from_bytes(a[low:high], "little") ^ int.from_bytes(b[low:high], "little")
+    return low + ((differ & -differ).bit_length() - 1 >> 3)
 
 
 def merge(runs: list[Run]) -> Iterator[tuple[int, int, int]]:
@@ -303,11 +306,18 @@ def merge(runs: list[Run]) -> Iterator[tuple[int, int, int]]:
         r = runs[w]
         yield w, r.at, lcp[w]
         r.forward()
-        suffix[w], lcp[w] = r.suffix, r.lcp
-        node = (w + n) // 2
+        suffix[w], own = r.suffix, r.lcp
+        node = (w + n) >> 1
         while node:
-            w, tree[node] = match(w, tree[node])
-            node //= 2
+            other = tree[node]
+            if own < lcp[other]:
+                lcp[w], own = own, lcp[other]
+                w, tree[node] = other, w
+            elif own == lcp[other]:
+                lcp[w] = own
+                w, tree[node] = match(w, other)
+            node >>= 1
+        lcp[w] = own
 
 
 def separators(seen: list[bytes], ranges: int) -> list[bytes]:
@@ -320,6 +330,12 @@ def separators(seen: list[bytes], ranges: int) -> list[bytes]:
     return out
 
 
+def flat(lists: pa.ListArray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """Of lists of marks without nulls: where each begins (and the last ends) among all marks, and these by column."""
+    marks = lists.flatten()
+    return np.append(0, np.cumsum(pyarrow.compute.list_value_length(lists).to_numpy(), dtype=np.int64)), {f.name: marks.field(f.name).to_numpy() for f in marks.type}
+
+
 def merged(texts: DataFrame, kind: str, least: int, core: int = 0, words: bool = False, chunk: int = 32_768, per_range: int = 65_536) -> DataFrame:
     """``k``, ``h``, ``hb``, ``lo``, ``hi``, ``repeats``, ``one``, ``piece`` of the ``marks`` of ``texts``, by the merge sort of their suffixes.
 
@@ -337,93 +353,146 @@ def merged(texts: DataFrame, kind: str, least: int, core: int = 0, words: bool =
     ranges = max(1, -(-total // per_range))
     every = max(1, total // (4 * ranges))
 
-    joined = b" ".join if words else bytes
-
-    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                k, h, raw = batch.column(0)[row].as_py(), batch.column(1)[row].as_py(), batch.column(2)[row].as_py()
-                marks = batch.column(3)[row].values
-                los, his = marks.field("lo").to_pylist(), marks.field("hi").to_pylist()
-                own = raw.split() if words else raw
-                if not core:
-                    for lo, hi in zip(los, his, strict=True):
-                        for p in range(lo, hi + 1):
-                            yield joined(own[p : p + least]), k, h, 0, p, p
-                else:
-                    for hb, a, lo, hi in zip(marks.field("hb").to_pylist(), marks.field("a").to_pylist(), los, his, strict=True):
-                        ahead, back = joined(own[a : hi + least]), joined(own[lo:a])
-                        back += b" " if words and back else b""
-                        yield ahead + back + struct.pack(">II", len(ahead), len(back)), k, h, hb, lo, hi
+    def places(lists: pa.ListArray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Of the marks of some texts: which suffixes each text has, and ``hb``, ``a``, ``lo``, ``hi`` of all suffixes."""
+        bounds, marks = flat(lists)
+        lo, hi = marks["lo"], marks["hi"]
+        if core:
+            return bounds, [marks["hb"], marks["a"], lo, hi]
+        n = hi - lo + 1
+        ends = np.append(0, np.cumsum(n, dtype=np.int64))
+        at = (np.repeat(lo - ends[:-1], n) + np.arange(ends[-1])).astype(np.int32)
+        return ends[bounds], [np.zeros(len(at), np.int64), at, at, at]
+
+    def suffixes(raw: bytes, starts: list[int], los: list[int], his: list[int]) -> list[bytes]:
+        """Those of one text, from their anchors on."""
+        if not words:
+            if not core:
+                return [raw[p : p + least] for p in los]
+            return [raw[a : hi + least] + raw[lo:a] + struct.pack(">II", hi + least - a, a - lo) for a, lo, hi in zip(starts, los, his, strict=True)]
+        own, joined = raw.split(), b" ".join
+        if not core:
+            return [joined(own[p : p + least]) for p in los]
+        out = []
+        for a, lo, hi in zip(starts, los, his, strict=True):
+            ahead, back = joined(own[a : hi + least]), joined(own[lo:a])
+            back += b" " if back else b""
+            out.append(ahead + back + struct.pack(">II", len(ahead), len(back)))
+        return out
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [x[0] for i, x in enumerate(suffixes(batches)) if i % every == every // 2]
+        kept, seen = [], 0
+        for batch in batches:
+            bounds, (_, *at) = places(batch.column(1))
+            for i in range((every // 2 - seen) % every, int(bounds[-1]), every):  # no other suffix is made
+                row = int(np.searchsorted(bounds, i, "right")) - 1
+                kept += suffixes(batch.column(0)[row].as_py(), *([int(x[i])] for x in at))
+            seen += int(bounds[-1])
         yield pa.record_batch([pa.array(kept, pa.binary())], names=["s"])
 
     splitters: list[bytes] = []
     if ranges > 1:
-        splitters = separators(sorted(texts.mapInArrow(sample, "s binary").toArrow().column("s").to_pylist()), ranges)
-    key_type = texts.select("k").limit(0).toArrow().schema.field(0).type
-    id_types = [key_type, pa.int64(), pa.int64(), pa.int32(), pa.int32()]
-    run_types = [pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.bool_()), *map(pa.list_, id_types)]
+        splitters = separators(sorted(texts.select("t", "marks").mapInArrow(sample, "s binary").toArrow().column("s").to_pylist()), ranges)
     run_names = ["part", "lcps", "sizes", "tails", "again", "k", "h", "hb", "lo", "hi"]
 
-    def coded(held: list[tuple]) -> pa.RecordBatch:
+    def coded(held: list[bytes], ids: list[pa.Array]) -> pa.RecordBatch:
         """A sorted chunk as one run for each range; of equals the first, the others apart (they repeat, whatever is merged)."""
-        held.sort(key=lambda x: x[0])
-        first, again, rest = [], [], []
-        for x in held:
-            if first and first[-1][0] == x[0]:
-                again[-1] = True
-                rest.append(x)
-            else:
-                first.append(x)
-                again.append(False)
-        ordered = [x[0] for x in first]
+        order = np.array(sorted(range(len(held)), key=held.__getitem__))
+        ordered = [held[i] for i in order.tolist()]
+        new = np.array([True, *(x != y for x, y in zip(ordered[1:], ordered))])
+        again = ~np.append(new[1:], True)[new]
+        rest = order[~new]
+        ordered = [ordered[i] for i in np.flatnonzero(new).tolist()]
         ends = [0]
         for s in splitters:
             ends.append(bisect_left(ordered, s, ends[-1]))
-        rows = []
-        for part, (a, b) in enumerate(zip(ends, [*ends[1:], len(ordered)], strict=True)):
+        ends.append(len(ordered))
+        parts, stops, lcps, tails = [], [0], [], []
+        for part, (a, b) in enumerate(zip(ends, ends[1:])):
             if a < b:
-                lcps, tails = front_code(ordered[a:b])
-                rows.append((part, lcps, [len(x) for x in ordered[a:b]], tails, again[a:b], *([x[c] for x in first[a:b]] for c in range(1, 6))))
-        if rest:  # to any range, the same one if the task runs again
-            rows.append((zlib.crc32(ordered[0]) % ranges, [], [], b"", [], *([x[c] for x in rest] for c in range(1, 6))))
-        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), run_types, strict=True)], names=run_names)
+                own, tail = front_code(ordered[a:b])
+                parts.append(part)
+                stops.append(b)
+                lcps += own
+                tails.append(tail)
+        sizes, own_stops = [len(x) for x in ordered], [*stops]
+        if len(rest):  # to any range, the same one if the task runs again
+            parts.append(zlib.crc32(ordered[0]) % ranges)
+            stops.append(stops[-1])
+            own_stops.append(len(order))
+            tails.append(b"")
+        lists = lambda at, x: pa.ListArray.from_arrays(pa.array(at, pa.int32()), x)
+        taken = pa.array(np.concatenate([order[new], rest]))
+        columns = [pa.array(parts, pa.int32()), lists(stops, pa.array(lcps, pa.int32())), lists(stops, pa.array(sizes, pa.int32())), pa.array(tails, pa.binary()), lists(stops, pa.array(again))]
+        return pa.record_batch([*columns, *(lists(own_stops, x.take(taken)) for x in ids)], names=run_names)
 
     def sorted_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for x in suffixes(batches):
-            held.append(x)
-            if len(held) >= chunk:
-                yield coded(held)
-                held = []
+        held: list[bytes] = []
+        ids: list[list[pa.Array]] = [[] for _ in range(5)]
+        for batch in batches:
+            bounds, at = places(batch.column(3))
+            lists, rows = [x.tolist() for x in at[1:]], np.repeat(np.arange(batch.num_rows), np.diff(bounds))
+            done = 0  # of this batch, as far as ids have them
+
+            def take(stop: int) -> None:
+                own = pa.array(rows[done:stop])  # noqa: B023
+                for c, x in zip(ids, (batch.column(0).take(own), batch.column(1).take(own), *(pa.array(at[c][done:stop]) for c in (0, 2, 3))), strict=True):  # noqa: B023
+                    c.append(x)
+
+            for row, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+                raw = batch.column(2)[row].as_py()
+                while a < b:
+                    stop = min(b, a + chunk - len(held))
+                    held += suffixes(raw, *(x[a:stop] for x in lists))
+                    a = stop
+                    if len(held) >= chunk:
+                        take(a)
+                        yield coded(held, [pa.concat_arrays(x) for x in ids])
+                        held, ids, done = [], [[] for _ in range(5)], a
+            take(len(rows))
         if held:
-            yield coded(held)
+            yield coded(held, [pa.concat_arrays(x) for x in ids])
 
     names = ["k", "h", "hb", "lo", "hi", "repeats", "one", "piece"]
 
     def in_order(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs, ids = [], []
+        runs, begins, held, n = [], [], [[] for _ in range(6)], 0
         for batch in batches:
             for row in range(batch.num_rows):
-                own = [batch.column(n)[row].values for n in run_names[5:]]
+                own = [batch.column(c)[row].values for c in run_names[5:]]
                 lcps = batch.column("lcps")[row].values
                 if len(lcps):
-                    runs.append(Run(lcps.to_pylist(), batch.column("sizes")[row].values.to_pylist(), batch.column("tails")[row].as_py()))
-                    ids.append([x.to_pylist() for x in (*own, batch.column("again")[row].values)])
+                    runs.append(Run(lcps.to_numpy().tolist(), batch.column("sizes")[row].values.to_numpy().tolist(), batch.column("tails")[row].as_py()))
+                    begins.append(n)
+                    n += len(lcps)
+                    for c, x in zip(held, [*own, batch.column("again")[row].values], strict=True):
+                        c.append(x)
                 else:
-                    n = len(own[0])
-                    yield pa.record_batch([*own, pa.array([True] * n), pa.array([False] * n), pa.array([None] * n, pa.binary())], names=names)
-        out: tuple[list, ...] = tuple([] for _ in names)
-        size, place = 0, -1  # of the suffix before, and where it stands in out
-        before = b""
+                    m = len(own[0])
+                    yield pa.record_batch([*own, pa.array([True] * m), pa.array([False] * m), pa.array([None] * m, pa.binary())], names=names)
+        if not runs:
+            return
+        *ids, again = [pa.concat_arrays(c) for c in held]
+        again = again.to_numpy(zero_copy_only=False)
+        held.clear()
+        at: list[int] = []  # places among ids, in order
+        equal: list[bool] = []  # to the one before
+        pieces: dict[int, bytes] = {}  # by place in ``at``: of equals, the first has it
 
         def flush() -> pa.RecordBatch:
-            use = [i for i, r in enumerate(out[5]) if r or core]
-            made = pa.record_batch([pa.array([c[i] for i in use], t) for c, t in zip(out, [*id_types, pa.bool_(), pa.bool_(), pa.binary()], strict=True)], names=names)
-            for c in out:
+            taken, same = np.array(at), np.array(equal)
+            repeats = same | again[taken]
+            repeats[:-1] |= same[1:]
+            if core:
+                piece = [None] * len(at)
+                for i, x in pieces.items():
+                    piece[i] = x
+            else:
+                taken, same, repeats = taken[repeats], same[repeats], repeats[repeats]
+                piece = [None] * len(taken)
+            taken = pa.array(taken)
+            made = pa.record_batch([*(x.take(taken) for x in ids), pa.array(repeats), pa.array(~same), pa.array(piece, pa.binary())], names=names)
+            for c in (at, equal, pieces):
                 c.clear()
             return made
 
@@ -432,31 +501,26 @@ def merged(texts: DataFrame, kind: str, least: int, core: int = 0, words: bool =
             ahead, back = struct.unpack(">II", suffix[-8:])
             return suffix[ahead : ahead + back] + suffix[:ahead]
 
+        size, first = 0, -1  # of the suffix before, and where the first of its equals stands in ``at``
+        before = b""
         for r, i, lcp in merge(runs):
-            own, run = ids[r], runs[r]
-            equal = lcp == size == run.sizes[i]
-            near = core and not equal and (lcp >= core or place < 0)
-            if place >= 0 and near and not out[7][place]:
-                # The first of this suffix, whichever place its equals have: pieces belong to it.
-                first = place
-                while not out[6][first]:
-                    first -= 1
-                out[7][first] = out[7][first] or bytes_of(before)
-            if equal:
-                out[5][place] = True
-            elif len(out[0]) >= 50_000 and not near:
-                yield flush()
-            size, before = run.sizes[i], run.suffix
-            for c in range(5):
-                out[c].append(own[c][i])
-            out[5].append(equal or own[5][i])
-            out[6].append(not equal)
-            out[7].append(bytes_of(before) if near else None)
-            place = len(out[0]) - 1
-        if core and place >= 0:
-            while not out[6][place]:
-                place -= 1
-            out[7][place] = out[7][place] or bytes_of(before)
+            run = runs[r]
+            if lcp == size == run.sizes[i]:
+                equal.append(True)
+            else:
+                near = core and (lcp >= core or first < 0)
+                if near:
+                    if first >= 0 and first not in pieces:
+                        pieces[first] = bytes_of(before)
+                elif len(at) >= 50_000:
+                    yield flush()
+                equal.append(False)
+                size, before, first = run.sizes[i], run.suffix, len(at)
+                if near:
+                    pieces[first] = bytes_of(before)
+            at.append(begins[r] + i)
+        if core and first not in pieces:
+            pieces[first] = bytes_of(before)
         yield flush()
 
     runs = texts.select("k", "h", "t", "marks").mapInArrow(sorted_runs, f"part int, lcps array<int>, sizes array<int>, tails binary, again array<boolean>, k array<{kind}>, h array<long>, hb array<long>, lo array<int>, hi array<int>")
@@ -509,9 +573,17 @@ def _undecided(rows: DataFrame, sure: DataFrame) -> DataFrame:
     return rows.join(open_, "hb", "left_semi")
 
 
+def whole_words(raw: np.ndarray, starts: np.ndarray, least: int) -> np.ndarray:
+    """Words with white space on both sides in each window of ``least`` bytes: wherever its bytes occur, these are words."""
+    space = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    before = np.append(True, space[:-1])[: len(raw)]
+    begins, ends = np.flatnonzero(before & ~space), np.flatnonzero(space & ~before)
+    return np.maximum(np.searchsorted(ends, starts + least) - np.searchsorted(begins, starts, "right"), 0)
+
+
 def _whole_words(window: bytes) -> int:
-    """Words with white space on both sides in the window: wherever its bytes occur, these are words."""
-    return max(0, len((b"." + window + b".").split()) - 2)
+    """Those of a single window."""
+    return int(whole_words(np.frombuffer(window, np.uint8), np.zeros(1, np.int64), len(window))[0])
 
 
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = 400, reach: int = 160, near: int = 16, words: int = 51, **sizes: int) -> DataFrame:
@@ -530,21 +602,20 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int
     ready = _with_marks(maybe, gone)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind_ = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
         for batch in batches:
+            bounds, marks = flat(batch.column("marks"))
+            spans, kept, passage = [], [], []
             for row in range(batch.num_rows):
-                raw = np.frombuffer(batch.column("t")[row].as_buffer(), np.uint8)
-                change = np.zeros(len(raw) + 1, np.int64)
-                x = batch.column("marks")[row].values
-                change += np.bincount(x.field("lo").to_numpy(), minlength=len(change))
-                change -= np.bincount(x.field("hi").to_numpy() + least, minlength=len(change))
-                gone = np.cumsum(change[:-1]) > 0
-                edges = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
-                if not len(edges):
-                    continue
-                spans = [{"start": a, "stop": b} for a, b in edges.reshape(-1, 2).tolist()]
-                passage = any(_whole_words(raw[lo : lo + least].tobytes()) >= words for lo in x.field("lo").to_pylist())
-                kind_ = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-                yield pa.record_batch([batch.column("k").slice(row, 1), batch.column("h").slice(row, 1), pa.array([spans], kind_), pa.array([raw[~gone].tobytes()], pa.binary()), pa.array([passage])], names=["k", "h", "spans", "kept", "passage"])
+                raw, own = batch.column("t")[row].as_py(), slice(bounds[row], bounds[row + 1])
+                order = np.argsort(marks["lo"][own])
+                lo, stop = marks["lo"][own][order], np.maximum.accumulate(marks["hi"][own][order] + least)
+                gaps = lo[1:] > stop[:-1]
+                starts, stops = lo[np.append(True, gaps)].tolist(), stop[np.append(gaps, True)].tolist()
+                spans.append([{"start": a, "stop": b} for a, b in zip(starts, stops, strict=True)])
+                kept.append(b"".join([raw[a:b] for a, b in zip([0, *stops], [*starts, len(raw)], strict=True)]))
+                passage.append(bool((whole_words(np.frombuffer(raw, np.uint8), lo, least) >= words).any()))
+            yield pa.record_batch([batch.column("k"), batch.column("h"), pa.array(spans, kind_), pa.array(kept, pa.binary()), pa.array(passage, pa.bool_())], names=["k", "h", "spans", "kept", "passage"])
 
     done = ready.select("k", "h", "t", "marks").mapInArrow(cut, f"k {kind}, h long, spans array<struct<start:int,stop:int>>, kept binary, passage boolean")
     return done
