@@ -1,101 +1,280 @@
 """Operator 4: exact top-k by inner product, term at a time.
 
-Query rows and candidate rows are packed into blocks; each task takes one pair of
-blocks. It keeps a posting list for each term (component) of its candidates and, for
-some query rows at a time, scatters the weighted postings into dense score arrays.
-A partition selection takes the best of the block; a window merges the blocks.
+Rows are packed into blocks, once as candidates and once as queries; each task takes some
+blocks of either, pair by pair, and no vector is shuffled for that. Of a pair it takes
+tiles, and accumulates the products of the terms (components) that occur on both sides of
+the tile into dense scores, ``GROUP`` terms at a time: one matrix product adds the postings
+of a group. A query keeps the k best it has met; only scores that reach the least of them
+are looked at. A window merges what the tasks have found.
+
+Scores are exact: by Cauchy and Schwarz no partial sum is beyond the product of the two
+norms, so a tile whose norms keep it under 2^24 is summed as float32, under 2^53 as
+float64, and as int64 above.
 
 Defined results: a vector that is null, or holds a null or non-finite component,
 takes no part; neither does a row with a null id. Rows that share an id are rows of
 their own: each is a candidate for the others, and each that is a query has results.
 Ties go to the smaller id. Vectors of unequal length, empty ones too, are compared as if
 padded with zeros. An empty table gives an empty result; extra columns are left out,
-whatever their names. Memory is bounded by the two block sizes.
+whatever their names. Memory is bounded by the two block sizes and ``cells``, the numbers in a block
+(a single vector may have more).
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidestep.llm.common import stored, table
 
-_LOWEST = np.iinfo(np.int64).min
-
-
-def _dense(block: pa.ListScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row numbers, ids and the matrix of a packed block, rows by id."""
-    rows = block.values
-    number, ids, vectors = rows.field("row").to_numpy(), rows.field("id").to_numpy(zero_copy_only=False), rows.field("v")
-    sizes = np.diff(vectors.offsets.to_numpy())
-    out = np.zeros((len(ids), int(sizes.max(initial=0))), np.int64)
-    out[np.arange(out.shape[1]) < sizes[:, None]] = vectors.flatten().to_numpy(zero_copy_only=False)
-    order = np.lexsort((number, ids))
-    return number[order], ids[order], out[order]
-
-
-def _best(q_rows: np.ndarray, q_ids: np.ndarray, q: np.ndarray, c_rows: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, rows: int = 16):
-    """The k best of one block of candidates for each query row: (query's row, its id, candidate's row, its id, score) arrays."""
-    terms = min(q.shape[1], c.shape[1])
-    postings = [np.flatnonzero(c[:, t]) for t in range(terms)]
-    weights = [np.ascontiguousarray(c[p, t]) for t, p in enumerate(postings)]
-    found: tuple[list, ...] = ([], [], [], [], [])
-    for at in range(0, len(q_ids), rows):
-        part = q[at : at + rows]
-        scores = np.zeros((len(part), len(c_ids)), np.int64)
-        for t in range(terms):
-            used = np.flatnonzero(part[:, t])
-            if not len(used) or not len(postings[t]):
+#: Terms added at a time; blocks of candidates in a task.
+GROUP, RUN = 256, 64
+_LOWEST, _HIGHEST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+#: A packed block: the number, id and mark of each row, and the matrix of their vectors in the smallest integers that hold it.
+_PACKED = "asks long, dims int, kind string, row binary, id binary, mark binary, v binary"
+
+#: Row numbers, ids, marks and matrix of some rows.
+Rows = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _padded(sizes: np.ndarray, values: np.ndarray, cells: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Matrices of at most ``cells`` cells (or of one row), each with the first row and the one after the last."""
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    todo = [(0, len(sizes))] if len(sizes) else []
+    while todo:
+        a, b = todo.pop()
+        own, dims = sizes[a:b], int(sizes[a:b].max())
+        if b - a > 1 and dims * (b - a) > cells:
+            todo += [((a + b) // 2, b), (a, (a + b) // 2)]
+            continue
+        out = np.zeros((b - a, dims), values.dtype)
+        out[np.arange(dims) < own[:, None]] = values[ends[a] : ends[b]]
+        yield a, b, out
+
+
+def _listed(batches: Iterable[pa.RecordBatch], cells: int) -> Iterator[Rows]:
+    """The rows of batches of ids, vectors and marks, numbered; vectors that are null or hold a null are left out."""
+    number = TaskContext.get().partitionId() << 33
+    for batch in batches:
+        ids, v, marks = batch.columns
+        whole = ~v.is_null().to_numpy(zero_copy_only=False)
+        sizes = np.where(whole, np.diff(v.offsets.to_numpy()), 0)
+        values = v.flatten()
+        if values.null_count:
+            whole[np.repeat(np.arange(len(v)), sizes)[values.is_null().to_numpy(zero_copy_only=False)]] = False
+            values = values.filter(pa.array(np.repeat(whole, sizes)))
+        ids, marks, sizes = (x[whole] for x in (ids.to_numpy(), marks.to_numpy(zero_copy_only=False), sizes))
+        for a, b, m in _padded(sizes, values.to_numpy(), cells):
+            yield number + np.arange(a, b), ids[a:b], marks[a:b], m
+        number += len(ids)
+
+
+def _together(pieces: Iterable[Rows], most: int, cells: int) -> Iterator[Rows]:
+    """The rows of ``pieces`` by ``most``, or as many as have ``cells`` cells."""
+    held: list[Rows] = []
+    n = dims = 0
+
+    def whole() -> Rows:
+        m = np.zeros((n, dims), np.int64)
+        at = 0
+        for x in held:
+            m[at : (at := at + len(x[3])), : x[3].shape[1]] = x[3]
+        return *(np.concatenate([x[i] for x in held]) for i in range(3)), m
+
+    for piece in pieces:
+        at = 0
+        while at < len(piece[0]):
+            wide = max(dims, piece[3].shape[1])
+            take = min(most - n, len(piece[0]) - at, cells // max(1, wide) - n)
+            if take <= 0 and n:
+                yield whole()
+                held, n, dims = [], 0, 0
                 continue
-            add = part[used, t][:, None] * weights[t]
-            if len(used) == len(part) and len(postings[t]) == len(c_ids):
-                scores += add
-            else:
-                scores[np.ix_(used, postings[t])] += add
-        for i, s in enumerate(scores):
-            live = np.flatnonzero(c_rows != q_rows[at + i])
-            if not len(live):
+            take = max(1, take)
+            held.append(tuple(x[at : at + take] for x in piece))
+            at, n, dims = at + take, n + take, wide
+    if n:
+        yield whole()
+
+
+def _packed(blocks: Iterable[Rows]) -> Iterator[pa.RecordBatch]:
+    """Blocks as records, their rows by id."""
+    for rows in blocks:
+        order = np.argsort(rows[1], kind="stable")
+        row, ids, marks, m = (x[order] for x in rows)
+        low, high = m.min(initial=0), m.max(initial=0)
+        kind = next(t for t in ("int8", "int16", "int32", "int64") if np.iinfo(t).min <= low and high <= np.iinfo(t).max)
+        values = (int(marks.sum()), m.shape[1], kind, row.tobytes(), ids.tobytes(), marks.tobytes(), m.astype(kind).tobytes())
+        yield pa.record_batch([pa.array([x], t) for x, t in zip(values, (pa.int64(), pa.int32(), pa.string(), *[pa.binary()] * 4), strict=True)], names=[x.split()[0] for x in _PACKED.split(", ")])
+
+
+def _unpacked(x: dict) -> Rows:
+    row, ids, marks = (np.frombuffer(x[k].as_buffer(), t) for k, t in (("row", np.int64), ("id", np.int64), ("mark", bool)))
+    return row, ids, marks, np.frombuffer(x["v"].as_buffer(), x["kind"].as_py()).reshape(len(ids), x["dims"].as_py())
+
+
+def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[Rows]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield _unpacked({k: batch.column(k)[i] for k in batch.schema.names})
+
+
+@dataclass
+class _Side:
+    """The rows of a block, and of each tile the place, the largest norm and the terms that occur."""
+
+    row: np.ndarray
+    id: np.ndarray
+    m: np.ndarray
+    quick: np.ndarray
+    tiles: list[tuple[slice, float, np.ndarray]]
+
+    @classmethod
+    def of(cls, rows: Rows, tile: int) -> _Side:
+        m = rows[3].copy()
+        quick = m.astype(np.float32)
+        norms = np.sqrt(np.square(m, dtype=np.float64).sum(axis=1))
+        at = [slice(a, min(a + tile, len(m))) for a in range(0, len(m), tile)]
+        return cls(rows[0].copy(), rows[1].copy(), m, quick, [(s, float(norms[s].max()), m[s].any(axis=0)) for s in at])
+
+
+@dataclass
+class _Best:
+    """The k best candidates of each query so far: scores, ids and row numbers, best first; places without one hold the least score and the row -1."""
+
+    score: np.ndarray
+    id: np.ndarray
+    row: np.ndarray
+
+    @classmethod
+    def none(cls, n: int, k: int) -> _Best:
+        return cls(np.full((n, k), _LOWEST), np.full((n, k), _HIGHEST), np.full((n, k), -1))
+
+    def add(self, query: np.ndarray, score: np.ndarray, ids: np.ndarray, row: np.ndarray) -> None:
+        k = self.score.shape[1]
+        own = np.unique(query)
+        query = np.concatenate([np.repeat(own, k), query])
+        new = [np.concatenate([was[own].ravel(), x]) for was, x in ((self.score, score), (self.id, ids), (self.row, row))]
+        order = np.lexsort((new[2], new[1], ~new[0], query))
+        pick = order[np.searchsorted(query[order], own)[:, None] + np.arange(k)]
+        self.score[own], self.id[own], self.row[own] = (x[pick] for x in new)
+
+
+def _accumulated(q: _Side, q_tile: tuple, c: _Side, c_tile: tuple, room: np.ndarray) -> np.ndarray:
+    """The scores of a tile, candidates by queries, in ``room`` if they fit float32."""
+    (at, q_norm, q_terms), (to, c_norm, c_terms) = q_tile, c_tile
+    width, most = min(len(q_terms), len(c_terms)), q_norm * c_norm * (1 + 1e-9)
+    kind = np.float32 if most < 1 << 24 else np.float64 if most < 1 << 53 else np.int64
+    left, right = (c.quick, q.quick) if kind is np.float32 else (c.m, q.m)
+    left, right, both = left[to, :width], right[at, :width], q_terms[:width] & c_terms[:width]
+    if not both.all():
+        left, right = left[:, both], right[:, both]
+    left, right = left.astype(kind, copy=False), right.astype(kind, copy=False)
+    scores = room[: len(left) * len(right)].reshape(len(left), len(right)) if kind is np.float32 else np.empty((len(left), len(right)), kind)
+    np.matmul(left[:, :GROUP], right[:, :GROUP].T, out=scores)
+    for t in range(GROUP, left.shape[1], GROUP):
+        scores += left[:, t : t + GROUP] @ right[:, t : t + GROUP].T
+    return scores
+
+
+def _sure(scores: np.ndarray, k: int, parts: int = 64) -> np.ndarray:
+    """For each query a score that k of its other candidates reach, whichever one of them is the query itself."""
+    if k + 1 > parts or len(scores) < parts:
+        return np.full(scores.shape[1], _LOWEST)
+    most = scores[: len(scores) // parts * parts].reshape(-1, parts, scores.shape[1]).max(axis=0)
+    return np.partition(most, parts - k - 1, axis=0)[parts - k - 1].astype(np.int64)
+
+
+def _least(score: np.ndarray, late: np.ndarray, kind: np.dtype) -> np.ndarray:
+    """What a candidate must reach to be among the best whose last one has ``score``: more than that, if it comes too late for a tie."""
+    least = score + (late & (score < _HIGHEST))
+    if kind != np.int64:
+        limit = (1 << (24 if kind == np.float32 else 53)) + 2
+        least = np.minimum(np.maximum(least, -limit), limit).astype(kind)
+    return least
+
+
+def _meet(q: _Side, best: _Best, c: _Side, room: np.ndarray) -> None:
+    """Adds a block of candidates to what the queries have found."""
+    k = best.score.shape[1]
+    for q_tile in q.tiles:
+        at = q_tile[0]
+        own = q.row[at]
+        found: list[tuple] = []
+        held = -1
+        for c_tile in c.tiles:
+            to = c_tile[0]
+            if held < 0:
+                score, last, full, held = best.score[at, -1].copy(), best.id[at, -1].copy(), best.row[at, -1].min() >= 0, 0
+            scores = _accumulated(q, q_tile, c, c_tile, room)
+            least = _least(score, last < c.id[to.start], scores.dtype)
+            if not full:
+                least = np.maximum(least, _sure(scores, k).astype(least.dtype))
+            hit = np.flatnonzero(scores.max(axis=0) >= least)
+            if not len(hit):
                 continue
-            s = s[live]
-            if len(s) > k:
-                least = np.partition(s, len(s) - k)[len(s) - k]
-                pick = np.flatnonzero(s >= least)
-            else:
-                pick = np.arange(len(s))
-            pick = pick[np.lexsort((c_rows[live][pick], c_ids[live][pick], -s[pick]))][:k]
-            for column, x in zip(found, (np.full(len(pick), q_rows[at + i]), np.full(len(pick), q_ids[at + i]), c_rows[live][pick], c_ids[live][pick], s[pick]), strict=True):
-                column.append(x)
-    return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in found]
+            some = np.take(scores, hit, axis=1)
+            place = np.flatnonzero(some >= least[hit])
+            j, i = np.divmod(place, len(hit))
+            other = own[hit[i]] != c.row[to][j]
+            i, j, place = hit[i[other]], j[other], place[other]
+            found.append((at.start + i, some.ravel()[place].astype(np.int64), c.id[to][j], c.row[to][j]))
+            held += len(i)
+            if held >= 4 * len(own):
+                best.add(*(np.concatenate(x) for x in zip(*found, strict=True)))
+                found, held = [], -1
+        if found:
+            best.add(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
 
 def topk_inner(
-    vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "v", block: int = 4096, query_block: int = 8192
+    vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "v", block: int = 8192, query_block: int = 8192, tile: int = 512, cells: int = 1 << 22
 ) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score`` of the k best other rows for each row where ``is_query`` holds.
 
     ``vector`` is an array<long>. Ties go to the smaller id.
     """
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    rows = stored(rows.where("id IS NOT NULL AND v IS NOT NULL").withColumn("row", F.monotonically_increasing_id()), "vectors")
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where("id IS NOT NULL")
     n, n_q = rows.agg(F.count(F.lit(1)), F.count_if("q")).first()
-    blocks, q_blocks = max(1, math.ceil(n / block)), max(1, math.ceil(n_q / query_block))
-    pack = F.collect_list(F.struct("row", "id", "v"))
-    at = lambda parts: F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int")
-    each = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    left = rows.groupBy(at(blocks).alias("cb")).agg(pack.alias("c")).select("cb", "c", each(q_blocks).alias("qb"))
-    right = rows.where("q").groupBy(at(q_blocks).alias("qb")).agg(pack.alias("q")).select("qb", "q", each(blocks).alias("cb"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _packed(_together(_listed(batches, cells), block, cells))
+
+    def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _packed(tuple(x[rows[2]] for x in rows) for rows in _blocks(batches))
+
+    def regroup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _packed(_together(_blocks(batches), query_block, cells))
+
+    candidates = stored(rows.coalesce(max(1, math.ceil(n / block))).mapInArrow(pack, _PACKED), "candidates")
+    queries = candidates.where("asks > 0").mapInArrow(asking, _PACKED).repartition(max(1, math.ceil(n_q / query_block)))
+    queries = stored(queries.mapInArrow(regroup, _PACKED), "queries")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: dict[bytes, tuple[_Side, _Best]] = {}
+        room, c, of = np.empty(tile * tile, np.float32), None, b""
         for batch in batches:
-            for c, q in zip(batch.column(0), batch.column(1), strict=True):
-                yield pa.record_batch(_best(*_dense(q), *_dense(c), k), names=["query_row", "query_id", "row", "vec_id", "score"])
+            for x, y in zip(batch.column(0), batch.column(1), strict=True):
+                if (name := x["row"].as_py()) != of:
+                    c, of = _Side.of(_unpacked(x), tile), name
+                if (name := y["row"].as_py()[:8]) not in asked:
+                    q = _Side.of(_unpacked(y), tile)
+                    asked[name] = q, _Best.none(len(q.id), k)
+                _meet(*asked[name], c, room)
+        for q, best in asked.values():
+            i, j = np.nonzero(best.row >= 0)
+            yield pa.record_batch([q.row[i], q.id[i], best.row[i, j], best.id[i, j], best.score[i, j]], names=["query_row", "query_id", "row", "vec_id", "score"])
 
-    pairs = left.join(right, ["cb", "qb"]).select("c", "q")
+    # A query has k rows from each task that met it, so the tasks are few and have many candidates.
+    parts = candidates.coalesce(max(32, math.ceil(n / (RUN * block)))).select(F.struct("*").alias("c"))
+    pairs = parts.join(queries.select(F.struct("*").alias("q")).hint("shuffle_replicate_nl"))
     scored = pairs.mapInArrow(run, "query_row long, query_id long, row long, vec_id long, score long")
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
     ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
