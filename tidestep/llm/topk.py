@@ -5,7 +5,9 @@ blocks of either, pair by pair, and no vector is shuffled for that. Of a pair it
 tiles, and accumulates the products of the terms (components) that occur on both sides of
 the tile into dense scores, ``GROUP`` terms at a time: one matrix product adds the postings
 of a group. A query keeps the k best it has met; only scores that reach the least of them
-are looked at. A window merges what the tasks have found.
+are looked at. A window merges what the tasks have found. So that a task need not begin
+with none, all queries meet a few blocks first: the k-th best score there is a lower bound
+of the k-th best of all, and what is below it is in no result.
 
 Scores are exact: by Cauchy and Schwarz no partial sum is beyond the product of the two
 norms, so a tile whose norms keep it under 2^24 is summed as float32, under 2^53 as
@@ -23,7 +25,7 @@ whatever their names. Memory is bounded by the two block sizes and ``cells``, th
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,8 +39,8 @@ from tidestep.llm.common import stored, table
 #: Terms added at a time; blocks of candidates in a task.
 GROUP, RUN = 256, 64
 _LOWEST, _HIGHEST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
-#: A packed block: the number, id and mark of each row, and the matrix of their vectors in the smallest integers that hold it.
-_PACKED = "asks long, dims int, kind string, row binary, id binary, mark binary, v binary"
+#: A packed block: its place, how many rows are queries, and the number, id and mark of each row, and the matrix of their vectors in the smallest integers that hold it.
+_PACKED = "no long, asks long, dims int, kind string, row binary, id binary, mark binary, v binary"
 
 #: Row numbers, ids, marks and matrix of some rows.
 Rows = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
@@ -54,24 +56,33 @@ def _padded(sizes: np.ndarray, values: np.ndarray, cells: int) -> Iterator[tuple
         if b - a > 1 and dims * (b - a) > cells:
             todo += [((a + b) // 2, b), (a, (a + b) // 2)]
             continue
+        if own.min() == dims:
+            yield a, b, values[ends[a] : ends[b]].reshape(b - a, dims)
+            continue
         out = np.zeros((b - a, dims), values.dtype)
         out[np.arange(dims) < own[:, None]] = values[ends[a] : ends[b]]
         yield a, b, out
 
 
-def _listed(batches: Iterable[pa.RecordBatch], cells: int) -> Iterator[Rows]:
-    """The rows of batches of ids, vectors and marks, numbered; vectors that are null or hold a null are left out."""
+def _listed(batches: Iterable[pa.RecordBatch], cells: int, scale: float | None) -> Iterator[Rows]:
+    """The rows of batches of ids, vectors and marks, numbered; vectors that are null or hold what is no finite number are left out."""
     number = TaskContext.get().partitionId() << 33
     for batch in batches:
         ids, v, marks = batch.columns
         whole = ~v.is_null().to_numpy(zero_copy_only=False)
-        sizes = np.where(whole, np.diff(v.offsets.to_numpy()), 0)
-        values = v.flatten()
-        if values.null_count:
-            whole[np.repeat(np.arange(len(v)), sizes)[values.is_null().to_numpy(zero_copy_only=False)]] = False
-            values = values.filter(pa.array(np.repeat(whole, sizes)))
+        sizes, values = np.where(whole, np.diff(v.offsets.to_numpy()), 0), v.flatten()
+        if scale is None:
+            good, values = values.is_valid().to_numpy(zero_copy_only=False), values.fill_null(0).to_numpy()
+        else:
+            values = values.to_numpy(zero_copy_only=False).astype(np.float64)
+            good = np.isfinite(values)
+        if not good.all():
+            whole[np.repeat(np.arange(len(v)), sizes)[~good]] = False
+            values = values[np.repeat(whole, sizes)]
+        if scale is not None:
+            values = np.clip(np.floor(scale * values), _LOWEST, _HIGHEST - 1023).astype(np.int64)
         ids, marks, sizes = (x[whole] for x in (ids.to_numpy(), marks.to_numpy(zero_copy_only=False), sizes))
-        for a, b, m in _padded(sizes, values.to_numpy(), cells):
+        for a, b, m in _padded(sizes, values, cells):
             yield number + np.arange(a, b), ids[a:b], marks[a:b], m
         number += len(ids)
 
@@ -111,11 +122,11 @@ def _packed(blocks: Iterable[Rows]) -> Iterator[pa.RecordBatch]:
         row, ids, marks, m = (x[order] for x in rows)
         low, high = m.min(initial=0), m.max(initial=0)
         kind = next(t for t in ("int8", "int16", "int32", "int64") if np.iinfo(t).min <= low and high <= np.iinfo(t).max)
-        values = (int(marks.sum()), m.shape[1], kind, row.tobytes(), ids.tobytes(), marks.tobytes(), m.astype(kind).tobytes())
-        yield pa.record_batch([pa.array([x], t) for x, t in zip(values, (pa.int64(), pa.int32(), pa.string(), *[pa.binary()] * 4), strict=True)], names=[x.split()[0] for x in _PACKED.split(", ")])
+        values = (int(row.min()), int(marks.sum()), m.shape[1], kind, row.tobytes(), ids.tobytes(), marks.tobytes(), m.astype(kind).tobytes())
+        yield pa.record_batch([pa.array([x], t) for x, t in zip(values, (pa.int64(), pa.int64(), pa.int32(), pa.string(), *[pa.binary()] * 4), strict=True)], names=[x.split()[0] for x in _PACKED.split(", ")])
 
 
-def _unpacked(x: dict) -> Rows:
+def _unpacked(x: Mapping[str, pa.Scalar]) -> Rows:
     row, ids, marks = (np.frombuffer(x[k].as_buffer(), t) for k, t in (("row", np.int64), ("id", np.int64), ("mark", bool)))
     return row, ids, marks, np.frombuffer(x["v"].as_buffer(), x["kind"].as_py()).reshape(len(ids), x["dims"].as_py())
 
@@ -147,15 +158,20 @@ class _Side:
 
 @dataclass
 class _Best:
-    """The k best candidates of each query so far: scores, ids and row numbers, best first; places without one hold the least score and the row -1."""
+    """The k best candidates of each query so far: scores, ids and row numbers, best first; places without one hold the least score and the row -1.
+
+    ``floor`` is a score for each query that the k best of all reach.
+    """
 
+    floor: np.ndarray
     score: np.ndarray
     id: np.ndarray
     row: np.ndarray
 
     @classmethod
-    def none(cls, n: int, k: int) -> _Best:
-        return cls(np.full((n, k), _LOWEST), np.full((n, k), _HIGHEST), np.full((n, k), -1))
+    def none(cls, floor: np.ndarray, k: int) -> _Best:
+        n = len(floor)
+        return cls(floor, np.full((n, k), _LOWEST), np.full((n, k), _HIGHEST), np.full((n, k), -1))
 
     def add(self, query: np.ndarray, score: np.ndarray, ids: np.ndarray, row: np.ndarray) -> None:
         k = self.score.shape[1]
@@ -192,9 +208,9 @@ def _sure(scores: np.ndarray, k: int, parts: int = 64) -> np.ndarray:
     return np.partition(most, parts - k - 1, axis=0)[parts - k - 1].astype(np.int64)
 
 
-def _least(score: np.ndarray, late: np.ndarray, kind: np.dtype) -> np.ndarray:
+def _least(score: np.ndarray, late: np.ndarray, floor: np.ndarray, kind: np.dtype) -> np.ndarray:
     """What a candidate must reach to be among the best whose last one has ``score``: more than that, if it comes too late for a tie."""
-    least = score + (late & (score < _HIGHEST))
+    least = np.maximum(score + (late & (score < _HIGHEST)), floor)
     if kind != np.int64:
         limit = (1 << (24 if kind == np.float32 else 53)) + 2
         least = np.minimum(np.maximum(least, -limit), limit).astype(kind)
@@ -206,21 +222,25 @@ def _meet(q: _Side, best: _Best, c: _Side, room: np.ndarray) -> None:
     k = best.score.shape[1]
     for q_tile in q.tiles:
         at = q_tile[0]
-        own = q.row[at]
+        own, floor = q.row[at], best.floor[at]
         found: list[tuple] = []
         held = -1
         for c_tile in c.tiles:
             to = c_tile[0]
             if held < 0:
-                score, last, full, held = best.score[at, -1].copy(), best.id[at, -1].copy(), best.row[at, -1].min() >= 0, 0
+                score, last, held = best.score[at, -1].copy(), best.id[at, -1].copy(), 0
+                new = np.maximum(score, floor).min() == _LOWEST
             scores = _accumulated(q, q_tile, c, c_tile, room)
-            least = _least(score, last < c.id[to.start], scores.dtype)
-            if not full:
+            least = _least(score, last < c.id[to.start], floor, scores.dtype)
+            if new:
                 least = np.maximum(least, _sure(scores, k).astype(least.dtype))
             hit = np.flatnonzero(scores.max(axis=0) >= least)
             if not len(hit):
                 continue
-            some = np.take(scores, hit, axis=1)
+            if 8 * len(hit) > len(own):
+                hit, some = np.arange(len(own)), scores
+            else:
+                some = np.take(scores, hit, axis=1)
             place = np.flatnonzero(some >= least[hit])
             j, i = np.divmod(place, len(hit))
             other = own[hit[i]] != c.row[to][j]
@@ -234,18 +254,34 @@ def _meet(q: _Side, best: _Best, c: _Side, room: np.ndarray) -> None:
             best.add(*(np.concatenate(x) for x in zip(*found, strict=True)))
 
 
+def _met(batches: Iterable[pa.RecordBatch], k: int, tile: int) -> Iterable[tuple[_Side, _Best]]:
+    """The query blocks of batches of pairs (candidates, queries), with what each has found in all it met."""
+    asked: dict[int, tuple[_Side, _Best]] = {}
+    room, c, of = np.empty(tile * tile, np.float32), None, -1
+    for batch in batches:
+        for x, y in zip(batch.column(0), batch.column(1), strict=True):
+            if (no := x["no"].as_py()) != of:
+                c, of = _Side.of(_unpacked(x), tile), no
+            if (no := y["no"].as_py()) not in asked:
+                q = _Side.of(_unpacked(y), tile)
+                floor = np.frombuffer(y["floor"].as_buffer(), np.int64).copy() if "floor" in y else np.full(len(q.id), _LOWEST)
+                asked[no] = q, _Best.none(floor, k)
+            _meet(*asked[no], c, room)
+    return asked.values()
+
+
 def topk_inner(
-    vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "v", block: int = 8192, query_block: int = 8192, tile: int = 512, cells: int = 1 << 22
+    vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "v", block: int = 8192, query_block: int = 8192, tile: int = 768, cells: int = 1 << 22, scale: float | None = None
 ) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score`` of the k best other rows for each row where ``is_query`` holds.
 
-    ``vector`` is an array<long>. Ties go to the smaller id.
+    ``vector`` is an array<long>; with a ``scale``, an array of floats or doubles, each of which counts as floor(scale * x). Ties go to the smaller id.
     """
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where("id IS NOT NULL")
     n, n_q = rows.agg(F.count(F.lit(1)), F.count_if("q")).first()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _packed(_together(_listed(batches, cells), block, cells))
+        return _packed(_together(_listed(batches, cells, scale), block, cells))
 
     def asking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _packed(tuple(x[rows[2]] for x in rows) for rows in _blocks(batches))
@@ -257,42 +293,33 @@ def topk_inner(
     queries = candidates.where("asks > 0").mapInArrow(asking, _PACKED).repartition(max(1, math.ceil(n_q / query_block)))
     queries = stored(queries.mapInArrow(regroup, _PACKED), "queries")
 
+    def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for q, best in _met(batches, k, tile):
+            for record in _packed([(q.row, q.id, np.ones(len(q.id), bool), q.m)]):
+                yield record.append_column("floor", pa.array([best.score[:, -1].tobytes()], pa.binary()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked: dict[bytes, tuple[_Side, _Best]] = {}
-        room, c, of = np.empty(tile * tile, np.float32), None, b""
-        for batch in batches:
-            for x, y in zip(batch.column(0), batch.column(1), strict=True):
-                if (name := x["row"].as_py()) != of:
-                    c, of = _Side.of(_unpacked(x), tile), name
-                if (name := y["row"].as_py()[:8]) not in asked:
-                    q = _Side.of(_unpacked(y), tile)
-                    asked[name] = q, _Best.none(len(q.id), k)
-                _meet(*asked[name], c, room)
-        for q, best in asked.values():
+        for q, best in _met(batches, k, tile):
             i, j = np.nonzero(best.row >= 0)
             yield pa.record_batch([q.row[i], q.id[i], best.row[i, j], best.id[i, j], best.score[i, j]], names=["query_row", "query_id", "row", "vec_id", "score"])
 
+    def pairs(c: DataFrame, q: DataFrame) -> DataFrame:
+        return c.select(F.struct("*").alias("c")).join(q.select(F.struct("*").alias("q")).hint("shuffle_replicate_nl"))
+
+    places = sorted(x.no for x in candidates.select("no").collect())
+    first = places[:: max(1, math.ceil(len(places) / (math.isqrt(len(places)) // 2 + 1)))]
+    asked = stored(pairs(candidates.where(F.col("no").isin(first)).coalesce(1), queries).mapInArrow(seed, f"{_PACKED}, floor binary"), "asked")
     # A query has k rows from each task that met it, so the tasks are few and have many candidates.
-    parts = candidates.coalesce(max(32, math.ceil(n / (RUN * block)))).select(F.struct("*").alias("c"))
-    pairs = parts.join(queries.select(F.struct("*").alias("q")).hint("shuffle_replicate_nl"))
-    scored = pairs.mapInArrow(run, "query_row long, query_id long, row long, vec_id long, score long")
+    met = pairs(candidates.coalesce(max(32, math.ceil(n / (RUN * block)))), asked)
+    scored = met.mapInArrow(run, "query_row long, query_id long, row long, vec_id long, score long")
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "row")
     ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def quantised(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
-    """``key`` and ``v``: floor(scale * x) of each component as double; null if a component is null or not finite."""
-    x = F.col(vector).cast("array<double>")
-    bad = lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))
-    whole = F.transform(x, lambda e: F.floor(e * F.lit(float(scale))).cast("long"))
-    return vectors.select(F.col(key).alias(key), F.when(~F.exists(x, bad), whole).alias("v"))
-
-
 def op4_topk(spark, sf_dir: str) -> DataFrame:
     """Contract of query 4 over the whole of ``embeddings``."""
-    v = quantised(table(spark, sf_dir, "embeddings"))
-    return topk_inner(v, F.col("vec_id") % 50 == 0)
+    return topk_inner(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, vector="embedding", scale=256.0)
 
 
 OP4_SQL = """
