@@ -18,8 +18,8 @@ takes no part; neither does a row with a null id. Rows that share an id are rows
 their own: each is a candidate for the others, and each that is a query has results.
 Ties go to the smaller id. Vectors of unequal length, empty ones too, are compared as if
 padded with zeros. An empty table gives an empty result; extra columns are left out,
-whatever their names. Memory is bounded by the two block sizes and ``cells``, the numbers in a block
-(a single vector may have more).
+whatever their names. Memory is bounded by the two block sizes and ``cells``, the numbers
+in a block (a single vector may have more).
 """
 
 from __future__ import annotations
@@ -39,7 +39,8 @@ from tidestep.llm.common import stored, table
 #: Terms added at a time; blocks of candidates in a task.
 GROUP, RUN = 256, 64
 _LOWEST, _HIGHEST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
-#: A packed block: its place, how many rows are queries, and the number, id and mark of each row, and the matrix of their vectors in the smallest integers that hold it.
+#: A packed block: its first row number, how many rows are queries, the number, id and mark
+#: of each row, and the matrix of their vectors in the smallest integers that hold it.
 _PACKED = "no long, asks long, dims int, kind string, row binary, id binary, mark binary, v binary"
 
 #: Row numbers, ids, marks and matrix of some rows.
@@ -271,11 +272,13 @@ def _met(batches: Iterable[pa.RecordBatch], k: int, tile: int) -> Iterable[tuple
 
 
 def topk_inner(
-    vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "v", block: int = 8192, query_block: int = 8192, tile: int = 768, cells: int = 1 << 22, scale: float | None = None
+    vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "v", block: int = 8192, query_block: int = 8192,
+    tile: int = 768, cells: int = 1 << 22, scale: float | None = None,
 ) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score`` of the k best other rows for each row where ``is_query`` holds.
 
-    ``vector`` is an array<long>; with a ``scale``, an array of floats or doubles, each of which counts as floor(scale * x). Ties go to the smaller id.
+    ``vector`` is an array<long>; with a ``scale``, an array of floats or doubles, each of
+    which counts as floor(scale * x). Ties go to the smaller id.
     """
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).where("id IS NOT NULL")
     n, n_q = rows.agg(F.count(F.lit(1)), F.count_if("q")).first()
